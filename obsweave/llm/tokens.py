@@ -1,9 +1,7 @@
 """Exact encoding with a `tokenizers` file whose white space is a hard boundary, a word at a time.
 
 The library's pre-tokenizer drops white space, so the ids of a text are those of its white-space separated
-words in turn. Words met before come from a bounded memo; the others of a batch go through the library in one
-call, held apart by a special token. `supports` tells whether a file allows that; otherwise whole texts go
-through the library."""
+words in turn. Words met before come from a bounded memo. `supports` tells whether a file allows that."""
 from __future__ import annotations
 
 import json
@@ -42,10 +40,28 @@ def default_path() -> str:
 
 
 def supports(spec: dict) -> bool:
-    """White space is dropped before merging, nothing spans it, and one special token may serve as a mark."""
+    """White space is dropped before merging, and nothing spans it."""
     pre = json.dumps(spec.get("pre_tokenizer") or {})
-    special = [t for t in spec.get("added_tokens", []) if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
-    return bool(special) and "\\\\s" in pre and '"Removed"' in pre and '"add_prefix_space": false' in pre and '"invert": true' in pre
+    added = spec.get("added_tokens", [])
+    return bool(added) and all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\x0b\x0c")) for t in added) and "\\\\s" in pre and '"Removed"' in pre and '"add_prefix_space": false' in pre and '"invert": true' in pre
+
+
+class Memo(dict):
+    """Words met before and their ids; when full, the words of one generation back are still known."""
+
+    def __init__(self, new):
+        super().__init__()
+        self.new, self.older = new, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.new(word)
+        if len(self) >= MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -64,12 +80,9 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        mark = next(t for t in spec["added_tokens"] if t["special"])
-        self.mark, self.mark_id = mark["content"], mark["id"]
-        self.special = regex.compile(b"|".join(regex.escape(t["content"].encode()) for t in spec["added_tokens"]))
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.special = regex.compile(b"|".join(regex.escape(t["content"].encode()) for t in spec["added_tokens"])).search
+        self.memo = Memo(self._new)
+        self.model = self.tokenizer.model
         stages = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         shape = [(x["type"], x.get("use_regex")) for x in stages] == [("Split", None), ("ByteLevel", False)] and [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.pattern = regex.compile(stages[0]["pattern"]["Regex"]) if shape else None
@@ -85,58 +98,24 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """ids of new words. Printable characters below U+0250 are left alone by NFC: such words take the file's
-        own pattern and the library's BPE model, without the cost of a whole pipeline call."""
-        got: dict[bytes, bytes] = {}
-        rest: list[bytes] = []
-        special, simple, parts, dtype, merge = self.special.search, SIMPLE.fullmatch, self.parts, self.dtype, self.tokenizer.model.tokenize
-        find = self.pattern.findall if self.pattern is not None else None
-        for w in words:
-            if special(w):
-                got[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype).tobytes()
-                continue
-            text = w.decode("utf-8", "replace")
-            if find is None or not simple(text):
-                rest.append(w)
-                continue
-            out = b""
-            for p in find(text.lower()):
-                ids = parts.get(p)
-                if ids is None:
-                    shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.byte_names)
-                    ids = parts[p] = array(dtype.char, [t.id for t in merge(shown)]).tobytes()
-                out += ids
-            got[w] = out
-        if len(parts) > MEMO_WORDS:
-            parts.clear()
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(w.decode("utf-8", "replace") for w in part), add_special_tokens=False).ids, self.dtype)
-            cut = np.flatnonzero(ids == self.mark_id)
-            begin, end = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(ids)]])
-            raw, k = ids.tobytes(), self.dtype.itemsize
-            got.update(zip(part, [raw[a * k : b * k] for a, b in zip(begin.tolist(), end.tolist())]))
-        return got
+    def _new(self, w: bytes) -> bytes:
+        """ids of a word that is not in the memo. Printable characters below U+0250 are left alone by NFC: such words take
+        the file's own pattern and the library's BPE model, without the cost of a whole pipeline call."""
+        text = w.decode("utf-8", "replace")
+        if self.pattern is not None and not self.special(w):
+            if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                return self._merge(text.lower())
+            if SIMPLE.fullmatch(text):
+                return b"".join([self._merge(p) for p in self.pattern.findall(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes of `dtype`."""
-        memo, older = self.memo, self.older
-        out = [memo.get(w) for w in words]
-        if None in out:
-            got: dict[bytes, bytes] = {}
-            missing = []
-            for w in {w for w, x in zip(words, out) if x is None}:
-                if (x := older.get(w)) is None:
-                    missing.append(w)
-                else:
-                    got[w] = x
-            got |= self._learn(missing)
-            out = [x if x is not None else got[w] for w, x in zip(words, out)]
-            memo.update(got)
-            if len(memo) > MEMO_WORDS:  # words of the last two generations are known
-                self.memo, self.older = {}, memo
-        return out
+        return list(map(self.memo.__getitem__, words))
 
     def _split(self, text: bytes) -> list[bytes]:
         """Words of a text. Where no two marks meet and all characters are below U+0250, capitals and lone full
@@ -146,14 +125,8 @@ class WordEncoder:
         return text.split()
 
     def text(self, text: bytes) -> bytes:
-        return b"".join(self.words(self._split(text)))
+        return b"".join(map(self.memo.__getitem__, self._split(text)))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes of `dtype`; one look-up pass for all of them."""
-        split = [self._split(t) for t in texts]
-        flat = self.words([w for ws in split for w in ws])
-        out, k = [], 0
-        for ws in split:
-            out.append(b"".join(flat[k : k + len(ws)]))
-            k += len(ws)
-        return out
+        """The ids of each text, as bytes of `dtype`."""
+        return [self.text(t) for t in texts]
