@@ -1,11 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL, for __spark_entry__."""
 from __future__ import annotations
 
-from . import bpe, exact, huffman, mixing
+from . import bpe, exact, huffman, mixing, quality, toxicity
 
 QUERIES = {
     "op1_huffman_token_file": huffman.query,
+    "op5_boosted_quality": quality.query,
     "op6_bpe_chunk_reuse": bpe.query,
+    "op7_toxicity_grammar": toxicity.query,
     "op8_es_mixing": mixing.query,
     "op10_msd_radix_dedup": exact.query,
 }
