@@ -89,9 +89,9 @@ class Texts:
         return [whole[a:b] for a, b in zip(o, o[1:])]
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[Texts]:
+def text_slices(batches: Iterable[pa.RecordBatch], third: bool = False, limit: int = SLICE_BYTES) -> Iterator:
     """Cuts Arrow batches (doc_id, text) into runs of whole documents of about `limit` bytes. A longer text
-    is a run of its own."""
+    is a run of its own. With `third`, pairs of those and the third column."""
     for b in batches:
         ids, texts = b.column(0), b.column(1)
         if not len(ids):
@@ -101,7 +101,8 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) ->
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
         for i, j in zip(cuts, cuts[1:]):
             if j > i:
-                yield Texts(ids.slice(i, j - i), texts.slice(i, j - i))
+                t = Texts(ids.slice(i, j - i), texts.slice(i, j - i))
+                yield (t, b.column(2).slice(i, j - i)) if third else t
 
 
 def map_texts(df: DataFrame, fn: Callable[[Texts], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -176,10 +177,13 @@ def _edge(t: Texts) -> np.ndarray:
 BASE = 0xD1342543DE82EF95
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE**0 .. BASE**(n-1) modulo 2**64, by doubling."""
+INVERSE = pow(BASE, -1, 2**64)
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
-    k, p = 1, BASE
+    k, p = 1, base
     with np.errstate(over="ignore"):
         while k < n:
             m = min(k, n - k)
@@ -188,28 +192,31 @@ def powers(n: int) -> np.ndarray:
     return out[:n]
 
 
-INVERSE = pow(BASE, -1, 2**64)
-
-
 def range_hashes(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of value[start:end] for each range, whatever lies before it."""
-    n = len(value)
     if not len(start):
         return np.zeros(0, np.uint64)
-    pw = powers(n)
+    pw, inv = power_tables(len(value))
     with np.errstate(over="ignore"):
-        pre = np.zeros(n + 1, np.uint64)
+        pre = np.zeros(len(value) + 1, np.uint64)
         np.cumsum(value * pw, out=pre[1:])
-        inv = np.ones(n, np.uint64)  # BASE**-i
-        k, p = 1, INVERSE
-        while k < n:
-            m = min(k, n - k)
-            inv[k : k + m] = inv[:m] * np.uint64(p)
-            k, p = k * 2, p * p % 2**64
         h = (pre[end] - pre[start]) * inv[start]
         return splitmix(h + splitmix((end - start).astype(np.uint64)))
 
 
+_tables = [np.zeros(0, np.uint64)] * 2
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i below n; kept by the worker up to twice the usual run."""
+    if len(_tables[0]) < n:
+        made = [powers(max(n, SLICE_BYTES), b) for b in (BASE, INVERSE)]
+        if n > 2 * SLICE_BYTES:
+            return made[0][:n], made[1][:n]
+        _tables[:] = made
+    return _tables[0][:n], _tables[1][:n]
+
+
 #: A random value for each byte, from a rule.
 BYTE_VALUE = splitmix(np.arange(256) + 0x5EED)
 

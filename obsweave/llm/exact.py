@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, id_text, in_filter, input_bytes, text_slices, twice_seen
+from .common import Stage, in_filter, input_bytes, text_slices, twice_seen
 
 DROP = bytes([32, *range(9, 14)])
 FIRST = 64
@@ -26,13 +26,13 @@ def first_digit(norm: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(len(norm).to_bytes(8, "little") + norm[:FIRST], digest_size=8).digest(), "little")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Null texts count as empty, and all empty texts are one group. Of a group the row with the most code points in its
     original text stays, then the smallest doc_id (null last), then one of the rows that agree in both: exactly one
-    row of each group is kept. Rows may repeat."""
-    base = id_text(docs, id_col, text_col)
+    row of each group is kept. Rows may repeat. `order_col`: another integer column than the id that settles ties."""
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[order_col or id_col].cast("long").alias("tie"))
     spark = docs.sparkSession
     stage = Stage(spark, "exact")
 
@@ -43,7 +43,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     bits = spark.sparkContext.broadcast(twice_seen(base, hashes, input_bytes(base) / 100, FILTER_BITS))
 
     def split(batches: Iterator[pa.RecordBatch], alone: bool) -> Iterator[pa.RecordBatch]:
-        for t in text_slices(batches):
+        for t, tie in text_slices(batches, True):
             norm = [x.translate(None, DROP) for x in t.blobs()]
             may = in_filter(bits.value, np.array([first_digit(x) for x in norm], np.uint64))
             pick = np.flatnonzero(~may if alone else may)
@@ -54,20 +54,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             else:
                 heads = np.concatenate([[0], np.cumsum((t.buf & 0xC0) != 0x80)])
                 points = (heads[t.off[1:]] - heads[t.off[:-1]])[pick]
-                yield pa.RecordBatch.from_arrays([ids, sha, pa.array(points, pa.int64()), pa.array([len(norm[i]) for i in at], pa.int64()), pa.array([norm[i] for i in at], pa.binary())], ["doc_id", "sha", "points", "length", "norm"])
+                yield pa.RecordBatch.from_arrays([ids, tie.take(pa.array(pick)), sha, pa.array(points, pa.int64()), pa.array([len(norm[i]) for i in at], pa.int64()), pa.array([norm[i] for i in at], pa.binary())], ["doc_id", "tie", "sha", "points", "length", "norm"])
 
     out = base.mapInArrow(lambda b: split(b, True), "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
-    cur = stage.write(base.mapInArrow(lambda b: split(b, False), "doc_id long, sha string, points long, length long, norm binary").withColumn("row", F.monotonically_increasing_id()).withColumn("grp", F.lit(0).cast("long")), "rows")
+    cur = stage.write(base.mapInArrow(lambda b: split(b, False), "doc_id long, tie long, sha string, points long, length long, norm binary").withColumn("row", F.monotonically_increasing_id()).withColumn("grp", F.lit(0).cast("long")), "rows")
     depth, width, k = 0, FIRST, 0
     while not cur.isEmpty():
         keyed = cur.withColumn("digit", F.substring("norm", depth + 1, width))
-        rank = F.struct("points", (-F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))).alias("order"), (-F.col("row")).alias("r"), "doc_id")
+        rank = F.struct("points", (-F.coalesce(F.col("tie"), F.lit(2**63 - 1))).alias("order"), (-F.col("row")).alias("r"), "doc_id")
         groups = stage.write(keyed.groupBy("grp", "length", "digit").agg(F.count("*").alias("n"), F.max(rank).alias("best")).withColumn("next", F.monotonically_increasing_id()), f"groups-{k}")
         met = keyed.join(groups, ["grp", "length", "digit"])
         over = (F.col("n") == 1) | (F.col("length") <= depth + width)
         done = stage.write(met.where(over).select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == -F.col("best.r")).alias("kept"), F.col("sha").alias("text_sha256")), f"done-{k}")
         out = out.union(done)
-        cur = stage.write(met.where(~over).select("doc_id", "sha", "points", "length", "norm", "row", F.col("next").alias("grp")), f"left-{k}")
+        cur = stage.write(met.where(~over).select("doc_id", "tie", "sha", "points", "length", "norm", "row", F.col("next").alias("grp")), f"left-{k}")
         depth, width, k = depth + width, width * WIDEN, k + 1
     return out
 

@@ -1,7 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL, for __spark_entry__."""
 from __future__ import annotations
 
-from . import bpe, exact, huffman, mixing, quality, toxicity
+from . import bpe, exact, huffman, jaccard, mixing, quality, toxicity
 
 QUERIES = {
     "op1_huffman_token_file": huffman.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_bpe_chunk_reuse": bpe.query,
     "op7_toxicity_grammar": toxicity.query,
     "op8_es_mixing": mixing.query,
+    "op9_grouped_prefix_jaccard": jaccard.query,
     "op10_msd_radix_dedup": exact.query,
 }
 #: Where SQL can express a query; the others are tested against brute force in tests/llm.

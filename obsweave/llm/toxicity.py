@@ -281,6 +281,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs, all columns, without the documents that score `threshold` or more. Null texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [t is None or shared.value.score(t.encode()) < threshold for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
