@@ -92,10 +92,10 @@ def mix(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = WEIGHTS, most
     inside = F.col("prior") + F.col("size") <= F.col("budget")
     # what is left of each budget goes to the one further document whose size comes nearest to it, if that helps
     sampled = F.sum(F.when(inside, F.col("size")).otherwise(0))
-    left = ranked.groupBy("source").agg((F.max("budget") - sampled).alias("rest"))
-    outside = ranked.where(~inside & (F.col("size") > 0)).join(left, ranked.source.eqNullSafe(left.source)).where("size < 2 * rest").select(ranked.source, F.struct(F.abs(F.col("rest") - F.col("size")), "key", "row").alias("miss"))
+    left = ranked.groupBy(F.col("source").alias("of")).agg((F.max("budget") - sampled).alias("rest"))
+    outside = ranked.where(~inside & (F.col("size") > 0)).join(left, F.col("source").eqNullSafe(F.col("of"))).where("size < 2 * rest").select("source", F.struct(F.abs(F.col("rest") - F.col("size")), "key", "row").alias("miss"))
     last = outside.groupBy("source").agg(F.min("miss").alias("miss")).select(F.col("miss.row").alias("last"))
-    out = ranked.join(last, ranked.row == last.last, "left")
+    out = ranked.join(last, F.col("row") == F.col("last"), "left")
     taken = (F.col("size") * (F.col("epochs") + F.when(inside | F.col("last").isNotNull(), 1).otherwise(0))).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("epochs") >= most, F.col("size") * most).otherwise(taken).alias("taken"))
 
