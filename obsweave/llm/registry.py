@@ -1,10 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL, for __spark_entry__."""
 from __future__ import annotations
 
-from . import bpe, exact, huffman, jaccard, mixing, quality, toxicity
+from . import bpe, brown, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity
 
 QUERIES = {
     "op1_huffman_token_file": huffman.query,
+    "op2_nearest_url_extraction": html.query,
+    "op3_brown_class_scores": brown.query,
+    "op4_repeated_strings": suffix.query,
     "op5_boosted_quality": quality.query,
     "op6_bpe_chunk_reuse": bpe.query,
     "op7_toxicity_grammar": toxicity.query,
