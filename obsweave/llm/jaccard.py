@@ -143,11 +143,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                     p = order.value.prefix(s, percent)
                     p = p[in_filter(bits.value, p)]
                     if len(p):
-                        rows.append((k, *digest(s), p.tobytes(), s.tobytes()))
+                        rows.append((k, *digest(s), p.tobytes()))
             ids = t.id_array().take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], ty) for k, ty in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary()), (4, pa.binary())))], ["node", "s1", "s2", "prefix", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], ty) for k, ty in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary())))], ["node", "s1", "s2", "prefix"])
 
-    sets = stage.write(base.mapInArrow(emit, "node long, s1 long, s2 long, prefix binary, shingles binary").join(nodes, ["node", "s1", "s2"]), "sets")
+    leads = nodes.where("node = gid").select("gid", "n", "s1", "s2")
+    prefixes_ = base.mapInArrow(emit, "node long, s1 long, s2 long, prefix binary").withColumnRenamed("node", "gid").join(leads, ["gid", "s1", "s2"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,11 +159,32 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                 if len(rep):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p[i : i + 512])), b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep))], ["token", "gid", "n"])
 
-    post = sets.where("node = gid").select("gid", "n", "prefix").mapInArrow(explode, "token long, gid long, n long").distinct()
+    post = stage.write(prefixes_.select("gid", "n", "prefix").mapInArrow(explode, "token long, gid long, n long"), "tokens")
     lists = post.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     post = stage.write(post.join(lists.select("token"), "token"), "post")
     many = stage.write(nodes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").join(nodes.select("gid", "node"), "gid").select("node", "gid"), "many")
 
+    # the sets of all members of groups that may be compared
+    partners = nodes.join(post.select("gid").union(many.select("gid")).distinct(), "gid", "left_semi").select("node", "s1", "s2")
+
+    def names(batches):
+        for b in batches:
+            h = splitmix(np.asarray(b.column(0)).astype(np.int64).view(np.uint64))
+            yield np.concatenate([h, h])
+
+    wanted = spark.sparkContext.broadcast(twice_seen(partners.select("node"), names, size / 100))
+
+    def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.asarray(b.column(0).fill_null(0)).astype(np.int64)
+            some = pa.array(in_filter(wanted.value, splitmix(ids.view(np.uint64))) & np.asarray(b.column(0).is_valid()))
+            for t in text_slices([b.filter(some)]):
+                got = shingle_sets(t, width)
+                rows = [(*digest(s), s.tobytes()) for s in got]
+                yield pa.RecordBatch.from_arrays([t.id_array(), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["node", "s1", "s2", "shingles"])
+
+    sets = stage.write(base.mapInArrow(emit_sets, "node long, s1 long, s2 long, shingles binary").join(partners, ["node", "s1", "s2"], "left_semi").select("node", "shingles"), "sets")
+
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """Of the pairs (a, b), those whose sets link."""
         left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
