@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that are turned into numpy temporaries at once; bounds a worker's memory.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch, where the session has the default.
+ROWS = 1000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -27,6 +30,9 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # thousands of whole texts to a batch would be much for a worker
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not root:  # tests only; a cluster names a shared folder
             root = "file://" + os.path.join(tempfile.gettempdir(), "obsweave-stage")
@@ -38,6 +44,11 @@ class Stage:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files that nothing refers to any more, which it does when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         try:
             jvm = self.spark.sparkContext._jvm
@@ -236,9 +247,10 @@ def twice_seen(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
             x, n = np.unique(np.concatenate(held), return_counts=True)
             x = np.concatenate([x, x[n > 1]])  # twice is all that matters
             x.sort()
-            cut = np.searchsorted(x >> np.uint64(shift), np.arange(slots + 1, dtype=np.uint64)) if shift < 64 else np.array([0, len(x)])
+            cut = np.searchsorted(x >> np.uint64(shift), np.arange(slots + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), binary_array(x, np.append(cut[full], cut[-1]) * 8)], ["slot", "run"])
+            low = (x >> np.uint64(shift - 32)).astype(np.uint32)  # 32 bits below the slot's: equal ones are few by chance
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), binary_array(low, np.append(cut[full], cut[-1]) * 4)], ["slot", "run"])
 
         held, n = [], 0
         for h in hashes(batches):
@@ -251,15 +263,13 @@ def twice_seen(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
             yield flush(held)
 
     slice_bits = filter_bits - (slots.bit_length() - 1)
-    down = np.uint64(64 - filter_bits)
 
     def count(key, table):
         slot = key[0].as_py()
-        x = np.frombuffer(b"".join(table.column("run").to_pylist()), np.uint64)
-        x = np.sort(x)
+        x = np.sort(np.frombuffer(b"".join(table.column("run").to_pylist()), np.uint32))
         again = x[1:][x[1:] == x[:-1]]
         bits = np.zeros(1 << max(slice_bits, 3), np.uint8)
-        bits[((again >> down) & np.uint64((1 << slice_bits) - 1)).astype(np.int64)] = 1
+        bits[(again >> np.uint32(32 - slice_bits)).astype(np.int64)] = 1
         return pa.table({"slot": pa.array([slot], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
     packed = df.mapInArrow(pack, "slot int, run binary")

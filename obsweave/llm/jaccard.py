@@ -118,37 +118,27 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     size = input_bytes(base)
     order = spark.sparkContext.broadcast(Order(common_shingles(base, width)))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_slices(batches):
-            sets = shingle_sets(t, width)
-            rows = [(len(s), *digest(s), *digest(order.value.prefix(s, percent))) if len(s) else (0, 0, 0, 0, 0) for s in sets]
-            yield pa.RecordBatch.from_arrays([t.id_array(), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5))], ["doc_id", "n", "s1", "s2", "p1", "p2"])
-
-    known = stage.write(base.mapInArrow(describe, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long"), "known")
-    members = stage.write(known.where("n > 0").groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("node")), "members")
-    groups = members.where("node IS NOT NULL").groupBy("p1", "p2", "n").agg(F.min("node").alias("gid"))
-    nodes = stage.write(members.where("node IS NOT NULL").join(groups, ["p1", "p2", "n"]).select("node", "gid", "n", "s1", "s2"), "nodes")
-
     def prefixes(batches):
         for t in text_slices(batches):
             yield np.concatenate([order.value.prefix(s, percent) for s in shingle_sets(t, width) if len(s)] or [np.zeros(0, np.uint64)])
 
     bits = spark.sparkContext.broadcast(twice_seen(base, prefixes, size / 4))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_slices(batches):
             rows = []
-            for k, s in enumerate(shingle_sets(t, width)):
-                if len(s):
-                    p = order.value.prefix(s, percent)
-                    p = p[in_filter(bits.value, p)]
-                    if len(p):
-                        rows.append((k, *digest(s), p.tobytes()))
-            ids = t.id_array().take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], ty) for k, ty in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary())))], ["node", "s1", "s2", "prefix"])
+            for s in shingle_sets(t, width):
+                p = order.value.prefix(s, percent) if len(s) else s
+                some = p[in_filter(bits.value, p)]
+                rows.append((len(s), *digest(s), *digest(p), some.tobytes() if len(some) else None))
+            yield pa.RecordBatch.from_arrays([t.id_array(), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5)), pa.array([r[5] for r in rows], pa.binary())], ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"])
 
+    known = stage.write(base.mapInArrow(describe, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix binary"), "known")
+    members = stage.write(known.where("n > 0").groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("node")), "members")
+    groups = members.where("node IS NOT NULL").groupBy("p1", "p2", "n").agg(F.min("node").alias("gid"))
+    nodes = stage.write(members.where("node IS NOT NULL").join(groups, ["p1", "p2", "n"]).select("node", "gid", "n", "s1", "s2"), "nodes")
     leads = nodes.where("node = gid").select("gid", "n", "s1", "s2")
-    prefixes_ = base.mapInArrow(emit, "node long, s1 long, s2 long, prefix binary").withColumnRenamed("node", "gid").join(leads, ["gid", "s1", "s2"])
+    prefixes_ = known.where("prefix IS NOT NULL").select(F.col("doc_id").alias("gid"), "s1", "s2", "prefix").join(leads, ["gid", "s1", "s2"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,6 +190,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
         return stage.write(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), name)
 
+    stage.release()
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     links = tested = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, comp long")
@@ -234,11 +225,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             pairs = pairs.union(ia.join(ib, ia.gid_x == ib.gid_y).where("node_x < node_y AND comp_x <> comp_y").select("node_x", "node_y"))
             new = verify(stage.write(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "pairs-last"), "links-last")
         links = links.union(new)
+        stage.release()
         comp = components(links, stage, f"comp-{k}")
         k += 1
         if last:
             break
-    out = known.join(members.select("s1", "s2", "n", "node"), ["s1", "s2", "n"], "left").join(comp, "node", "left")
+    out = known.drop("prefix").join(members.select("s1", "s2", "n", "node"), ["s1", "s2", "n"], "left").join(comp, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
