@@ -24,15 +24,19 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def tune(spark: SparkSession) -> None:
+    """Thousands of whole texts to an Arrow batch would be much for a worker; a session's own setting stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+
+
 class Stage:
     """Tables written under spark.checkpoint.dir, which every executor shares; unlike localCheckpoint, they
     survive the loss of executors. Removed with `drop`, or when the interpreter ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        # thousands of whole texts to a batch would be much for a worker
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+        tune(spark)
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not root:  # tests only; a cluster names a shared folder
             root = "file://" + os.path.join(tempfile.gettempdir(), "obsweave-stage")
@@ -69,6 +73,7 @@ def power_of_two(n: float, least: int, most: int) -> int:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that operators read, under fixed names; further columns never reach them."""
+    tune(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
