@@ -154,29 +154,25 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     post = stage.write(post.join(lists.select("token"), "token"), "post")
     many = stage.write(nodes.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").join(nodes.select("gid", "node"), "gid").select("node", "gid"), "many")
 
-    # the sets of all members of groups that may be compared
-    partners = nodes.join(post.select("gid").union(many.select("gid")).distinct(), "gid", "left_semi").select("node", "s1", "s2")
-
     def names(batches):
         for b in batches:
             h = splitmix(np.asarray(b.column(0)).astype(np.int64).view(np.uint64))
             yield np.concatenate([h, h])
 
-    wanted = spark.sparkContext.broadcast(twice_seen(partners.select("node"), names, size / 100))
-
-    def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.asarray(b.column(0).fill_null(0)).astype(np.int64)
-            some = pa.array(in_filter(wanted.value, splitmix(ids.view(np.uint64))) & np.asarray(b.column(0).is_valid()))
-            for t in text_slices([b.filter(some)]):
-                got = shingle_sets(t, width)
-                rows = [(*digest(s), s.tobytes()) for s in got]
-                yield pa.RecordBatch.from_arrays([t.id_array(), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["node", "s1", "s2", "shingles"])
-
-    sets = stage.write(base.mapInArrow(emit_sets, "node long, s1 long, s2 long, shingles binary").join(partners, ["node", "s1", "s2"], "left_semi").select("node", "shingles"), "sets")
-
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """Of the pairs (a, b), those whose sets link."""
+        """Of the pairs (a, b), those whose sets link. Only the sets of documents in pairs are made and moved."""
+        some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "s1", "s2"), "node")
+        wanted = spark.sparkContext.broadcast(twice_seen(some.select("node"), names, size / 100))
+
+        def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = np.asarray(b.column(0).fill_null(0)).astype(np.int64)
+                here = pa.array(in_filter(wanted.value, splitmix(ids.view(np.uint64))) & np.asarray(b.column(0).is_valid()))
+                for t in text_slices([b.filter(here)]):
+                    rows = [(*digest(s), s.tobytes()) for s in shingle_sets(t, width)]
+                    yield pa.RecordBatch.from_arrays([t.id_array(), *(pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["node", "s1", "s2", "shingles"])
+
+        sets = stage.write(base.mapInArrow(emit_sets, "node long, s1 long, s2 long, shingles binary").join(some, ["node", "s1", "s2"], "left_semi").select("node", "shingles"), f"sets-{name}")
         left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +184,23 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                     ok.append(100 * both >= percent * (len(u) + len(v) - both))
                 yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-        return stage.write(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), name)
+        out = stage.write(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), name)
+        stage.drop(f"sets-{name}")
+        stage.release()
+        return out
+
+    beyond = lambda c: F.ceil(F.col(c) * percent / 100) - 1  # noqa: E731  shingles after a prefix
+    # with o shingles in both prefixes, two sets share at most o and what follows the prefix that ends first
+    enough = lambda: (F.col("o") + F.greatest(beyond("n_x"), beyond("n_y"))) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those of one group or with enough shingles in both prefixes."""
+        of = lambda c, s: nodes.select(F.col("node").alias(c), F.col("gid").alias(f"gid_{s}"), F.col("n").alias(f"n_{s}"))
+        full = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+        x, y = (post.select(F.col("gid").alias(f"gid_{s}"), "token") for s in "xy")
+        met = full.where("gid_x <> gid_y").join(x, "gid_x").join(y, ["gid_y", "token"]).groupBy("a", "b", "n_x", "n_y").agg(F.count("*").alias("o"))
+        return met.where(enough()).select("a", "b").union(full.where("gid_x = gid_y").select("a", "b"))
 
-    stage.release()
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     links = tested = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, comp long")
@@ -202,14 +212,14 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         open_lists = stage.write(open_lists, f"open-{k}")
         inner = many.join(span.where("lo < hi").select("gid"), "gid")
         rows, square = open_lists.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k").cast("double") ** 2), F.lit(0.0))).first()
-        last = square <= 8 * rows + 100_000
+        last = square <= 16 * rows + 1_000_000
         if not last:
             star = post.join(open_lists, "token").where(near(F.col("n"), F.col("center.n"))).groupBy("gid", F.col("center.gid").alias("center")).agg(F.count("*").alias("k"))
             star = star.where("gid <> center").join(lab.select("gid", "node", "comp"), "gid").select("node", "center", "comp", "k").union(inner.join(lab.select("node", "comp"), "node").where("node <> gid").select("node", F.col("gid").alias("center"), "comp", F.lit(1)))
             star = star.join(lab.select(F.col("node").alias("center"), F.col("comp").alias("other")), "center").where("comp <> other")
             star = star.select(F.col("node").alias("a"), F.col("center").alias("b"), "k").join(tested, ["a", "b"], "left_anti")
             pairs = stage.write(star.groupBy("a").agg(F.max(F.struct("k", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b")), f"pairs-{k}")
-            new = verify(pairs, f"links-{k}")
+            new = verify(stage.write(bounded(pairs), f"bounded-{k}"), f"links-{k}")
             tested = tested.union(pairs)
             last = new.isEmpty()  # stars find nothing more
         if last:
@@ -217,8 +227,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             # groups of one and the same component need no comparison
             cross = x.join(y, "token").where("gid_x < gid_y AND NOT (lo_x = hi_x AND lo_y = hi_y AND lo_x = lo_y)").where(near(F.col("n_x"), F.col("n_y")))
             shared = cross.groupBy("gid_x", "gid_y", "n_x", "n_y").agg(F.count("*").alias("o"))
-            beyond = lambda c: F.ceil(F.col(c) * percent / 100) - 1  # noqa: E731  shingles after a prefix
-            shared = shared.where((F.col("o") + F.greatest(beyond("n_x"), beyond("n_y"))) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+            shared = shared.where(enough())
             la, lb = (lab.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "node", "comp"))) for s in "xy")
             pairs = shared.select("gid_x", "gid_y").join(la, "gid_x").join(lb, "gid_y").where("comp_x <> comp_y").select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
             ia, ib = (inner.join(lab.select("node", "comp"), "node").select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "node", "comp"))) for s in "xy")

@@ -61,7 +61,7 @@ def passages(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return doc[first], idx[first], np.diff(np.append(first, len(a))), a[first], h[a[first]]
+    return doc[first], idx[first], np.diff(np.append(first, len(a))), a[first], splitmix(h[a[first]])  # least hashes are small: mixed anew
 
 
 def collection(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         d, start, wins, at, h = d[ok], start[ok], wins[ok], at[ok], h[ok]
         return d, start, wins, at, h, *seg_hashes(t, start, wins + WINDOW - 1)
 
-    cols = ["anchor", "s1", "s2", "doc_id", "lead", "n", "seg"]
+    cols = ["anchor", "doc_id", "lead", "n", "seg"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
@@ -183,14 +183,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
             for k in range(0, len(pick), 20_000):
                 q, z = pick[k : k + 20_000], size[k : k + 20_000]
                 seg = binary_array(buf[gather_ranges(at[q], z)], np.concatenate([[0], np.cumsum(z)]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[q].view(np.int64)), pa.array(s1[q]), pa.array(s2[q]), pa.array(i[q]), pa.array(lead[q].astype(np.int16)), pa.array(times[k : k + 20_000]), seg], cols)
+                yield pa.RecordBatch.from_arrays([pa.array((h[q] >> np.uint64(33)).astype(np.int32)), pa.array(i[q]), pa.array(lead[q].astype(np.int16)), pa.array(times[k : k + 20_000].astype(np.int32)), seg], cols)
 
         held, size = [], 0
         for t, _ in unpacked(batches):
             d, start, wins, at, h, s1, s2 = shared_passages(t)
             held.append((h, s1, s2, t.ids[d], at - start, wins, t.buf, start))
             size += len(t.buf)
-            if size > 8 << 20:
+            if size > 16 << 20:
                 yield from flush(held)
                 held, size = [], 0
         if held:
@@ -199,7 +199,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = pa.Table.from_batches(held).combine_chunks()
-            h, s1, s2, i, lead, n = (np.asarray(x.column(c)) for c in cols[:6])
+            _, i, lead, n = (np.asarray(x.column(c)) for c in cols[:4])
+            every = Texts(pa.array(np.zeros(x.num_rows, np.int64)), x.column("seg").combine_chunks())
+            s1, s2 = seg_hashes(every, every.off[:-1], np.diff(every.off))
             by = np.lexsort((i, s2, s1))
             new = np.ones(len(by), bool)
             new[1:] = (s1[by[1:]] != s1[by[:-1]]) | (s2[by[1:]] != s2[by[:-1]])
@@ -237,8 +239,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
             yield from solve(held)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // (16 << 20)))
-    found = some.mapInArrow(gather, "anchor long, s1 long, s2 long, doc_id long, lead short, n long, seg binary")
-    found = found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(build, "s1 long, s2 long, runs binary")
+    found = some.mapInArrow(gather, "anchor int, doc_id long, lead short, n int, seg binary")
+    found = stage.write(found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(build, "s1 long, s2 long, runs binary"), "found")
+    stage.release()
 
     def refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, row in unpacked(batches):
