@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that are turned into numpy temporaries at once; bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch, where the session has the default.
 ROWS = 1000
 
@@ -119,6 +120,15 @@ def text_slices(batches: Iterable[pa.RecordBatch], third: bool = False, limit: i
             if j > i:
                 t = Texts(ids.slice(i, j - i), texts.slice(i, j - i))
                 yield (t, b.column(2).slice(i, j - i)) if third else t
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker's size is what it uses."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another libc
+        pass
 
 
 def map_texts(df: DataFrame, fn: Callable[[Texts], pa.RecordBatch | None], schema: str) -> DataFrame:
