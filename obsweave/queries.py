@@ -417,7 +417,7 @@ def q39(spark, d):
 
 
 @query("q40_evidence_score_topk", f"""
-WITH {HOLDS}, s AS (SELECT ok, ln, pk, t, round(5 * ring + 3 * head + 4 * ring * head + 1.3 * CASE WHEN pk % 3 = 0 THEN 1 ELSE 0 END + least(2, 0.34 * ln(1 + frames)) + 0.8 * CASE WHEN frames >= 5 THEN 1 ELSE 0 END - 1.8 * CASE WHEN fake THEN 1 ELSE 0 END, 6) AS score FROM holds)
+WITH {HOLDS}, s AS (SELECT ok, ln, pk, price, t, round(5 * ring + 3 * head + 4 * ring * head + 1.3 * CASE WHEN pk % 3 = 0 THEN 1 ELSE 0 END + least(2, 0.34 * ln(1 + frames)) + 0.8 * CASE WHEN frames >= 5 THEN 1 ELSE 0 END - 1.8 * CASE WHEN fake THEN 1 ELSE 0 END, 6) AS score FROM holds)
 SELECT ok, ln, score, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY CAST(floor(t / 2592000) AS BIGINT) ORDER BY score DESC, ok, ln, pk, price) AS k FROM s) WHERE k <= 8""")
 def q40(spark, d):
     h = holds(spark, d)
