@@ -64,8 +64,9 @@ class Stage:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the plan's size; file sizes for plain scans."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the plan's size; file sizes for plain scans, 1 GB where it knows nothing."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 1 << 30
 
 
 def power_of_two(n: float, least: int, most: int) -> int:

@@ -1,0 +1,241 @@
+"""The corpus operators against brute force, on documents with nulls, empty texts, ties, repeated rows and clashing column names."""
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from obsweave.llm import bpe, brown, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity
+from obsweave.llm.tokens import WordEncoder, default_path
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron Ünïcode don't 3x7 x. y,".split()
+
+
+def text(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[k] for k in rng.integers(0, len(WORDS), n))
+
+
+LONG = text(1, 400)
+DOCS = [
+    (1, LONG), (2, LONG), (3, LONG + " one more"), (4, None), (5, ""), (6, " \n\t"), (7, "only three words"), (8, "only three\nwords"),
+    (9, text(2, 60)), (10, text(2, 60) + " end"), (11, "İstanbul ́é 日本 <|endoftext|> \x85 z"), (12, text(3, 3000)), (13, text(4, 30) + LONG[:300]), (13, text(4, 30) + LONG[:300]), (None, text(9, 50)), (15, "a"),
+]
+SCHEMA = "doc_id long, text string, source string, ids string, row long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, None if k % 5 == 0 else f"s{k % 3}", "clash", k) for k, (i, t) in enumerate(DOCS)], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_token_files(docs, empty):
+    enc = WordEncoder.get(default_path()).tokenizer
+    start, want = 0, []
+    for i, t in sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0)):
+        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, huffman.read_ids(huffman.token_file(docs)).collect()), key=str) == sorted(want, key=str)
+    assert huffman.read_ids(huffman.token_file(empty)).collect() == []
+
+
+def test_codes_are_limited_and_complete():
+    rng = np.random.default_rng(0)
+    for n, limit in ((1, 4), (2, 4), (16, 4), (300, 12)):
+        counts = (rng.pareto(0.3, n) * 10).astype(np.int64) + 1
+        lengths = huffman.code_lengths(counts, limit)
+        assert lengths.max() <= limit and sum(2.0 ** -int(x) for x in lengths) <= 1
+        ids = rng.integers(0, n, 1000)
+        block = huffman.encode_block([5, None], [ids[:10], ids[10:]], lengths, huffman.canonical(lengths)[0])
+        assert np.array_equal(huffman.decode_block(block, huffman.decode_table(lengths, limit), limit)[3], ids)
+
+
+def test_bpe(docs, empty):
+    t = WordEncoder.get(default_path()).tokenizer
+    want = []
+    for i, x in DOCS:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.digests(bpe.encode(docs)).collect()), key=str) == sorted(want, key=str)
+    assert bpe.encode(empty).collect() == []
+
+
+def test_joins_of_any_cuts():
+    enc = WordEncoder.get(default_path())
+    rng = np.random.default_rng(5)
+    raw = (text(6, 80) + " ünï 日本語 ").encode()
+    for _ in range(200):
+        cuts = sorted({0, len(raw), *(c for c in rng.integers(0, len(raw), 6).tolist() if raw[c] & 0xC0 != 0x80)})
+        parts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        assert bpe.join_ids(parts, [enc.text(p) for p in parts], enc) == enc.text(raw)
+
+
+def test_exact(docs, empty):
+    groups = collections.defaultdict(list)
+    for i, t in DOCS:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, t or ""))
+    got = exact.dedup(docs).collect()
+    assert len(got) == len(DOCS) and sum(r.kept for r in got) == len(groups)
+    for r in got:
+        norm, g = next((n, g) for n, g in groups.items() if hashlib.sha256(n.encode()).hexdigest() == r.text_sha256)
+        assert r.group_size == len(g) and r.keep_id == min(g, key=lambda d: (-len(d[1]), d[0] is None, d[0] or 0))[0]
+    assert exact.dedup(empty).collect() == []
+
+
+def test_jaccard(spark, docs, empty):
+    fixed = [(k, text(100 + k % 4, 80) + f" tail{k // 4 % 6} more{k % 3}") for k in range(60)]
+    for rows in (DOCS, fixed):
+        sets = {}
+        for i, t in rows:
+            w = words(low(t))
+            sets.setdefault(i, set()).update({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else ())
+        up = {i: i for i in sets if i is not None}
+        for a in up:
+            for b in up:
+                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    x, y = sorted((root(up, a), root(up, b)))
+                    up[y] = x
+        table = docs if rows is DOCS else spark.createDataFrame(rows, "doc_id long, text string")
+        for r in jaccard.link_components(table).collect():
+            assert r.doc_id is None or (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(up, r.doc_id))
+    assert jaccard.link_components(empty).collect() == []
+
+
+def root(up, i):
+    while up[i] != i:
+        i = up[i]
+    return i
+
+
+def test_repeated_strings(docs, empty):
+    first = {}
+    for i, t in DOCS:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first[b[k : k + 50]] = min(first.get(b[k : k + 50], 2**63), 2**63 - 1 if i is None else i)
+    want = []
+    for i, t in DOCS:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < (2**63 - 1 if i is None else i):
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    assert sorted(map(tuple, suffix.repeats(docs).collect()), key=str) == sorted(want, key=str)
+    assert suffix.repeats(empty).collect() == []
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    assert all(r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0) for r in got) and len(got) == len(DOCS)
+    t = mixing.targets({"a": 100, "b": 1, None: 50})
+    assert t["b"] == 3 and sum(t.values()) == 151
+    assert mixing.mix(empty).collect() == []
+
+
+def test_quality(docs, empty, spark):
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")
+    trees = quality.fit(docs.select("doc_id", "text"), labels)
+    for r in quality.judge(docs, trees).collect():
+        n = [t for i, t in DOCS if i == r.doc_id][0]
+        w = words(n)
+        grams = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        cover = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
+        assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r.base_failed and r.kept)
+    assert quality.judge(empty, trees).collect() == []
+
+
+def test_monotone_trees():
+    rng = np.random.default_rng(7)
+    x = rng.random((800, 3))
+    y = (x[:, 0] + 0.3 * rng.random(800) - 0.2 * np.sin(9 * x[:, 1]) > 0.6).astype(int)
+    m = quality.Trees.fit(x, y, (1, 0, -1))
+    for row in x[:40]:
+        up, down = np.repeat(row[None], 30, 0), np.repeat(row[None], 30, 0)
+        up[:, 0], down[:, 2] = np.linspace(0, 1, 30), np.linspace(0, 1, 30)
+        assert (np.diff(m.score(up)) >= -1e-12).all() and (np.diff(m.score(down)) <= 1e-12).all()
+    assert ((m.score(x) > 0.5) == y).mean() > 0.85
+
+
+def test_toxicity(spark, docs, empty):
+    bad = [(k, f"the {text(k, 8)} you are a blarg{'abc'[k % 3]} {text(k + 50, 9)}", 1) for k in range(0, 90, 2)]
+    good = [(k, text(k, 20), 0) for k in range(1, 400, 2)]
+    rows = spark.createDataFrame(bad + good, "doc_id long, text string, toxic int")
+    model = toxicity.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(rows, model).collect()}
+    assert sum(got[k] for k, *_ in bad) >= 0.95 * len(bad) and not any(got[k] for k, *_ in good)
+    assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
+    assert toxicity.score(empty, model).collect() == []
+    plain = toxicity.learn(empty.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert plain.score(b"you are an idiot. you stupid loser. trash. you moron") > 0.7 > plain.score(b"nobody said that")
+
+
+def test_brown(docs, empty):
+    base = docs.select("doc_id", "text")
+    w = brown.count_words(base)
+    counts = collections.Counter(x for _, t in DOCS for x in [*words(low(t)), ""])
+    n, v = sum(counts.values()), len(counts)
+    got = brown.score(docs, brown.learn(base, w), w).collect()
+    want = collections.defaultdict(list)
+    for i, t in DOCS:
+        want[i].append(sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in [*words(low(t)), ""]))
+    assert len(got) == len(DOCS)
+    for r in got:
+        assert r.train_tokens == n and r.n_known == r.n_tokens and abs(r.base_score - want[r.doc_id][0]) < 1e-6 and r.score < 0
+    assert brown.score(empty, brown.learn(empty.select("doc_id", "text"), brown.count_words(empty.select("doc_id", "text"))), w).collect() == []
+
+
+def test_html(spark):
+    page = lambda own: f"<html><head><title>t</title></head><body><nav><a>Menu</a></nav><p>Welcome to the site</p><p>{own} &amp; <b>more</b></p><script>x='</p>'</script><div class='comments'>first!</div><p>All rights reserved</p></body></html>"
+    rows = [(1, "http://h.com/a/1", page("one")), (2, "http://h.com/a/2", page("two")), (3, None, None), (4, "http://k.com/", "<article><h1>T</h1><p>a\n b</p></article><p>out</p>"), (5, "http://k.com/", "<article><h1>T</h1><p>a\n b</p></article><p>out</p>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one & more", 2: "two & more", 3: "", 4: "T\na b", 5: "T\na b"}
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_common_lines():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.integers(0, 4, rng.integers(0, 9))] for _ in "ab")
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        got = html.common_lines(a, b)
+        assert len(got) == best[-1, -1]
+        it = iter(b)
+        assert all(a[k] in it for k in sorted(got))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, d)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    enc = WordEncoder.get(default_path()).tokenizer
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = out.collect()
+    assert 0 < len(rows)
+    for r in rows[:50]:
+        ids = enc.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
