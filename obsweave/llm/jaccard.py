@@ -202,7 +202,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         return met.where(enough()).select("a", "b").union(full.where("gid_x = gid_y").select("a", "b"))
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    links = tested = spark.createDataFrame([], "a long, b long")
+    tested = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, comp long")
     k = 0
     while True:
@@ -233,9 +233,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             ia, ib = (inner.join(lab.select("node", "comp"), "node").select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "node", "comp"))) for s in "xy")
             pairs = pairs.union(ia.join(ib, ia.gid_x == ib.gid_y).where("node_x < node_y AND comp_x <> comp_y").select("node_x", "node_y"))
             new = verify(stage.write(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "pairs-last"), "links-last")
-        links = links.union(new)
+        if not new.isEmpty():  # stars of the components so far, and the new links
+            comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(new), stage, f"comp-{k}")
         stage.release()
-        comp = components(links, stage, f"comp-{k}")
         k += 1
         if last:
             break
