@@ -10,6 +10,7 @@ go through the exchange, where equal chunks meet by their bytes."""
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +153,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                     k += len(cs[i])
                 yield pa.RecordBatch.from_arrays([t.id_array().take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["doc_id", "ids"])
             else:
-                rows = [(i, k, c) for i in np.flatnonzero(~own).tolist() for k, c in enumerate(cs[i])]
+                rows = [(i, k, zlib.compress(c, 1)) for i in np.flatnonzero(~own).tolist() for k, c in enumerate(cs[i])]  # equal chunks stay equal
                 which = pa.array([r[0] for r in rows], pa.int64())
                 # a row's own name: rows with one doc_id stay apart
                 names = {i: hashlib.blake2b(t.blob(i), digest_size=16).digest() for i in set(which.to_pylist())}
@@ -167,7 +168,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 s = b.slice(i, 1024)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(enc.texts(s.column(0).to_pylist()), pa.binary())], ["chunk", "ids"])
+                ids = enc.texts([zlib.decompress(c) for c in s.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([zlib.compress(x, 1) for x in ids], pa.binary())], ["chunk", "ids"])
 
     once = refs.select("chunk").distinct().mapInArrow(encode_chunks, "chunk binary, ids binary")
     placed = refs.join(once, "chunk").select("doc_id", "name", "seq", "chunk", "ids")
@@ -176,7 +178,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         enc = WordEncoder.get(path)
         seq = table.column("seq").to_pylist()
         cols = sorted({k: (k, c, i) for k, c, i in zip(seq, table.column("chunk").to_pylist(), table.column("ids").to_pylist())}.values())
-        ids = join_ids([c[1] for c in cols], [c[2] for c in cols], enc)
+        ids = join_ids([zlib.decompress(c[1]) for c in cols], [zlib.decompress(c[2]) for c in cols], enc)
         times = seq.count(0)  # rows with the same doc_id and text come out as often as they went in
         return pa.table({"doc_id": pa.array([key[0].as_py()] * times, pa.int64()), "ids": pa.array([ids] * times, pa.binary())})
 
