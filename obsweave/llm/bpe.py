@@ -126,8 +126,9 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
     return twice_seen(docs, hashes, input_bytes(docs) / 100, FILTER_BITS)
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of every text as little-endian unsigned integers of the encoder's width.
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids of every text as little-endian unsigned integers of the encoder's width. With `digest`, doc_id, n_tokens,
+    ids_sha256 and decoded_sha256 instead, made by the worker that has the ids.
 
     Null texts count as empty; rows are kept whatever their doc_id, equal or null."""
     path = path or default_path()
@@ -135,6 +136,15 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(shared_filter(base))
 
+    names_ = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids"]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary"
+
+    def columns(runs: list[bytes], enc: WordEncoder) -> list[pa.Array]:
+        if not digest:
+            return [pa.array(runs, pa.binary())]
+        d = [digests_of(r, enc) for r in runs]
+        return [pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.string()), pa.array([x[2] for x in d], pa.string())]
+
     def split(batches: Iterator[pa.RecordBatch], alone: bool) -> Iterator[pa.RecordBatch]:
         enc = WordEncoder.get(path)
         for t in text_slices(batches):
@@ -151,7 +161,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 for i in keep:
                     out.append(join_ids(cs[i], flat[k : k + len(cs[i])], enc))
                     k += len(cs[i])
-                yield pa.RecordBatch.from_arrays([t.id_array().take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([t.id_array().take(pa.array(keep, pa.int64())), *columns(out, enc)], names_)
             else:
                 rows = [(i, k, zlib.compress(c, 1)) for i in np.flatnonzero(~own).tolist() for k, c in enumerate(cs[i])]  # equal chunks stay equal
                 which = pa.array([r[0] for r in rows], pa.int64())
@@ -159,7 +169,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 names = {i: hashlib.blake2b(t.blob(i), digest_size=16).digest() for i in set(which.to_pylist())}
                 yield pa.RecordBatch.from_arrays([t.id_array().take(which), pa.array([names[r[0]] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "name", "seq", "chunk"])
 
-    single = base.mapInArrow(lambda b: split(b, True), "doc_id long, ids binary")
+    single = base.mapInArrow(lambda b: split(b, True), schema)
     refs = base.mapInArrow(lambda b: split(b, False), "doc_id long, name binary, seq int, chunk binary")
     refs = Stage(spark, "bpe").write(refs, "refs")
 
@@ -180,9 +190,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         cols = sorted({k: (k, c, i) for k, c, i in zip(seq, table.column("chunk").to_pylist(), table.column("ids").to_pylist())}.values())
         ids = join_ids([zlib.decompress(c[1]) for c in cols], [zlib.decompress(c[2]) for c in cols], enc)
         times = seq.count(0)  # rows with the same doc_id and text come out as often as they went in
-        return pa.table({"doc_id": pa.array([key[0].as_py()] * times, pa.int64()), "ids": pa.array([ids] * times, pa.binary())})
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * times, pa.int64()), *columns([ids] * times, enc)], names_)
 
-    return single.union(placed.groupBy("doc_id", "name").applyInArrow(put_together, "doc_id long, ids binary"))
+    return single.union(placed.groupBy("doc_id", "name").applyInArrow(put_together, schema))
 
 
 def decode(ids: bytes, enc: WordEncoder) -> str:
@@ -190,26 +200,13 @@ def decode(ids: bytes, enc: WordEncoder) -> str:
     return " ".join([enc.names[i] for i in np.frombuffer(ids, enc.dtype).tolist()])
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents."""
-    path = path or default_path()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder.get(path)
-        if enc.tokenizer.decoder is not None:
-            raise ValueError("this file has a decoder of its own")
-        shown = [str(i) for i in range(enc.size)]
-        for b in batches:
-            n, a, d = [], [], []
-            for r in b.column(1):
-                ids = np.frombuffer(r.as_buffer(), enc.dtype).tolist()
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest())
-                d.append(hashlib.sha256(" ".join([enc.names[i] for i in ids]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests_of(ids: bytes, enc: WordEncoder) -> tuple[int, str, str]:
+    """n_tokens, ids_sha256, decoded_sha256."""
+    if enc.tokenizer.decoder is not None:
+        raise ValueError("this file has a decoder of its own")
+    n = np.frombuffer(ids, enc.dtype).tolist()
+    return len(n), hashlib.sha256(" ".join(map(str, n)).encode()).hexdigest(), hashlib.sha256(decode(ids, enc).encode()).hexdigest()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
