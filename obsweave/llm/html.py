@@ -3,7 +3,7 @@
 Within a host, pages in order of their URL path have a previous and a next page; each is paired with the one that shares the longer path
 beginning. The text lines of a pair are aligned by a longest common subsequence and the lines that both have are deleted: they belong to the
 site, not to the page. What markup says goes first: lines of menus, footers, adverts and the like never count as text, and lines inside a page's
-article are its own even if the nearest page, a copy perhaps, has them too. Differencing decides about all other lines.
+article are its own even if the nearest page, a copy perhaps, has them too. Differencing decides about all other lines, those beside an article too.
 
 Pages are dealt out by ranges of (host, path), so a host with a third of all pages is split like any other stretch of keys; the pages at the ends of a
 range go to its neighbour too, so the pairs do not depend on where ranges end."""
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import input_bytes, tune
 
 # Elements and names by the part they play.
-RAW = "script style noscript template iframe object svg math canvas textarea select option title head".split()
+RAW = "script style noscript template iframe object svg math canvas textarea select option title".split()
 DROPPED = set("nav footer aside form button input label fieldset dialog menu audio video".split())
 INNER = set("article main".split())
 BLOCKS = set("p div section article main header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption address form fieldset hr body html details summary".split())
@@ -56,7 +56,8 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[int, str]]:
-    """(kind, line) of every block of text in page order, without what markup rules out. Where a page has an article, its lines are OWN; all others are OPEN."""
+    """(kind, line) of every block of text in page order, without what markup rules out. Where a page has an article, its lines are OWN; all others are OPEN.
+    A head is left as it is: what stands in it has elements of its own that go, and its end tag may be missing."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside an article
     dropped = inside = False
@@ -124,11 +125,10 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 def text_of(page: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     """The page's text: all lines but those shared with the nearest page that are not the article's own."""
     shared: set[int] = set()
-    if other is not None and any(k == OPEN for k, _ in page):
-        shared = common_lines([x for _, x in page], [x for _, x in other])
-    # in a page with an article, what is outside of it is not text
-    article = any(k == OWN for k, _ in page)
-    return "\n".join(x for k, (kind, x) in enumerate(page) if kind == OWN or not article and k not in shared)
+    at = [k for k, (kind, _) in enumerate(page) if kind == OPEN]
+    if other is not None and at:
+        shared = {at[k] for k in common_lines([page[k][1] for k in at], [x for _, x in other])}
+    return "\n".join(x for k, (_, x) in enumerate(page) if k not in shared)
 
 
 URL = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)")

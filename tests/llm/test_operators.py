@@ -212,6 +212,13 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_beside_an_article(spark):
+    page = lambda own: f"<html><head><meta charset=utf-8><title>t</title><body><nav>Menu</nav><p>Welcome</p><div><p>{own} text</p></div><article><h2>Card</h2></article><section>{own} end</section><div class='ad'>{own} buy</div><p>Imprint</p></body></html>"
+    rows = [(1, "http://h.com/a/1", page("one")), (2, "http://h.com/a/2", page("two")), (3, "http://k.com/", "<p>alone</p><article>own</article>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one text\nCard\none end", 2: "two text\nCard\ntwo end", 3: "alone\nown"}
+
+
 def test_common_lines():
     rng = np.random.default_rng(8)
     for _ in range(200):
