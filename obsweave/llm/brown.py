@@ -1,18 +1,19 @@
 """LM scoring with Brown's class-based bigram model.
 
-P(w | v) = P(class w | class v) * P(w | class w). Words are told apart for classes as units: the UNITS most frequent words are units of their own, the
-others share a unit by their last three bytes. Exchange clustering assigns units to classes: the CORE most frequent words by exact
-exchange on their bigram counts (each word tries every class until nothing improves the likelihood, or SWEEPS rounds), all other units by one
-exchange step against those classes, from their neighbours' counts over the whole training part. Transitions are smoothed towards the classes'
-frequencies, emissions by adding one, with one unseen word a class.
-
-Counts cover every training document. Tables of fixed size (core bigrams, units' neighbours, class bigrams) are added up from dense blocks;
-the vocabulary, which grows with the corpus, stays distributed: only its HEAD most frequent words go to the executors, rarer words are joined."""
+P(w | v) = P(class w | class v) * P(w | class w). Exchange clustering assigns every word of the training part to a class: the CORE most frequent
+words find classes among themselves first, then all words take exchange steps over all bigrams, round by round, until the likelihood stops rising.
+In a round the CORE words move one after the other, then every other word finds the class that raises the likelihood most while the rest stays; all
+of these move at once, or a part of them by hash where that lowers the likelihood. Words never seen in training take the class most common among training words with their last three bytes.
+Transitions are smoothed towards the classes' frequencies, emissions by adding one, with one unseen word a class.
+
+Bigrams, the words' counts of neighbours by class and the vocabulary grow with the corpus and stay distributed; words are told apart by a 64-bit
+digest in the first two. Only the HEAD most frequent words and the tables between classes go to the executors, rarer words are joined."""
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Stage, Texts, id_text, text_slices
 
-CORE, UNITS, HEAD, BUCKETS, CLASSES, SWEEPS = 2048, 16_384, 1 << 17, 1024, 48, 4
+CORE, HEAD, BUCKETS, CLASSES, SWEEPS = 2048, 1 << 17, 1024, 48, 4
+RISE = 1e-4  # rounds end where a round of all words raises the likelihood by less than this part
 SMOOTH = 20.0
 END = b""  # no word is empty
 
@@ -63,72 +65,79 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
 
 
-class Codes(dict):
-    """word -> its rank among the HEAD words, or -1 - bucket. Only head words are held."""
+class Digests(dict):
+    """word -> 64-bit digest; a bounded memo."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - zlib.crc32(word[-3:]) % BUCKETS
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = digest(word)
+        return out
 
 
-def coded(t: Texts, codes: Codes) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Codes of all texts in turn, each text's words followed by the end; how many each text has; the words."""
-    docs = tokens(t)
-    n = np.array([len(d) + 1 for d in docs], np.int64)
-    flat = np.fromiter((c for d in docs for c in (*map(codes.__getitem__, d), codes[END])), np.int64, int(n.sum()))
-    return flat, n, docs
+def digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
 
 
-def dense_sum(df: DataFrame, size: int, fn: Callable[[Iterator[Texts]], Iterator[np.ndarray]], blocks: int = 64) -> np.ndarray:
-    """How often each code below `size` occurs in what fn yields over all documents, as one array: fixed size, added up block by block."""
-    step = -(-size // blocks)
+def bigrams(train: DataFrame) -> DataFrame:
+    """a, b, n: how often the word b follows a in a document, by digests; documents start and end with the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, k = np.zeros(size, np.int64), [], 0
-        for c in fn(text_slices(batches)):
-            held.append(c)
-            k += len(c)
+        memo, held, k = Digests(), [], 0
+        end = memo[END]
+
+        def flush():
+            x = np.concatenate(held)
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(1)))
+            n = np.diff(np.append(first, len(x)))
+            for i in range(0, len(first), 100_000):
+                y = x[first[i : i + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(y[:, 0].copy()), pa.array(y[:, 1].copy()), pa.array(n[i : i + 100_000])], ["a", "b", "n"])
+
+        for t in text_slices(batches):
+            ids = [end]
+            for d in tokens(t):
+                ids += map(memo.__getitem__, d)
+                ids.append(end)
+            x = np.array(ids, np.int64)
+            held.append(np.stack([x[:-1], x[1:]], 1))
+            k += len(x)
             if k > 2_000_000:
-                total += np.bincount(np.concatenate(held), minlength=size)
+                yield from flush()
                 held, k = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=size)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1) for i in range(blocks)], pa.binary())], ["block", "z"])
-
-    def add(key, table):
-        parts = [np.frombuffer(zlib.decompress(z), np.int64) for z in table.column("z").to_pylist()]
-        total = parts[0].copy()
-        for p in parts[1:]:
-            total += p
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "z": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    out = np.zeros(size, np.int64)
-    for r in df.mapInArrow(run, "block int, z binary").groupBy("block").applyInArrow(add, "block int, z binary").collect():
-        x = np.frombuffer(zlib.decompress(r.z), np.int64)
-        out[r.block * step : r.block * step + len(x)] = x
-    return out
+            yield from flush()
+
+    return train.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(grams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Classes of units from their bigram counts. Unit `fixed` (the end) has class 0 to itself; the last unit (all other words) takes part."""
+def exchange(grams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int = SWEEPS, state: tuple | None = None) -> np.ndarray:
+    """Classes of units from their bigram counts. Unit `fixed` (the end) has class 0 to itself; the last unit (all other words) takes part.
+    state: classes to start from, counts by class of neighbours that are no units, before and after, and the table between classes, those included."""
     n = len(grams)
-    cls = 1 + np.arange(n) % (classes - 1)
-    cls[fixed] = 0
-    one = np.zeros((n, classes))
-    one[np.arange(n), cls] = 1
-    table = one.T @ grams @ one
+    if state:
+        cls, before, after, table = state
+        cls, table = cls.copy(), table.copy()
+    else:
+        cls = 1 + np.arange(n) % (classes - 1)
+        cls[fixed] = 0
+        before = after = np.zeros((n, classes))
+        one = np.zeros((n, classes))
+        one[np.arange(n), cls] = 1
+        table = one.T @ grams @ one
     for _ in range(sweeps):
         moved = 0
         for w in range(n):
             if w == fixed:
                 continue
             a, own = cls[w], grams[w, w]
-            r = np.bincount(cls, grams[w], classes)
-            c = np.bincount(cls, grams[:, w], classes)
+            r = np.bincount(cls, grams[w], classes) + after[w]
+            c = np.bincount(cls, grams[:, w], classes) + before[w]
             r[a] -= own
             c[a] -= own
             table[a] -= r
@@ -154,25 +163,155 @@ def exchange(grams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int
     return cls
 
 
-class Model:
-    """What the executors need: the head words, their counts, units' classes and the class tables; all of fixed size."""
+OWN = 2 * CLASSES  # slots of a word's neighbours: classes before it, classes after it, itself
+
+
+def neighbours(grams: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, c, slots, counts: of every word, how often its neighbours are of each class. classes: id, c."""
+    of = lambda k: classes.select(F.col("id").alias(k), "c")
+    before = grams.where("a <> b").join(of("a"), "a").select(F.col("b").alias("id"), F.col("c").alias("slot"), "n")
+    after = grams.where("a <> b").join(of("b"), "b").select(F.col("a").alias("id"), (F.col("c") + CLASSES).alias("slot"), "n")
+    own = grams.where("a = b").select(F.col("a").alias("id"), F.lit(OWN).alias("slot"), "n")
+    sums = before.union(after).union(own).groupBy("id", "slot").agg(F.sum("n").alias("n"))
+    return sums.groupBy("id").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts")).join(classes, "id").select("id", "c", "slots", "counts")
+
+
+def class_table(near: DataFrame) -> np.ndarray:
+    """How often each class follows each, from what neighbours() made."""
+    table = np.zeros((CLASSES, CLASSES))
+    pairs = near.select("c", F.explode(F.arrays_zip("slots", "counts")).alias("x")).where(F.col("x.slots") >= CLASSES)
+    for r in pairs.groupBy("c", F.col("x.slots").alias("slot")).agg(F.sum("x.counts").alias("n")).collect():
+        table[r.c, r.c if r.slot == OWN else r.slot - CLASSES] += r.n
+    return table
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log likelihood that depends on classes."""
+    return float(xlogx(table).sum() - xlogx(table.sum(1)).sum() - xlogx(table.sum(0)).sum())
+
+
+def gains(table: np.ndarray, cls: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Likelihood of each word in each class against without the word, all other words staying. before, after: words x classes, without the word itself."""
+    m, all_b = len(cls), np.arange(CLASSES)
+    gain = np.zeros((m, CLASSES))
+    for near, far, t in ((after, before, table), (before, after, table.T)):
+        w, k = np.nonzero(near)
+        n, a = near[w, k], cls[w]
+        x = t[:, k].T  # counts between each class and k, and below without the word
+        x[np.arange(len(w)), a] -= n
+        same = np.flatnonzero(k == a)
+        x[same] -= far[w[same]]
+        x[same, a[same]] -= own[w[same]]
+        d = xlogx(x + n[:, None]) - xlogx(x)
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else w
+        if len(w):
+            gain[w[first]] += np.add.reduceat(d, first)
+    both = np.repeat(np.diagonal(table)[None], m, 0)
+    i = np.arange(m)
+    both[i, cls] -= after[i, cls] + before[i, cls] + own
+    s = own[:, None]
+    gain += xlogx(both + after + before + s) + xlogx(both) - xlogx(both + after) - xlogx(both + before)
+    for near, t in ((after, table.sum(1)), (before, table.sum(0))):
+        n = near.sum(1) + own
+        x = np.repeat(t[None], m, 0)
+        x[i, cls] -= n
+        # the other margin of the classes around it is the same wherever the word goes
+        gain -= xlogx(x + n[:, None]) - xlogx(x)
+    gain[:, all_b == 0] = -np.inf
+    return gain
+
+
+def proposals(near: DataFrame, table: np.ndarray, core: list[int]) -> DataFrame:
+    """id, c, best: every word's class and the one that raises the likelihood most; the core stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                b = whole.slice(at, 2000)
+                ids, cls = np.array(b.column(0)), np.array(b.column(1)).astype(np.int64)
+                x = unpack(b.column(2), b.column(3))
+                g = gains(table, cls, x[:, :CLASSES], x[:, CLASSES:OWN], x[:, OWN])
+                best, i = np.argmax(g, 1), np.arange(len(b))
+                best = np.where((g[i, best] > g[i, cls] + 1e-9) & ~np.isin(ids, core), best, cls)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls.astype(np.int32)), pa.array(best.astype(np.int32))], ["id", "c", "best"])
+
+    return near.mapInArrow(run, "id long, c int, best int")
+
+
+def unpack(slots: pa.Array, counts: pa.Array) -> np.ndarray:
+    """One row of all slots for each word."""
+    x = np.zeros((len(slots), OWN + 1))
+    x[np.repeat(np.arange(len(slots)), np.array(slots.value_lengths())), np.array(slots.flatten())] = np.array(counts.flatten())
+    return x
+
+
+def core_classes(near: DataFrame, table: np.ndarray, core: list[int], dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The core words' classes, and those after exact exchange on all their bigrams. dense: the core's bigrams; the end is the last."""
+    got = near.join(F.broadcast(near.sparkSession.createDataFrame([(x,) for x in core], "id long")), "id").toArrow().combine_chunks()
+    at = {x: k for k, x in enumerate(core)}
+    order = np.array([at[x] for x in got.column("id").to_pylist()], np.int64)
+    cls, x = np.zeros(len(core), np.int64), np.zeros((len(core), OWN + 1))
+    cls[order] = np.array(got.column("c"))
+    x[order] = unpack(*(got.column(k).combine_chunks() for k in ("slots", "counts")))
+    one = np.eye(CLASSES)[cls]
+    inside = dense - np.diag(np.diagonal(dense))
+    return cls, exchange(dense, len(core) - 1, state=(cls, x[:, :CLASSES] - inside.T @ one, x[:, CLASSES:OWN] - inside @ one, table))
+
+
+def cluster(grams: DataFrame, classes: DataFrame, stage: Stage, core: list[int], dense: np.ndarray) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """The classes (id, c) after exchange steps of all words until the likelihood stops rising; the table between them; the likelihood by round."""
+    tries = 0
+
+    def weigh(classes: DataFrame) -> tuple[DataFrame, np.ndarray, str]:
+        nonlocal tries
+        tries += 1
+        near = stage.write(neighbours(grams, classes), f"near-{tries}")
+        stage.release()
+        return near, class_table(near), f"near-{tries}"
+
+    near, table, name = weigh(classes)
+    likely, part, k = [likelihood(table)], 1, 0
+    while core and table.any():
+        old, new = core_classes(near, table, core, dense)
+        if (old != new).any():
+            moved = F.broadcast(near.sparkSession.createDataFrame([(x, int(c)) for x, c in zip(core, new)], "id long, to int"))
+            was, (near, table, name) = name, weigh(near.join(moved, "id", "left").select("id", F.coalesce("to", "c").alias("c")))
+            stage.drop(was)
+        first, rise = likelihood(table), 0.0
+        moves = stage.write(proposals(near, table, core), f"moves-{k}")
+        most = moves.where("c <> best").count()
+        part = max(1, part // 2)
+        while most and part <= 2 * most:  # down to single words
+            chosen = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(part)) == 0
+            trial = weigh(moves.select("id", F.when(chosen, F.col("best")).otherwise(F.col("c")).alias("c")))
+            rise = likelihood(trial[1]) - first
+            if rise > 0:
+                stage.drop(name)
+                near, table, name = trial
+                break
+            stage.drop(trial[2])
+            part, rise = part * 2, 0.0
+        stage.drop(f"moves-{k}")
+        k += 1
+        likely.append(likelihood(table))
+        # a part's rise stands for as many times that of all words
+        if first - likely[-2] + rise * part < RISE * abs(likely[-1]):
+            break
+    return near.select("id", "c"), table, likely
+
 
-    def __init__(self, codes: Codes, head: np.ndarray, unit_class: np.ndarray, transition: np.ndarray, room: np.ndarray, total: int, kinds: int):
-        self.codes, self.total, self.kinds = codes, total, kinds
-        self.unit_class, self.transition, self.room = unit_class, transition, room
-        rank = np.arange(len(head))
-        self.head_class = unit_class[np.where(rank < UNITS, rank, 0)]
-        self.head = head
+class Model:
+    """What the executors need - the head words with their counts and classes, unseen words' classes by bucket and the class tables, all of fixed size -
+    and the vocabulary (word, n, c), which stays a table."""
 
-    def finish(self, head_bucket: np.ndarray) -> None:
-        """Classes and log10 probabilities of the head words; those beyond UNITS have their bucket's class."""
-        rank = np.arange(len(self.head))
-        self.head_class = self.unit_class[np.where(rank < UNITS, rank, UNITS + head_bucket)]
-        self.emit = np.log10((self.head + 1) / self.room[self.head_class])
-        self.base = np.log10((self.head + 1) / (self.total + self.kinds + 1))
+    def __init__(self, codes: dict[bytes, int], head: np.ndarray, head_class: np.ndarray, unseen: np.ndarray, transition: np.ndarray, room: np.ndarray, total: int, kinds: int):
+        self.codes, self.head, self.head_class, self.unseen = codes, head, head_class, unseen
+        self.transition, self.room, self.total, self.kinds = transition, room, total, kinds
+        self.vocabulary: DataFrame | None = None
+        self.likelihoods: list[float] = []
 
-    def classes(self, flat: np.ndarray) -> np.ndarray:
-        return np.where(flat >= 0, self.head_class[np.maximum(flat, 0)], self.unit_class[UNITS + np.maximum(-1 - flat, 0)])
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vocabulary": None}
 
 
 def previous(flat: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
@@ -186,70 +325,43 @@ def previous(flat: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
 def learn(train: DataFrame, words: DataFrame) -> Model:
     """words: count_words(train), stored."""
     spark = train.sparkSession
+    stage = Stage(spark, "classes")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    vocab, head = [x.as_py() for x in top.column("word")], np.array(top.column("n"), np.int64)
-    if END not in vocab:  # no document at all, or a head of ends only
-        vocab, head = [*vocab, END], np.append(head, 0)
-    codes = Codes({w: k for k, w in enumerate(vocab)})
-    head_bucket = np.array([bucket(w) for w in vocab], np.int64)
-    end = codes[END]
-    core = min(CORE - 1, len(vocab))
-    if end >= core:  # the end is always in the core
-        core = end + 1
-    shared = spark.sparkContext.broadcast(codes)
-
-    def core_grams(slices):
-        for t in slices:
-            flat, n, _ = coded(t, shared.value)
-            c = np.where((flat >= 0) & (flat < core), flat, core)
-            yield previous(c, n, end) * (core + 1) + c
-
-    grams = dense_sum(train, (core + 1) ** 2, core_grams).reshape(core + 1, core + 1).astype(np.float64)
-    core_class = exchange(grams, end)
-    units = UNITS + BUCKETS
-
-    def unit(flat):
-        small = np.where(flat < UNITS, flat, UNITS + head_bucket[np.maximum(flat, 0)])
-        return np.where(flat >= 0, small, UNITS - 1 - flat)
-
-    def around(slices):
-        for t in slices:
-            flat, n, _ = coded(t, shared.value)
-            c = core_class[np.where((flat >= 0) & (flat < core), flat, core)]
-            u, before = unit(flat), previous(flat, n, end)
-            yield np.concatenate([u * CLASSES + previous(c, n, 0), units * CLASSES + unit(before) * CLASSES + c])
-
-    near = dense_sum(train, 2 * units * CLASSES, around).reshape(2, units, CLASSES).astype(np.float64)
-    table = np.zeros((CLASSES, CLASSES))
-    np.add.at(table, (core_class[:, None], core_class[None, :]), grams)
-    rate = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CLASSES))
-    freq = np.log((table.sum(0) + 0.5) / (table.sum() + 0.5 * CLASSES))
-    # gain of putting a unit into class b: of following and preceding its neighbours' classes there, against chance
-    gain = near[0] @ (rate - freq) + near[1] @ (rate - freq).T
-    gain[:, 0] = -np.inf
-    unit_class = np.argmax(gain, 1)
-    unit_class[: min(core, UNITS)] = core_class[: min(core, UNITS)]
-    model = Model(codes, head, unit_class, table, np.ones(CLASSES), total, kinds)
-    model.finish(head_bucket)
-    bc = spark.sparkContext.broadcast(model)
-
-    def class_grams(slices):
-        for t in slices:
-            flat, n, _ = coded(t, bc.value.codes)
-            c = bc.value.classes(flat)
-            yield previous(c, n, 0) * CLASSES + c
-
-    pairs = dense_sum(train, CLASSES**2, class_grams, 1).reshape(CLASSES, CLASSES).astype(np.float64)
+
+    def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(w) for w in b.column(0).to_pylist()], pa.int64())], ["word", "bucket", "n", "id"])
+
+    named = stage.write(words.mapInArrow(with_digest, "word binary, bucket int, n long, id long"), "words")
+    grams = stage.write(bigrams(train), "bigrams")
+    end = digest(END)
+    core = [r.id for r in named.where(F.col("id") != end).orderBy(F.desc("n"), "word").limit(CORE - 1).select("id").collect()] + [end]
+    place = spark.createDataFrame([(x, k) for k, x in enumerate(core)], "id long, k int")
+    at = lambda k: F.broadcast(place.select(F.col("id").alias(k), F.col("k").alias(f"k{k}")))
+    other = F.lit(len(core))
+    small = grams.join(at("a"), "a", "left").join(at("b"), "b", "left").groupBy(F.coalesce("ka", other).alias("i"), F.coalesce("kb", other).alias("j")).agg(F.sum("n").alias("n")).toArrow()
+    dense = np.zeros((len(core) + 1, len(core) + 1))
+    dense[np.array(small.column("i")), np.array(small.column("j"))] = np.array(small.column("n"))
+    seed = exchange(dense, len(core) - 1)
+    first = spark.createDataFrame([(x, int(seed[k])) for k, x in enumerate(core)], "id long, c int")
+    start = named.select("id").distinct().join(F.broadcast(first), "id", "left").select("id", F.coalesce("c", F.lit(int(seed[-1]))).alias("c"))
+    classes, pairs, likely = cluster(grams, stage.write(start, "start"), stage, core, dense[:-1, :-1])
+    vocabulary = stage.write(named.join(classes, "id").select("word", "bucket", "n", "c"), "vocabulary")
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head, head_class = np.array(top.column("n"), np.int64), np.array(top.column("c"), np.int64)
+    codes = {w: k for k, w in enumerate(top.column("word").to_pylist())}
+    if END not in codes:  # no document at all, or a head of ends only
+        codes[END], head, head_class = len(head), np.append(head, 0), np.append(head_class, 0)
     share = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
-    model.transition = np.log10((pairs + SMOOTH * share) / (pairs.sum(1, keepdims=True) + SMOOTH))
-    # words and kinds of words of each class; the head's are known here, the rest's by bucket
-    mass, size = pairs.sum(0), np.bincount(model.head_class, minlength=CLASSES).astype(np.float64)
-    head_in = np.bincount(head_bucket, minlength=BUCKETS)
-    for r in words.groupBy("bucket").agg(F.count("*").alias("n")).collect():
-        size[model.unit_class[UNITS + r.bucket]] += r.n - head_in[r.bucket]
-    model.room = mass + size + 1
-    model.finish(head_bucket)
+    transition = np.log10((pairs + SMOOTH * share) / (pairs.sum(1, keepdims=True) + SMOOTH))
+    size, by_bucket = np.zeros(CLASSES), np.zeros((BUCKETS, CLASSES))
+    for r in vocabulary.where(F.length("word") > 0).groupBy("bucket", "c").agg(F.count("*").alias("kinds")).collect():
+        size[r.c] += r.kinds
+        by_bucket[r.bucket, r.c] += r.kinds
+    size[0] += 1
+    usual = np.where(by_bucket.any(1), by_bucket.argmax(1), max(1, int(size[1:].argmax()) + 1))
+    model = Model(codes, head, head_class, usual, transition, pairs.sum(0) + size + 1, total, kinds)
+    model.vocabulary, model.likelihoods = vocabulary, likely
     return model
 
 
@@ -259,36 +371,40 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
     stage = Stage(spark, "brown")
     shared = spark.sparkContext.broadcast(model)
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as codes: of a head word its rank, of another -1 - its place in the text's rare words."""
+        codes = shared.value.codes
+        for t in text_slices(batches):
+            out = []
+            for d in tokens(t):
+                rare: dict[bytes, int] = {}
+                flat = [codes[w] if w in codes else -1 - rare.setdefault(w, len(rare)) for w in d]
+                out.append((zlib.compress(np.array([*flat, codes[END]], np.int32).tobytes(), 1), list(rare)))
+            yield pa.RecordBatch.from_arrays([t.id_array(), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.binary()))], ["doc_id", "z", "words"])
+
+    table = stage.write(id_text(docs, id_col, text_col).mapInArrow(code, "doc_id long, z binary, words array<binary>").withColumn("row", F.monotonically_increasing_id()), "coded")
+    rare = table.select("row", F.posexplode("words").alias("k", "word")).join(model.vocabulary.select("word", "n", "c"), "word")
+    found = rare.groupBy("row").agg(F.collect_list("k").alias("ks"), F.collect_list("n").alias("ns"), F.collect_list("c").alias("cs"))
+    joined = table.join(found, "row", "left").select("doc_id", "z", "words", "ks", "ns", "cs")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for t in text_slices(batches):
-            flat, n, split = coded(t, m.codes)
-            c = m.classes(flat)
-            move = m.transition[previous(c, n, 0), c]
-            seen = flat >= 0
-            rank = np.maximum(flat, 0)
-            at = np.cumsum(n) - n
-            add = lambda x: np.add.reduceat(x, at)
-            rare = [Counter(w for w in d if w not in m.codes) for d in split]
-            yield pa.RecordBatch.from_arrays(
-                [t.id_array(), pa.array(n), pa.array(add((seen & (m.head[rank] > 0)).astype(np.int64))), pa.array(add(np.where(seen, m.base[rank], 0.0))), pa.array(add(move + np.where(seen, m.emit[rank], 0.0))), pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))],
-                ["doc_id", "n_tokens", "known", "base", "score", "words", "times"],
-            )
-
-    table = stage.write(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, known long, base double, score double, words array<binary>, times array<int>").withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = table.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
-    rooms = spark.createDataFrame([(k, float(model.room[c])) for k, c in enumerate(model.unit_class[UNITS:])], "bucket int, room double")  # BUCKETS rows
-
-    def with_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([bucket(w) for w in b.column(1).to_pylist()], pa.int32())], ["row", "word", "k", "bucket"])
-
-    rare = rare.mapInArrow(with_bucket, "row long, word binary, k int, bucket int")
-    rare = rare.join(words.select("word", "n"), "word", "left").join(F.broadcast(rooms), "bucket")
-    n = F.coalesce("n", F.lit(0))
-    sums = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("known_"), F.sum(F.col("k") * F.log10((n + 1) / F.lit(float(model.total + model.kinds + 1)))).alias("base_"), F.sum(F.col("k") * F.log10((n + 1) / F.col("room"))).alias("score_"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return table.drop("words", "times").join(sums, "row", "left").select("doc_id", "n_tokens", (F.col("known") + zero("known_")).cast("long").alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") + zero("base_")).alias("base_score"), (F.col("score") + zero("score_")).alias("score"))
+            out = []
+            for z, rare, ks, ns, cs in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
+                flat = np.frombuffer(zlib.decompress(z), np.int32).astype(np.int64)
+                count, cls = np.zeros(len(rare) + 1, np.int64), np.array([*(m.unseen[bucket(w)] for w in rare), 0], np.int64)
+                if ks:
+                    count[ks], cls[ks] = ns, cs
+                known, local = np.maximum(flat, 0), np.where(flat < 0, -1 - flat, len(rare))
+                n = np.where(flat >= 0, m.head[known], count[local])
+                c = np.where(flat >= 0, m.head_class[known], cls[local])
+                move = m.transition[previous(c, np.array([len(c)]), 0), c]
+                out.append((len(flat), int((n > 0).sum()), float(np.log10((n + 1) / (m.total + m.kinds + 1)).sum()), float((move + np.log10((n + 1) / m.room[c])).sum())))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64())))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = joined.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,6 +204,30 @@ def test_brown(docs, empty):
     assert brown.score(empty, brown.learn(empty.select("doc_id", "text"), brown.count_words(empty.select("doc_id", "text"))), w).collect() == []
 
 
+def test_brown_classes_rare_words_by_their_neighbours(spark):
+    rows = [(i, "\n".join(f"{p} w{j:04}{k}xyz {q}" for j in range(i * 300, i * 300 + 300))) for i in range(30) for k, p, q in (("k", "one", "two"), ("l", "red", "blue"))]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    model = brown.learn(base, w := brown.count_words(base))
+    tries = spark.createDataFrame([(k, f"{p} w8999{x}xyz {q}") for k, (p, x, q) in enumerate((("one", "k", "two"), ("one", "l", "two"), ("red", "l", "blue"), ("red", "k", "blue")))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in brown.score(tries, model, w).collect()}
+    assert got[0] > got[1] + 1 and got[2] > got[3] + 1
+
+
+def test_brown_gains():
+    rng = np.random.default_rng(4)
+    grams = rng.poisson(0.3, (90, 90)).astype(float)
+    cls = rng.integers(1, brown.CLASSES, 90)
+    tabled = lambda c: np.array([[grams[c == i][:, c == j].sum() for j in range(brown.CLASSES)] for i in range(brown.CLASSES)])
+    side = lambda x: np.array([np.bincount(cls, np.where(np.arange(90) == w, 0, x[w]), brown.CLASSES) for w in range(90)])
+    got = brown.gains(tabled(cls), cls, side(grams.T), side(grams), np.diagonal(grams))
+    for w in range(0, 90, 9):
+        for b in (1, 7, 30):
+            moved = cls.copy()
+            moved[w] = b
+            want = brown.likelihood(tabled(moved)) - brown.likelihood(tabled(cls))
+            assert abs(got[w, b] - got[w, cls[w]] - want) < 1e-6
+
+
 def test_html(spark):
     page = lambda own: f"<html><head><title>t</title></head><body><nav><a>Menu</a></nav><p>Welcome to the site</p><p>{own} &amp; <b>more</b></p><script>x='</p>'</script><div class='comments'>first!</div><p>All rights reserved</p></body></html>"
     rows = [(1, "http://h.com/a/1", page("one")), (2, "http://h.com/a/2", page("two")), (3, None, None), (4, "http://k.com/", "<article><h1>T</h1><p>a\n b</p></article><p>out</p>"), (5, "http://k.com/", "<article><h1>T</h1><p>a\n b</p></article><p>out</p>")]
