@@ -37,9 +37,21 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((c, r) if flip else (r, c) for r, c in pairs)
 
 
+def nearest_free(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Each column in turn takes the cheapest row that is still free, the first of equals; pairs in column order."""
+    free, out = np.ones(len(cost), bool), []
+    for j in range(cost.shape[1] if len(cost) else 0):
+        i = int(np.argmin(np.where(free, cost[:, j], np.inf)))
+        if free[i] and cost[i, j] < 1e6:
+            free[i] = False
+            out.append((i, j))
+    return out
+
+
 @dataclass(frozen=True)
 class Tracker:
-    """Gate and cost: distance to the predicted place below `gate` + `gate_rate` * dt; a track that meets nothing lives for `keep` frames."""
+    """Gate and cost: distance to the predicted place below `gate` + `gate_rate` * dt; a track that meets nothing lives for `keep` frames. With `greedy`,
+    detections take the nearest track in turn, not by the least sum."""
 
     gate: float = 30.0
     gate_rate: float = 1.0
@@ -64,7 +76,7 @@ class Tracker:
                 dist = float(np.hypot(fx - x, fy - y))
                 if dist < self.gate + self.gate_rate * (frame - tr["s"][-1][0]):
                     cost[i, j] = dist
-        hit = {j: i for i, j in assign(cost) if cost[i, j] < 1e6}
+        hit = {j: i for i, j in (nearest_free(cost) if self.greedy else assign(cost)) if cost[i, j] < 1e6}
         out, links, kept = [], [], []
         for j, (d, x, y) in enumerate(found):
             if j in hit:

@@ -60,6 +60,13 @@ def test_assignment_is_optimal():
         assert len(pairs) == min(n, m) and abs(sum(c[p] for p in pairs) - best) < 1e-9
 
 
+def test_greedy_tracker_takes_the_nearest_in_turn():
+    rows = [(0, 1, 0.0, 0.0), (0, 2, 10.0, 0.0), (1, 3, 6.0, 0.0), (1, 4, 12.0, 0.0), (1, 5, 500.0, 0.0)]
+    far = tracking.Tracker(gate=11.0)
+    assert dict(far.run(rows)) == {1: 0, 2: 1, 3: 0, 4: 1, 5: 2}
+    assert dict(tracking.Tracker(gate=11.0, greedy=True).run(rows)) == {1: 0, 2: 1, 3: 1, 4: 2, 5: 3}
+
+
 def test_allocation_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(60):
