@@ -10,6 +10,7 @@ against chance, next to a short fixed lexicon; context weights and the final cal
 MAX_TRAIN labelled rows. Labels, language, source and doc_id are no inputs of a score."""
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -157,26 +158,31 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x))))))
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """text, y: one row of each label and text, told apart by a digest of the lower-case words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [hashlib.sha256(b" ".join((t or "").lower().encode().split())).digest() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.binary())], ["text", "y", "mark"])
+
+    return rows.select("text", "y").mapInArrow(run, "text string, y int, mark binary").groupBy("mark", "y").agg(F.min("text").alias("text")).select("text", "y")
+
+
 def pattern_counts(rows: DataFrame) -> DataFrame:
-    """pattern, toxic, clean: in how many labelled documents (doc_id, text, y) each word and word beginning occurs. Documents with the same smallest
-    shingle hash - copies - count once."""
+    """pattern, toxic, clean: in how many labelled documents (doc_id, text, y) each word and word beginning occurs. Equal texts of one label count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen, counts = set(), (Counter(), Counter())
-            for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = [w.strip(TRIM) for w in (text or "").lower().encode().split()]
-                mark = min((zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                kinds = {w.decode("utf-8", "replace") for w in words if w}
+            counts = (Counter(), Counter())
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                kinds = {w.strip(TRIM).decode("utf-8", "replace") for w in (text or "").lower().encode().split()} - {""}
                 stems = {w[:n] + "*" for w in kinds for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
                 counts[bool(y)].update(kinds | stems)
             names = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())], ["pattern", "toxic", "clean"])
 
-    return rows.select("doc_id", "text", "y").mapInArrow(run, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return distinct_texts(rows).mapInArrow(run, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def contexts(rows: DataFrame, patterns: set[str]) -> DataFrame:

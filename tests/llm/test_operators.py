@@ -189,6 +189,19 @@ def test_toxicity(spark, docs, empty):
     assert plain.score(b"you are an idiot. you stupid loser. trash. you moron") > 0.7 > plain.score(b"nobody said that")
 
 
+def test_toxicity_counts_each_text_once(spark):
+    shared = "zz yy xx ww vv uu tt ss rr qq pp oo"  # a passage that different documents have
+    rows = [(k, f"word{k} {shared}", k % 2) for k in range(6)] + [(10 + k, "Same  text again here now", 1) for k in range(4)] + [(20, "same text again here now", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    want = collections.defaultdict(lambda: [0, 0])
+    for t, y in {(" ".join(t.lower().split()), y) for _, t, y in rows}:
+        for w in set(t.split()):
+            want[w][1 - y] += 1
+    for parts in (1, 5):
+        got = {r.pattern: [r.toxic, r.clean] for r in toxicity.pattern_counts(df.repartition(parts, "doc_id")).collect() if not r.pattern.endswith("*")}
+        assert got == dict(want)
+
+
 def test_brown(docs, empty):
     base = docs.select("doc_id", "text")
     w = brown.count_words(base)
