@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from obsweave.llm import bpe, brown, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity
+from obsweave.llm.common import splitmix
 from obsweave.llm.tokens import WordEncoder, default_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron Ünïcode don't 3x7 x. y,".split()
@@ -283,3 +284,77 @@ def test_pipeline(spark):
     for r in rows[:50]:
         ids = enc.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def brute_pipeline(kept):
+    """doc_id of every row that run() gives for (doc_id, text, source) after toxicity, with multiplicity."""
+    groups = collections.defaultdict(list)
+    for d in kept:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", d[1] or "")].append(d)
+    rows = [min(g, key=lambda d: (-len(d[1] or ""), d[0])) for g in groups.values()]
+    sets = {}
+    for i, t, _ in rows:
+        w = words(low(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    up, where = {i: i for i in sets}, collections.defaultdict(set)
+    for i, x in sets.items():
+        for g in x:
+            where[g].add(i)
+    for a, x in sets.items():
+        for b, n in collections.Counter(b for g in x for b in where[g] if b > a).items():
+            if 100 * n >= 75 * (len(x) + len(sets[b]) - n):
+                p, q = sorted((root(up, a), root(up, b)))
+                up[q] = p
+    rows = [d for d in rows if root(up, d[0]) == d[0]]
+    by = collections.defaultdict(list)
+    for i, t, s in rows:
+        w = words(t)
+        u = float(int(splitmix(np.uint64(i) ^ splitmix(np.array([8]))[0])) >> 11)
+        by[s].append((-np.log((u + 0.5) / 2.0**53) / (0.25 + 0.75 * len(set(w)) / max(len(w), 1)), i, len(w)))
+    goal = mixing.targets({s: sum(x[2] for x in g) for s, g in by.items()})
+    out = collections.Counter()
+    for s, g in by.items():
+        size = sum(x[2] for x in g)
+        epochs = goal[s] // size if size else 0
+        budget, prior, once = goal[s] - epochs * size, 0, set()
+        for _, i, n in sorted(g):
+            prior += n
+            if prior <= budget:
+                once.add(i)
+        rest = budget - sum(n for _, i, n in g if i in once)
+        # what is left goes to the document that comes nearest to it
+        more = [(abs(rest - n), key, i) for key, i, n in g if i not in once and 0 < n < 2 * rest]
+        once |= {min(more)[2]} if more else set()
+        for _, i, n in g:
+            out[i] += (3 if epochs >= 3 else epochs + (i in once)) if n else 0
+    return +out
+
+
+@pytest.mark.parametrize("planted", [False, True])
+def test_all_rows_of_the_pipeline(spark, tmp_path, planted):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    if planted:
+        own = [(k, f"{text(500 + k, 60)} own{k} words{k} here{k}", f"s{k % 3}") for k in range(40)]
+        near = [(100 + k, own[k][1] + " tail", "s1") for k in range(8)]
+        same = [(200 + k, own[k + 20][1].replace(" ", "  "), "s2") for k in range(8)] + [(300, own[20][1], "s0")]
+        bad = [(400 + k, f"you are a stupid idiot, {text(700 + k, 20)}. you are scum. you pathetic loser", "s0") for k in range(6)]
+        d = str(tmp_path)
+        rows = own + near + same + bad + [(500, "", "s0"), (501, None, "s1")]
+        spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(x[0], 0, int(400 <= x[0] < 500)) for x in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.drop_toxic(spark, docs, d).collect()]
+    if planted:
+        assert {x[0] for x in rows} - {x[0] for x in kept} == {x[0] for x in bad}
+    texts = {i: t for i, t, _ in kept}
+    want = brute_pipeline(kept)
+    assert 0 < len(want) < len(kept)
+    enc = WordEncoder.get(default_path()).tokenizer
+    rows = corpus_pipeline.run(spark, d).collect()
+    assert collections.Counter(r.doc_id for r in rows) == want
+    for r in rows:
+        ids = enc.encode(texts[r.doc_id], add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(enc.decode(ids, skip_special_tokens=False)))
