@@ -113,11 +113,24 @@ def test_jaccard(spark, docs, empty):
                     x, y = sorted((root(up, a), root(up, b)))
                     up[y] = x
         table = docs if rows is DOCS else spark.createDataFrame(rows, "doc_id long, text string")
-        for r in jaccard.link_components(table).collect():
-            assert r.doc_id is None or (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(up, r.doc_id))
+        # components in one block; and dealt over blocks of a few sets, with hot shingles
+        for limits in ({}, {"block": 2000, "hot": 64}):
+            for r in jaccard.link_components(table, **limits).collect():
+                assert r.doc_id is None or (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(up, r.doc_id))
     assert jaccard.link_components(empty).collect() == []
 
 
+def test_jaccard_sketches():
+    import random
+
+    rnd = random.Random(4)
+    for n in (1, 5, 60, 700, 30_000):
+        a = np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 8], np.array([rnd.getrandbits(64) for _ in range(n // 9)], np.uint64)]))
+        got = jaccard.Sketches([jaccard.sketch(x).tobytes() for x in (a, b)]).differ(np.array([0]), np.array([1]))[0]
+        assert got <= len(np.setxor1d(a, b))
+
+
 def root(up, i):
     while up[i] != i:
         i = up[i]
