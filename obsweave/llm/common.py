@@ -33,15 +33,21 @@ def tune(spark: SparkSession) -> None:
 
 class Stage:
     """Tables written under spark.checkpoint.dir, which every executor shares; unlike localCheckpoint, they
-    survive the loss of executors. Removed with `drop`, or when the interpreter ends."""
+    survive the loss of executors. Removed with `drop`, with `dropped_after`, or when the interpreter ends. Where the setting
+    is missing, only a session in one process may go on: on a cluster a folder of its own would lose rows."""
+
+    live: list["Stage"] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         tune(spark)
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not root:  # tests only; a cluster names a shared folder
+        if not root:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = "file://" + os.path.join(tempfile.gettempdir(), "obsweave-stage")
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        Stage.live.append(self)
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +67,15 @@ class Stage:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # noqa: BLE001  the session may have ended
             pass
+        if not name and self in Stage.live:
+            Stage.live.remove(self)
+            atexit.unregister(self.drop)
+
+    @staticmethod
+    def dropped_after(first: int, last: int | None = None) -> None:
+        """Drops the tables of all stages made since there were `first` of them."""
+        for stage in Stage.live[first:last]:
+            stage.drop()
 
 
 def input_bytes(df: DataFrame) -> int:

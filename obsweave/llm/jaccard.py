@@ -379,7 +379,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                 if len(t):  # the shingle itself is the star's centre
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), g), pa.int64()), pa.array(t)], ["a", "b"])
 
-    slots = power_of_two(size / (16 << 20), 8, 1 << 20)
+    slots = power_of_two(size / (8 << 20), 16, 1 << 20)
     edges = post.mapInArrow(pack_postings(slots, order), PACKED).groupBy("slot").applyInArrow(stars, "a long, b long").union(post.mapInArrow(hot_stars, "a long, b long"))
     near = components(stage.write(edges, "stars"), stage, "near")
     # groups with candidates, and groups of several members
@@ -414,7 +414,7 @@ def classes(base: DataFrame, nodes: DataFrame, stage: Stage, width: int, percent
     made = base.mapInArrow(emit, "node long, s1 long, s2 long, shingles binary").groupBy("node", "s1", "s2").agg(F.first("shingles").alias("shingles"))
     sets = stage.write(made.join(nodes, ["node", "s1", "s2"]).select("node", "cc", "shingles"), "sets")
     total = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
-    buckets = power_of_two(total / block, 8, 1 << 20)
+    buckets = power_of_two(4 * total / block, 32, 1 << 20)
 
     def joined(df: DataFrame) -> DataFrame:
         """node, label after joining what links among the rows (node, label, probe, shingles) of each key."""

@@ -5,8 +5,9 @@ source's documents in order of their keys are a weighted sample without replacem
 epochs of a source come first; the rest of its target is the longest prefix of that order within the budget, and the one
 later document that fits what is left best.
 
-The order of a source is never sorted in one task: keys fall into even buckets (1 - exp(-key * mean weight)), buckets
-have prefix sums, and only within a bucket are rows sorted; the number of buckets follows the number of rows."""
+The order of a source is never sorted in one task: keys fall into buckets by their distribution, which follows from the source's weights
+(the mean of 1 - exp(-key * weight)) and makes buckets even; buckets have prefix sums, and only within a bucket are rows sorted. The number of buckets follows
+the number of rows."""
 from __future__ import annotations
 
 from fractions import Fraction
@@ -20,7 +21,8 @@ from .common import Stage, Texts, splitmix
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 500
+STEPS = 4  # kinds of weights that are told apart in a factor of 2, for the buckets
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> dict[str | None, Fraction]:
@@ -47,7 +49,7 @@ def mix(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = WEIGHTS, most
 
     Null texts have size 0 and take nothing. Without `weight_col` a document's quality weight is 1/4 + 3/4 of the share of
     different words among its words; weights that are null or not above 0 count as 1/4. Equal keys are ordered by doc_id, then size. The driver gets
-    one row for each source."""
+    one row for each source. An empty table gives no rows; repeated rows are taken each on its own; further columns are not read."""
     spark = docs.sparkSession
     weight = F.lit(None).cast("double") if weight_col is None else docs[weight_col].cast("double")
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[source_col].cast("string").alias("source"), weight.alias("weight"))
@@ -67,11 +69,13 @@ def mix(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = WEIGHTS, most
                     w = np.array([x if x is not None and x > 0 else 0.25 for x in s.column(3).to_pylist()], np.float64)
                 u = (splitmix(t.ids.astype(np.uint64) ^ splitmix(np.array([seed]))) >> np.uint64(11)).astype(np.float64)
                 e = -np.log((u + 0.5) / 2.0**53) / w
-                yield pa.RecordBatch.from_arrays([t.id_array(), s.column(2), pa.array(size), pa.array(e)], ["doc_id", "source", "size", "key"])
+                yield pa.RecordBatch.from_arrays([t.id_array(), s.column(2), pa.array(size), pa.array(e), pa.array(w)], ["doc_id", "source", "size", "key", "weight"])
 
     stage = Stage(spark, "mixing")
-    keyed = stage.write(base.mapInArrow(key, "doc_id long, source string, size long, key double").withColumn("row", F.monotonically_increasing_id()), "keyed")
-    found = keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    keyed = stage.write(base.mapInArrow(key, "doc_id long, source string, size long, key double, weight double").withColumn("row", F.monotonically_increasing_id()), "keyed")
+    kinds = keyed.groupBy("source", F.greatest(F.lit(-64.0), F.least(F.lit(64.0), F.rint(F.log2("weight") * STEPS))).alias("kind")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.avg("weight").alias("weight"))
+    by_source = kinds.groupBy("source").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.collect_list(F.struct("weight", "n")).alias("kinds"))
+    found = by_source.collect()
     sizes = {r.source: r["size"] for r in found}
     goal = targets(sizes, weights, most)
     rows = []
@@ -79,8 +83,10 @@ def mix(docs: DataFrame, seed: int = 8, weights: tuple[int, ...] = WEIGHTS, most
         epochs = int(goal[s] // n) if n else 0
         rows.append((s, n, float(goal[s]), epochs, float(goal[s] - epochs * n)))
     plan = spark.createDataFrame(rows, "source string, source_size long, target double, epochs long, budget double")
+    spread = spark.createDataFrame([(r.source, r.n, [(k.weight, k.n) for k in r.kinds]) for r in found], "of string, n long, kinds array<struct<weight:double,n:bigint>>")
     buckets = max([1, *(r.n // BUCKET_ROWS for r in found)])
-    placed = keyed.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("long"))
+    share = F.aggregate("kinds", F.lit(0.0), lambda acc, k: acc + (1 - F.exp(-F.col("key") * k["weight"])) * k["n"]) / F.col("n")
+    placed = keyed.join(spread, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("long")).drop("of", "n", "kinds", "weight")
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
