@@ -1,7 +1,7 @@
 """Ordered greedy operators as folds inside Catalyst; groups are time islands, so that no fold holds more than one island."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import gap_islands
@@ -30,8 +30,14 @@ def monotone(df: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 
 def slots(df: DataFrame, keys: list[str], start: str, end: str, tie: str, slack: float = 0.0) -> DataFrame:
-    """First-fit slots: a row takes the first slot whose last end + slack lies before its start, or a new one. Adds `slot` from 0."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(tie).alias("i"), F.col(end).alias("e")))).alias("rows_"))
+    """First-fit slots: a row takes the first slot whose last end + slack lies before its start, or a new one. Adds `slot` from 0.
+
+    Where all earlier rows have ended every slot is free, so what follows is a group of its own: a fold holds no more than rows that reach into each other."""
+    w = Window.partitionBy(*keys).orderBy(start, tie)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("free_", F.when(reach.isNull() | (reach + slack < F.col(start)), 1).otherwise(0))
+    df = df.withColumn("run_", F.sum("free_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.groupBy(*keys, "run_").agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(tie).alias("i"), F.col(end).alias("e")))).alias("rows_"))
     zero = F.struct(F.expr("CAST(array() AS array<double>)").alias("ends"), F.expr("CAST(array() AS array<struct<i:bigint,slot:int>>)").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -41,3 +47,8 @@ def slots(df: DataFrame, keys: list[str], start: str, end: str, tie: str, slack:
         return F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(F.struct(r["i"].cast("long").alias("i"), slot.cast("int").alias("slot")))).alias("out"))
 
     return rows.select(*keys, F.explode(F.aggregate("rows_", zero, step)["out"]).alias("o")).select(*keys, F.col("o.i").alias(tie), F.col("o.slot").alias("slot"))
+
+
+def ranked(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """`rank` from 1 in each key, for budgets that take the first so many."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

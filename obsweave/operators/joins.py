@@ -41,3 +41,24 @@ def grid_semi(left: DataFrame, right: DataFrame, cells: dict[str, float], anti:
         r = r.withColumn(n, F.explode(F.array(*(F.col(n) + d for d in (-1, 0, 1)))))
     l = left.select("*", *(k.alias(n) for k, n in zip(key, names)))  # noqa: E741
     return l.join(r.distinct(), names, "left_anti" if anti else "left_semi").drop(*names)
+
+
+def tolerant_anti(left: DataFrame, right: DataFrame, keys: list[str], places: list[str], reach: int) -> DataFrame:
+    """Left rows without a right row of equal keys whose places (integers) all lie within `reach`. Right rows go to the cells they can reach, so the join is by equality."""
+    width = 2 * reach + 1
+    r = right.select(*keys, *(F.col(p).alias(f"{p}_r") for p in places))
+    l = left.withColumn("row_", F.monotonically_increasing_id())  # noqa: E741
+    probe = l.select("row_", *keys, *places)
+    for k, p in enumerate(places):
+        r = r.withColumn(f"c{k}_", F.floor(F.col(f"{p}_r") / width))
+        probe = probe.withColumn(f"c{k}_", F.explode(F.array_distinct(F.array(F.floor((F.col(p) - reach) / width), F.floor((F.col(p) + reach) / width)))))
+    near = probe.join(r, [*keys, *(f"c{k}_" for k in range(len(places)))])
+    for p in places:
+        near = near.where(F.abs(F.col(p) - F.col(f"{p}_r")) <= reach)
+    return l.join(near.select("row_").distinct(), "row_", "left_anti").drop("row_")
+
+
+def share_cells(rows: DataFrame, key: str, cells: list[str], least: int) -> DataFrame:
+    """a, b: pairs of keys, a < b, with `least` or more cells in common; rows: (key, cells), distinct. Only what shares a cell meets."""
+    other = rows.select(F.col(key).alias("b"), *cells)
+    return rows.join(other, cells).where(F.col(key) < F.col("b")).groupBy(F.col(key).alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")

@@ -4,7 +4,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -69,13 +70,14 @@ class Tracker:
 
     def step(self, active: list[dict], frame: int, found: list[tuple[int, float, float]], next_id: int) -> tuple[list[dict], list[tuple[int, int]], int]:
         """One frame: the tracks now active, (detection, track) for each detection, and the next free number."""
+        active = [tr for tr in active if frame - tr["s"][-1][0] <= self.keep]  # frames without detections have passed too
         cost = np.full((len(active), len(found)), 1e6)
-        for i, tr in enumerate(active):
-            x, y = self.predict(tr["s"], frame)
-            for j, (_, fx, fy) in enumerate(found):
-                dist = float(np.hypot(fx - x, fy - y))
-                if dist < self.gate + self.gate_rate * (frame - tr["s"][-1][0]):
-                    cost[i, j] = dist
+        if active and found:
+            at = np.array([self.predict(tr["s"], frame) for tr in active], float)
+            to = np.array([f[1:] for f in found], float)
+            wide = self.gate + self.gate_rate * np.array([frame - tr["s"][-1][0] for tr in active], float)
+            dist = np.hypot(*(to[None, :, k] - at[:, None, k] for k in (0, 1)))
+            cost = np.where(dist < wide[:, None], dist, 1e6)
         hit = {j: i for i, j in (nearest_free(cost) if self.greedy else assign(cost)) if cost[i, j] < 1e6}
         out, links, kept = [], [], []
         for j, (d, x, y) in enumerate(found):
@@ -105,12 +107,19 @@ class Tracker:
 
 
 def track_rows(detections: DataFrame, tracker: Tracker = Tracker()) -> DataFrame:
-    """video, id, track_no for detections (video, frame, id, px, py). Frames of a video depend on each other, so a video is one group."""
+    """video, id, track_no for detections (video, frame, id, px, py). No track outlives `keep` frames without a detection, so a video falls apart at such gaps; the
+    parts are tracked on their own and their numbers follow those of the parts before. Where a video has no gap, it is one group: frames depend on each other."""
+    w = Window.partitionBy("video").orderBy("frame", "id")
+    gap = F.col("frame") - F.lag("frame").over(w) > tracker.keep
+    cut = detections.withColumn("part", F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def run(pdf):
+    def run(key, pdf):
         import pandas as pd
 
         links = tracker.run(list(zip(pdf.frame, pdf.id, pdf.px, pdf.py)))
-        return pd.DataFrame({"video": pdf.video.iloc[0], "id": [x[0] for x in links], "track_no": [x[1] for x in links]})
+        return pd.DataFrame({"video": key[0], "part": key[1], "id": [x[0] for x in links], "no": [x[1] for x in links]})
 
-    return detections.groupBy("video").applyInPandas(run, "video long, id long, track_no long")
+    local = cut.groupBy("video", "part").applyInPandas(run, "video long, part long, id long, no long")
+    many = local.groupBy("video", "part").agg((F.max("no") + 1).alias("many"))
+    before = many.withColumn("before", F.coalesce(F.sum("many").over(Window.partitionBy("video").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return local.join(before, ["video", "part"]).select("video", "id", (F.col("no") + F.col("before")).alias("track_no"))

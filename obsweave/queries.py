@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.scalar import clip, evidence_score, slug, wrap, zigzag
+from .functions.scalar import clip, evidence_score, reliable, slug, wrap, zigzag
 from .operators import greedy, joins, ordered
 from .sources.tables import holds, observations, table
 
@@ -135,10 +135,11 @@ def q10(spark, d):
 
 
 @query("q11_transition_windows", f"""
-WITH {OBS}, k AS (SELECT track, id, t, y, lag(t) OVER q AS t0, lag(y) OVER q AS y0 FROM obs WHERE y % 7 < 5 WINDOW q AS (PARTITION BY track ORDER BY t, id))
+WITH {OBS}, k AS (SELECT track, id, t, y, lag(t) OVER q AS t0, lag(y) OVER q AS y0 FROM obs WHERE (x / 1000 < 0.085 AND y / 1000.0 > 0.025) OR (x / 1000 < 0.045 AND y / 1000.0 > 0.02) WINDOW q AS (PARTITION BY track ORDER BY t, id))
 SELECT track, id, y - y0 AS rise, round(t - t0, 3) AS gap, round(least(57600, greatest(21600, 0.5 * (t - t0) + 10800)), 3) AS tolerance FROM k WHERE y > y0""")
 def q11(spark, d):
-    k = observations(spark, d).where("y % 7 < 5").withColumn("t0", F.lag("t").over(w())).withColumn("y0", F.lag("y").over(w())).where("y > y0")
+    error, margin = F.col("x") / 1000, F.col("y") / 1000
+    k = observations(spark, d).where(reliable(error, margin)).withColumn("t0", F.lag("t").over(w())).withColumn("y0", F.lag("y").over(w())).where("y > y0")
     gap = F.col("t") - F.col("t0")
     return k.select("track", "id", (F.col("y") - F.col("y0")).alias("rise"), r(gap, 3).alias("gap"), r(clip(0.5 * gap + 10800, 21600.0, 57600.0), 3).alias("tolerance"))
 
@@ -247,7 +248,7 @@ def q22(spark, d):
     return e.join(hit, ["track", "id"], "left_anti").select("track", "id")
 
 
-SPAN = "s AS (SELECT track, min(t) AS lo, max(t) AS hi FROM obs GROUP BY track), pr AS (SELECT a.track AS a, b.track AS b, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM s a JOIN s b ON b.track = a.track + 1 WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 86400), g AS (SELECT a, b, k, lo + (hi - lo) * k / 4 AS t FROM pr, (SELECT unnest(generate_series(0, 4)) AS k))"
+SPAN = "s AS (SELECT track, min(t) AS lo, max(t) AS hi FROM obs GROUP BY track), ce AS (SELECT DISTINCT track, floor(t / 3600) AS f, floor(x / 10) AS g FROM obs), cp AS (SELECT m.track AS a, n.track AS b FROM ce m JOIN ce n ON m.f = n.f AND m.g = n.g AND m.track < n.track GROUP BY m.track, n.track HAVING count(*) >= 2), pr AS (SELECT a.track AS a, b.track AS b, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM cp JOIN s a ON a.track = cp.a JOIN s b ON b.track = cp.b WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 86400), g AS (SELECT a, b, k, lo + (hi - lo) * k / 4 AS t FROM pr, (SELECT unnest(generate_series(0, 4)) AS k))"
 LERP = "CASE WHEN p.t IS NULL THEN q.x WHEN q.t IS NULL OR q.t = p.t THEN p.x ELSE p.x + (q.x - p.x) * (g.t - p.t) / (q.t - p.t) END"
 
 
@@ -260,7 +261,8 @@ def q23(spark, d):
     from .plans.paths import overlap_distance
 
     o = observations(spark, d)
-    pairs = o.select(F.col("track").alias("a"), (F.col("track") + 1).alias("b")).distinct()
+    cells = o.select("track", F.floor(F.col("t") / HOUR).alias("f"), F.floor(F.col("x") / 10).alias("g")).distinct()
+    pairs = joins.share_cells(cells, "track", ["f", "g"], 2)
     return overlap_distance(o, pairs, DAY, 5).select("a", "b", r(F.col("med"), 3).alias("med"), r(F.col("worst"), 3).alias("worst"))
 
 
@@ -467,10 +469,11 @@ def q46(spark, d):
     return table(spark, d, "pages").select("page_id", slug(F.col("url")).alias("slug"))
 
 
-@query("q47_digit_parse", """WITH d AS (SELECT conv_id, turn, regexp_replace(text, '[^0-9]', '', 'g') AS g FROM conversations) SELECT conv_id, turn, CASE WHEN g = '' THEN NULL ELSE CAST(substr(g, 1, 15) AS BIGINT) END AS number FROM d""")
+@query("q47_digit_parse", """WITH d AS (SELECT conv_id, turn, regexp_replace(text, '[^0-9]', '', 'g') AS g FROM conversations) SELECT conv_id, turn, nullif(g, '') AS digits, CASE WHEN length(g) BETWEEN 1 AND 18 THEN CAST(g AS BIGINT) END AS number FROM d""")
 def q47(spark, d):
-    g = F.regexp_replace("text", "[^0-9]", "")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(g != "", F.substring(g, 1, 15).cast("long")).alias("number"))
+    g = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^0-9]", "").alias("g"))
+    # every digit is kept; a number beyond what a long holds has its digits only
+    return g.select("conv_id", "turn", F.nullif("g", F.lit("")).alias("digits"), F.when(F.length("g").between(1, 18), F.col("g").try_cast("long")).alias("number"))
 
 
 @query("q48_json_extract", """SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL""")
@@ -519,12 +522,12 @@ def q52(spark, d):
 
 
 @query("q53_hough_bincount", f"""
-WITH {OBS}, a AS (SELECT unnest(generate_series(0, 17)) AS th), h AS (SELECT th, CAST(round_even(round(least(x, 200) * cos(th * 10 * pi() / 180) + y * sin(th * 10 * pi() / 180), 6), 0) AS BIGINT) AS rho, count(*) AS n FROM obs, a GROUP BY 1, 2)
+WITH {OBS}, a AS (SELECT unnest(generate_series(0, 89)) AS th), h AS (SELECT th, CAST(round_even(round(x * cos(radians(th * 2)) + y * sin(radians(th * 2)), 6), 0) AS BIGINT) AS rho, count(*) AS n FROM obs, a GROUP BY 1, 2)
 SELECT th, rho, n FROM h WHERE n > 65""")
 def q53(spark, d):
-    a = F.radians(F.col("th") * 10)
-    o = observations(spark, d).select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(17))).alias("th"))
-    rho = F.rint(F.round(F.least(F.col("x"), F.lit(200.0)) * F.cos(a) + F.col("y") * F.sin(a), 6)).cast("long")
+    a = F.radians(F.col("th") * 2)
+    o = observations(spark, d).select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("th"))
+    rho = F.rint(F.round(F.col("x") * F.cos(a) + F.col("y") * F.sin(a), 6)).cast("long")
     return o.groupBy(F.col("th").cast("long").alias("th"), rho.alias("rho")).agg(F.count("*").alias("n")).where("n > 65")
 
 

@@ -1,6 +1,7 @@
 """Sessions by gap, over tables and over streams."""
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,39 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, path: str, gap: str, late: str = "30 days") -> DataFrame:
-    """The same over a stream of files, with a watermark; the state that is left when the input has been read, as a table."""
-    schema = spark.read.parquet(path).schema
-    glob = path if path.endswith("*") else path
-    source = spark.readStream.schema(schema).parquet(glob.rpartition("/")[0] + "/" + glob.rpartition("/")[2] + "*") if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    e = source.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    """The same over a stream of files in a folder, or of one file, with a watermark of `late`: the sessions when all input has been read, as a table.
+
+    Every batch writes its sessions as a table in the shared folder, by executors, and the query's progress is in a checkpoint beside it; a batch that is run
+    again replaces its own table."""
+    source, only = folder(spark, path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = stream.option("pathGlobFilter", only) if only else stream
+    e = stream.parquet(source).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     s = e.groupBy("user_id", F.session_window("at", gap).alias("s")).agg(F.count("*").alias("n"), F.min("ts").alias("t0"))
-    name = f"sessions_{uuid.uuid4().hex}"
-    q = s.select("user_id", "t0", "n").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    root, last = shared_folder(spark, "sessions"), []
+
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch-{k}")
+        last[:] = [k]
+
+    q = s.select("user_id", "t0", "n").writeStream.outputMode("complete").option("checkpointLocation", f"{root}/progress").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema("user_id long, t0 timestamp_ntz, n long").parquet(f"{root}/batch-{last[0]}")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; below the temporary folder only for a session in one process without that setting."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
+def folder(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """The folder to watch, and the one file's name if `path` is a file."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return path, None
+    return path.rpartition("/")[0], p.getName()
