@@ -52,7 +52,7 @@ def q62(spark, d):
 @query("q63_ring_attachment", f"""
 WITH {OBS}, g AS (SELECT a.track, a.id, a.t, a.y, a.x - 0.95 * coalesce(max(b.x), 0) AS fresh FROM obs a LEFT JOIN obs b ON a.track = b.track AND b.t < a.t AND b.t >= a.t - 172800 AND abs(a.y - b.y) <= 20 WHERE a.kind = 'click' GROUP BY a.track, a.id, a.t, a.y, a.x),
 c AS (SELECT e.track, e.id, g.id AS ring, g.fresh, row_number() OVER (PARTITION BY e.track, e.id ORDER BY round(abs(g.y - e.y) + 0.5 * abs(g.t - e.t) / 3600 - 0.02 * g.fresh, 6), g.id) AS k FROM obs e JOIN g ON g.track = e.track AND g.t - e.t BETWEEN -57600 AND 82800 WHERE e.kind = 'view' AND abs(g.y - e.y) <= 30 AND g.fresh > 5)
-SELECT track, id, ring, round(fresh, 3) AS fresh FROM c WHERE k = 1""")
+SELECT track, id, ring, round(fresh, 4) AS fresh FROM c WHERE k = 1""")
 def q63(spark, d):
     o = observations(spark, d)
     clicks = o.where("kind = 'click'").select("track", "id", "t", "x", "y")
@@ -60,7 +60,7 @@ def q63(spark, d):
     rings = clicks.join(prior, ["track", "id"], "left").select("track", "id", "t", "y", (F.col("x") - 0.95 * F.coalesce("m", F.lit(0.0))).alias("fresh")).where("fresh > 5")
     dy, dt = F.abs(F.col("y_r") - F.col("y")), F.abs(F.col("t_r") - F.col("t")) / 3600
     got = motion.attach(o.where("kind = 'view'").select("track", "id", "t", "y"), rings, ["track"], "t", -16 * HOUR, 23 * HOUR, dy <= 30, r(dy + 0.5 * dt - 0.02 * F.col("fresh_r"), 6), "id_r")
-    return got.select("track", "id", F.col("id_r").alias("ring"), r("fresh_r", 3).alias("fresh"))
+    return got.select("track", "id", F.col("id_r").alias("ring"), r("fresh_r").alias("fresh"))
 
 
 @query("q64_support_window", f"""

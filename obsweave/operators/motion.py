@@ -82,7 +82,7 @@ def tail_collapse(df: DataFrame, keys: list[str], t: str, tie: str, length: str,
     w = by(keys, [t, tie])
     end = F.max(t).over(Window.partitionBy(*keys))
     rate = -(F.col(length) - F.lag(length).over(w)) / F.nullif(F.col(t) - F.lag(t).over(w), F.lit(0.0))
-    near = df.withColumn("end_", end).where(F.col(t) >= F.col("end_") - last).withColumn("rate_", rate)
+    near = df.withColumn("end_", end).withColumn("rate_", rate).where(F.col(t) >= F.col("end_") - last)
     got = near.groupBy(*keys).agg(F.percentile("rate_", F.lit(0.5)).alias("rate"), F.count("*").alias("n"), F.first("end_").alias("end"), F.max_by(length, F.struct(t, tie)).alias("left"))
     return got.where((F.col("n") >= 3) & (F.col("rate") > low) & (F.col("rate") < high)).withColumn("finish", F.col("end") + F.least(F.lit(most), F.col("left") / F.col("rate")))
 

@@ -60,7 +60,7 @@ def q95(spark, d):
     h = scalar.finite(holds(spark, d), "t", "duration")
     finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) & ~F.isnan(c)
     size = F.sum(F.length(F.col("price").cast("double").try_cast("decimal(20,2)").cast("decimal(20,0)").cast("string")) + 1)
-    return h.agg(F.count_if(F.col("duration") < 0).alias("negative"), F.count_if(~finite("t") | ~finite("duration")).alias("invalid"), F.count_if("frames < 1").alias("frameless"), size.alias("payload"), (size <= 1_500_000).alias("fits"))
+    return h.agg(F.count_if(F.col("duration") < 0).alias("negative"), F.count_if(~finite("t") | ~finite("duration")).alias("invalid"), F.count_if(F.expr("frames < 1")).alias("frameless"), size.alias("payload"), (size <= 1_500_000).alias("fits"))
 
 
 @query("q96_speed_clamp", f"""
@@ -154,10 +154,10 @@ def q103(spark, d):
 WITH {OBS}, a AS (SELECT track, id, t, degrees(atan2(y - 50, x - 25)) AS deg FROM obs), s AS (SELECT *, coalesce(((((deg - lag(deg) OVER q) + 180) % 360) + 360) % 360 - 180, 0) AS st FROM a WINDOW q AS (PARTITION BY track ORDER BY t, id)),
 u AS (SELECT *, first_value(deg) OVER (PARTITION BY track ORDER BY t, id) + sum(st) OVER (PARTITION BY track ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS v FROM s),
 m AS (SELECT *, list_sort([coalesce(lag(v) OVER q, v), v, coalesce(lead(v) OVER q, v)])[2] AS f FROM u WINDOW q AS (PARTITION BY track ORDER BY t, id))
-SELECT track, id, round(CASE WHEN abs(f - 90) < 4 THEN 90 ELSE f END, 3)::DOUBLE AS angle FROM m""")
+SELECT track, id, round(CASE WHEN abs(f - 90) < 4 THEN 90 ELSE f END, 3)::DOUBLE + 0.0::DOUBLE AS angle FROM m""")
 def q104(spark, d):
     a = observations(spark, d).withColumn("deg", F.degrees(F.atan2(F.col("y") - 50, F.col("x") - 25)))
-    return paths.axis_angles(a, ["track"], ["t", "id"], "deg", 4.0).select("track", "id", r(F.col("angle").cast("double"), 3).alias("angle"))
+    return paths.axis_angles(a, ["track"], ["t", "id"], "deg", 4.0).select("track", "id", (r(F.col("angle").cast("double"), 3) + F.lit(0.0)).alias("angle"))
 
 
 @query("q105_split_votes", f"""
@@ -167,7 +167,7 @@ def q105(spark, d):
     from .operators.motion import split_pairs
 
     h = holds(spark, d)
-    v = h.groupBy("pk").agg(F.percentile("frames", F.lit(0.5)).alias("gap"), F.count_if("ring > 0.05D").alias("votes"))
+    v = h.groupBy("pk").agg(F.percentile("frames", F.lit(0.5)).alias("gap"), F.count_if(F.expr("ring > 0.05D")).alias("votes"))
     s = h.join(v, "pk").withColumn("two", F.expr("gap BETWEEN 20 AND 30 AND votes >= 3"))
     at = F.when(F.col("two"), F.col("t") - F.col("gap") * 3600).otherwise(F.col("t"))
     return split_pairs(s, [F.lit(0), at], [F.lit(1), F.col("t") + F.col("gap") * 3600], ["part", "at"], F.col("two")).select(*_key(), "part", r("at", 1).alias("moment"))
@@ -232,20 +232,20 @@ def q112(spark, d):
 
 
 @query("q113_batch_report", """
-WITH f AS (SELECT o_orderkey AS run, o_orderstatus = 'F' AS ok FROM orders), s AS (SELECT run, CAST(row_number() OVER (ORDER BY run) AS INTEGER) AS place FROM f WHERE ok) SELECT run, 'done' AS state, place FROM s UNION ALL SELECT run, 'failed', NULL FROM f WHERE NOT ok""")
+WITH f AS (SELECT o_orderkey AS run, o_orderstatus = 'F' AS ok FROM orders), s AS (SELECT run, CAST(row_number() OVER (ORDER BY run) AS INTEGER) AS place FROM f WHERE ok) SELECT run, 'done' AS state, place FROM s UNION ALL SELECT run, 'failed', 0 FROM f WHERE NOT ok""")
 def q113(spark, d):
     f = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_orderstatus") == "F").alias("ok"))
     done = f.where("ok").select("run")
     s = paths.numbered(done, ["run"]).select("run", F.lit("done").alias("state"), "place")
-    return s.union(unfinished(f, done, "run").select("run", F.lit("failed"), F.lit(None).cast("int")))
+    return s.union(unfinished(f, done, "run").select("run", F.lit("failed"), F.lit(0)))
 
 
 @query("q114_reading_difference", f"""
-WITH {OBS} SELECT a.track, a.id, a.y - b.y AS difference FROM obs a LEFT JOIN (SELECT track, t, min(y) AS y FROM obs WHERE kind = 'view' GROUP BY track, t) b ON a.track = b.track AND a.t = b.t""")
+WITH {OBS} SELECT a.track, a.id, CAST(a.y - b.y AS DOUBLE) AS difference FROM obs a LEFT JOIN (SELECT track, t, min(y) AS y FROM obs WHERE kind = 'view' GROUP BY track, t) b ON a.track = b.track AND a.t = b.t""")
 def q114(spark, d):
     o = observations(spark, d)
     b = o.where("kind = 'view'").groupBy("track", "t").agg(F.min("y").alias("z"))
-    return o.join(b, ["track", "t"], "left").select("track", "id", (F.col("y") - F.col("z")).alias("difference"))
+    return o.join(b, ["track", "t"], "left").select("track", "id", (F.col("y") - F.col("z")).cast("double").alias("difference"))
 
 
 @query("q115_stage_manifest", """
@@ -261,10 +261,10 @@ def q115(spark, d):
 
 
 @query("q116_url_parts", r"""
-SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, url_decode(regexp_extract(url, '[?&]ref=([^&#]*)', 1)) AS ref, TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INTEGER) AS page, lpad(CAST(page_id AS VARCHAR), 6, '0') AS padded, CAST(len(string_split(url, '/')) AS INTEGER) AS parts FROM pages""")
+SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, url_decode(regexp_extract(url, '[?&]ref=([^&#]*)', 1)) AS ref, coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INTEGER), 0) AS page, lpad(CAST(page_id AS VARCHAR), 6, '0') AS padded, CAST(len(string_split(url, '/')) AS INTEGER) AS parts FROM pages""")
 def q116(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", F.regexp_extract(u, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.url_decode(F.regexp_extract(u, "[?&]ref=([^&#]*)", 1)).alias("ref"), F.nullif(F.regexp_extract(u, "[?&]page=([0-9]+)", 1), F.lit("")).try_cast("int").alias("page"), F.lpad(F.col("page_id").cast("string"), 6, "0").alias("padded"), F.size(F.split(u, "/")).alias("parts"))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(u, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.url_decode(F.regexp_extract(u, "[?&]ref=([^&#]*)", 1)).alias("ref"), F.coalesce(F.nullif(F.regexp_extract(u, "[?&]page=([0-9]+)", 1), F.lit("")).try_cast("int"), F.lit(0)).alias("page"), F.lpad(F.col("page_id").cast("string"), 6, "0").alias("padded"), F.size(F.split(u, "/")).alias("parts"))
 
 
 @query("q117_byte_ranges", """

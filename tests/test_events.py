@@ -17,7 +17,7 @@ def sprite(k, fake=True, y=100, count=12, kind=0):
 
 
 def hold(k, at, lasting, head, ring, offset=0.0, contact=1.0):
-    line = lambda o: [[float(t), 300 + 25 * t + o, 200 + 40 * t] for t in np.linspace(0.70, 1.37, 10)]
+    line = lambda o: [[t, 300 + 25 * t + o, 200 + 40 * t] for t in np.linspace(0.70, 1.37, 10).tolist()]
     return dict(zip(NAMES, (k, at, lasting, 0, False, 10, "medium", 42, 1260.0, contact, ring, head, line(offset), line(offset - 80))))
 
 
