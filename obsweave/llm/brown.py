@@ -471,8 +471,8 @@ def sweeps(texts: DataFrame, cls: np.ndarray, other: int, stage: Stage, most: in
         k += 1
 
 
-def fit(coded: DataFrame, keep: Column, words: DataFrame, head: Head) -> tuple[Model, DataFrame]:
-    """A model from the coded texts that `keep` holds for, and all coded texts with what is known of their rare words."""
+def fit(coded: DataFrame, keep: Column, words: DataFrame, head: Head, spent: Stage | None = None) -> tuple[Model, DataFrame]:
+    """A model from the coded texts that `keep` holds for, and all coded texts with what is known of their rare words. spent: holds `words`, dropped when they have been read."""
     spark = coded.sparkSession
     stage, lasting = Stage(spark, "classes"), Stage(spark, "vocabulary")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -487,6 +487,8 @@ def fit(coded: DataFrame, keep: Column, words: DataFrame, head: Head) -> tuple[M
     stage.release()
     rare = lasting.write(words.join(placed, "id").select("id", "bucket", "n", "c"), "rare")
     stage.drop()
+    if spent:
+        spent.drop()
     stage.release()
     coded = lasting.write(with_known(coded, rare.select("id", "n", "c"), other), "known")
     stage.release()
@@ -546,10 +548,10 @@ def scored(known: DataFrame, model: Model) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    stage = Stage(spark, "words")
-    words = stage.write(count_words(docs.where(~held_out())), "words")
+    stage, counts = Stage(spark, "coded"), Stage(spark, "words")
+    words = counts.write(count_words(docs.where(~held_out())), "words")
     head = Head(words)
     stage.release()
-    model, known = fit(prepared(docs, spark.sparkContext.broadcast(head), stage), ~held_out(), words, head)
+    model, known = fit(prepared(docs, spark.sparkContext.broadcast(head), stage), ~held_out(), words, head, counts)
     stage.drop()  # what the scores need is written elsewhere
     return scored(known, model).withColumn("held_out", held_out())

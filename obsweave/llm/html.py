@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import html
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,21 +23,33 @@ from pyspark.sql import functions as F
 from .common import input_bytes, tune
 
 # Elements and names by the part they play.
-RAW = "script style noscript template iframe object svg math canvas textarea select option title".split()
-DROPPED = set("nav footer aside form button input label fieldset dialog menu audio video".split())
+RAW = "script style textarea title iframe".split()  # text up to the end tag
+DROPPED = set("nav footer aside form button input label fieldset dialog menu audio video noscript template object svg math canvas select datalist".split())
 INNER = set("article main".split())
 BLOCKS = set("p div section article main header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption address form fieldset hr body html details summary".split())
 SPACED = set("br td th img wbr".split())
 TRACKED = BLOCKS - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "hr", "caption", "thead", "tbody", "tfoot", "html", "body"} | DROPPED
 VOID = set("br hr img input wbr meta link base area col embed source track param".split())
-NAMES = re.compile(r"(?:^|[\s_-])(ad|ads|adv|advert|adverts|advertisement|banner|sponsor|sponsored|promo|promotion|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|topbar|cookie|cookies|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|comment|comments|respond|disqus|replies|copyright|legal|pager|pagination|tags)(?:$|[\s_-])", re.I)
+NAMES = set("ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget comment comments respond disqus replies copyright legal pager pagination tags".split())
+AFFIXES = set("main site page post article top bottom left right inner outer box bar block list item items link links wrap wrapper container area section holder panel row col column group slot unit text title primary secondary global js the wp".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
+MOST_RANGES = 20_000  # bounds what the driver holds; a longer range is sorted on disk and read as a stream
 OWN, OPEN = 1, 0  # a line of the article; a line about which markup says nothing
 
 
+def names_part(value: str) -> bool:
+    """Whether one of the names in a class or id attribute names a part that is not text: every word of the name says so or is an affix (`cookie-notice`, `site_footer-2`),
+    not just one of them (`side-by-side`, `ad-hoc`)."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[-_]+|\d+", name) if w]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in AFFIXES for w in words):
+            return True
+    return False
+
+
 def unwanted(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROPPED or tag == "header" and not inside:
         return True
@@ -45,7 +58,7 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if NAMES.search(value):
+            if names_part(value):
                 return True
         elif name == "role":
             if value.lower() in ROLES:
@@ -100,25 +113,43 @@ def lines(page: str) -> list[tuple[int, str]]:
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence of a and b, by bit-parallel dynamic programming."""
+    """Positions in a of a longest common subsequence of a and b, by bit-parallel dynamic programming. Rows of the table are kept at every so many lines and
+    made again between, so that memory grows as the lines' number to the power 1.5."""
+    also = set(a)
+    b = [x for x in b if x in also]
     where: dict[str, int] = {}
     for k, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << k
+    at = [k for k, x in enumerate(a) if x in where]
+    every = max(1, math.isqrt(len(at)))
     full = (1 << len(b)) - 1
-    v, rows = full, []
-    for x in a:
-        u = v & where.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    i, j, out = len(a), len(b), set()
+
+    def step(v: int, k: int) -> int:
+        m = where[a[k]]
+        u = v & m
+        return ((v + u) | (v - u)) & full
+
+    kept, v = [], full
+    for i, k in enumerate(at):
+        if i % every == 0:
+            kept.append(v)
+        v = step(v, k)
+    i, j, out = len(at), len(b), set()
+    rows: list[int] = []  # of the block that i is in: before its first line, after it, ...
+    first = -1
     while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
+        if (i - 1) // every * every != first:
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for k in at[first : min(first + every, len(at))]:
+                rows.append(step(rows[-1], k))
+        if rows[i - first] >> (j - 1) & 1:
             j -= 1
         else:
             i -= 1
-            if not (i and not rows[i - 1] >> (j - 1) & 1):
+            if rows[i - first] >> (j - 1) & 1:
                 j -= 1
-                out.add(i)
+                out.add(at[i])
     return out
 
 
@@ -155,9 +186,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     tune(spark)
     base = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     order = lambda i, u: ((a := address(u))[0] or "", a[1], i if i is not None else -(2**63))
-    ranges = max(1, int(input_bytes(base) // range_bytes))
-    # where ranges end; affects how pages are dealt out, not the result
-    some = base.select("page_id", "url").where(F.pmod(F.xxhash64("page_id"), F.lit(1000)) < F.least(F.lit(1000), F.lit(200 * ranges))).limit(200 * ranges).collect() if ranges > 1 else []
+    ranges = min(MOST_RANGES, max(1, int(input_bytes(base) // range_bytes)))
+    # where ranges end, from a random sample; affects how pages are dealt out, not the result
+    some = base.select("page_id", "url").orderBy(F.xxhash64("page_id", "url")).limit(20 * ranges).collect() if ranges > 1 else []
     keys = sorted(order(r.page_id, r.url) for r in some)
     bounds = [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
 

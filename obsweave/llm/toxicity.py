@@ -1,13 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Lexical transducers map words to classes: insult and threat (with a weight), target, negation, reported speech, other. Over
-a clause's classes run three context transducers - target, negation and reported speech - composed with the lexical
-ones into one automaton; it emits a matched insult or threat with the context it stands in, and the weight of a match
-is that of its pattern plus that of its context. A document is scored on its matched clauses, never on words alone.
+A lexicon maps words to classes: insult and threat (with a weight), target, negation, reported speech, other. Over a clause's classes run five
+transducers - insult, threat with its target, target nearby, negation, reported speech - composed into one automaton; it emits what it accepts with the
+context that stands around it, and the weight of a match is that of its pattern plus that of its context. A document is scored on its matched clauses: a clause
+counts once, by its best match. An insult without a target is a match too, with the weight of that context: in the given tables toxic texts name no target.
 
 What insults is learned: whole words and word beginnings whose document frequency among labelled toxic documents stands out
 against chance, next to a short fixed lexicon; context weights and the final calibration are learned too, from at most
-MAX_TRAIN labelled rows. Labels, language, source and doc_id are no inputs of a score."""
+MAX_TRAIN labelled rows, which bounds the patterns too. Labels, language, source and doc_id are no inputs of a score."""
 from __future__ import annotations
 
 import hashlib
@@ -26,7 +26,6 @@ from .common import id_text, text_slices
 from .quality import sample
 
 MAX_TRAIN = 12_000
-MAX_PATTERNS = 4000
 STEM = (3, 10)  # lengths of word beginnings, in characters
 #: A lexicon to start from, by class.
 SEEDS = {
@@ -64,6 +63,27 @@ def reach(symbol: int, length: int | None) -> Transducer:
     return Transducer(top + 1, step)
 
 
+def insult() -> Transducer:
+    """Outputs 1 at an insult."""
+    return Transducer(1, {(0, x): (0, int(x == INSULT)) for x in range(7)})
+
+
+def threat(length: int) -> Transducer:
+    """Outputs 1 at a threat that follows a target, and at a target that follows a threat, at most `length` symbols apart. States: since neither, since a target, since a threat."""
+    step = {}
+    for s, x in product(range(2 * length + 1), range(7)):
+        since_target, since_threat = (s if s <= length else 0), (s - length if s > length else 0)
+        if x == END:
+            step[s, x] = 0, 0
+        elif x == TARGET:
+            step[s, x] = length, int(since_threat > 0)
+        elif x == THREAT:
+            step[s, x] = (s - 1 if since_target else 2 * length), int(since_target > 0)
+        else:
+            step[s, x] = (0 if s in (0, 1, length + 1) else s - 1), 0
+    return Transducer(2 * length + 1, step)
+
+
 def compose(parts: list[Transducer]) -> Transducer:
     """Runs the parts side by side over the same classes; the output has one bit for each part."""
     spans = [p.states for p in parts]
@@ -75,8 +95,9 @@ def compose(parts: list[Transducer]) -> Transducer:
     return Transducer(len(number), step)
 
 
-#: Bits of a context: 1 target nearby, 2 negated, 4 reported.
-GRAMMAR = compose([reach(TARGET, TARGET_REACH), reach(NEGATION, NEGATION_REACH), reach(REPORTED, None)])
+#: Bits of an output: 1 target nearby, 2 negated, 4 reported: the context; 8 an insult, 16 a threat and its target.
+GRAMMAR = compose([reach(TARGET, TARGET_REACH), reach(NEGATION, NEGATION_REACH), reach(REPORTED, None), insult(), threat(TARGET_REACH)])
+CONTEXT, IS_INSULT, IS_THREAT = 7, 8, 16
 
 
 class Lexicon(dict):
@@ -106,33 +127,29 @@ class Lexicon(dict):
 
 
 def matches(text: bytes, lexicon: Lexicon) -> list[tuple[int, float, int]]:
-    """(clause, pattern weight, context) of every matched insult or threat of a text. Lines and full stops end clauses. Threats count with a
-    target before or after them only."""
+    """(clause, pattern weight, context) of every insult, and every threat with its target, that the grammar accepts in a text. Lines and full stops end clauses."""
     out: list[tuple[int, float, int]] = []
     look, clause = lexicon.__getitem__, 0
     for line in text.lower().split(b"\n"):
-        words = line.split()
-        found = list(map(look, words))
+        found = list(map(look, line.split()))
         hits = [k for k, f in enumerate(found) if f]
         if any(found[k][0] in (INSULT, THREAT) for k in hits):
-            state, last, open_threats = 0, -1, []
+            state, last, threatened = 0, -1, 0.0
             for k in hits:
                 kind, weight, ends = found[k]
                 for _ in range(min(k - last - 1, TARGET_REACH)):  # words of no class age what stands before them
                     state, _ = GRAMMAR(state, OTHER)
-                nxt, context = GRAMMAR(state, kind)
-                if kind == INSULT or kind == THREAT and context & 1:
-                    out.append((clause, weight, context))
-                elif kind == THREAT:
-                    open_threats.append((k, weight, context))
-                elif kind == TARGET:
-                    out += [(clause, w, c | 1) for i, w, c in open_threats if k - i <= TARGET_REACH]
-                    open_threats = []
-                state, last = nxt, k
+                state, got = GRAMMAR(state, kind)
+                if kind == THREAT:
+                    threatened = weight
+                if got & IS_INSULT:
+                    out.append((clause, weight, got & CONTEXT))
+                if got & IS_THREAT:
+                    out.append((clause, threatened, got & CONTEXT | 1))
+                last = k
                 if ends:
                     state, _ = GRAMMAR(state, END)
                     clause += 1
-                    open_threats = []
         clause += 1
     return out
 
@@ -146,7 +163,7 @@ def evidence(found: list[tuple[int, float, int]], context: np.ndarray) -> tuple[
             best[clause] = w
     if not best:
         return 0.0, 0.0, 0.0
-    return max(best.values()), min(sum(best.values()), 60.0), math.log1p(len(best))
+    return max(best.values()), sum(best.values()), math.log1p(len(best))
 
 
 class Model:
@@ -215,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, keep=None, most: int = MAX_TRAIN)
     stems: dict[str, float] = {}
     if bad and good:
         odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
-        found = pattern_counts(rows).withColumn("odds", odds).where((F.col("toxic") >= 3) & (F.col("odds") > 3.2)).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "pattern").limit(MAX_PATTERNS).collect()
+        found = pattern_counts(rows).withColumn("odds", odds).where((F.col("toxic") >= 3) & (F.col("odds") > 3.2)).orderBy("pattern").collect()
         around = {r.pattern: r.n for r in contexts(rows.where("y = 1"), {r.pattern for r in found}).collect()}
         # chance: that so many places all happen to be in toxic documents. Copies of a passage are one place; further places in one document count half
         unlikely = lambda r, n: (min(r.toxic, n) + 0.5 * max(0, n - r.toxic)) * -math.log(bad / (bad + good)) > 12
@@ -276,7 +293,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted of every document. Null texts count as empty and score by the calibration's constant."""
+    """doc_id, score, predicted of every document. Null texts count as empty and score by the calibration's constant. A score depends on the text alone: repeated
+    rows have the same, a null doc_id changes nothing; an empty table gives no rows, further columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -221,14 +221,15 @@ def test_brown(docs, empty):
     w = brown.count_words(base)
     counts = collections.Counter(x for _, t in DOCS for x in [*words(low(t)), ""])
     n, v = sum(counts.values()), len(counts)
-    got = brown.score(docs, brown.learn(base, w), w).collect()
+    got = brown.score(docs, brown.learn(base, w)).collect()
     want = collections.defaultdict(list)
     for i, t in DOCS:
         want[i].append(sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in [*words(low(t)), ""]))
     assert len(got) == len(DOCS)
     for r in got:
         assert r.train_tokens == n and r.n_known == r.n_tokens and abs(r.base_score - want[r.doc_id][0]) < 1e-6 and r.score < 0
-    assert brown.score(empty, brown.learn(empty.select("doc_id", "text"), brown.count_words(empty.select("doc_id", "text"))), w).collect() == []
+    none = empty.select("doc_id", "text")
+    assert brown.score(empty, brown.learn(none, brown.count_words(none))).collect() == []
 
 
 def test_brown_classes_rare_words_by_their_neighbours(spark):
@@ -236,7 +237,7 @@ def test_brown_classes_rare_words_by_their_neighbours(spark):
     base = spark.createDataFrame(rows, "doc_id long, text string")
     model = brown.learn(base, w := brown.count_words(base))
     tries = spark.createDataFrame([(k, f"{p} w8999{x}xyz {q}") for k, (p, x, q) in enumerate((("one", "k", "two"), ("one", "l", "two"), ("red", "l", "blue"), ("red", "k", "blue")))], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in brown.score(tries, model, w).collect()}
+    got = {r.doc_id: r.score for r in brown.score(tries, model).collect()}
     assert got[0] > got[1] + 1 and got[2] > got[3] + 1
 
 
@@ -270,6 +271,24 @@ def test_html_beside_an_article(spark):
     assert got == {1: "one text\nCard\none end", 2: "two text\nCard\ntwo end", 3: "alone\nown"}
 
 
+def test_html_forms_of_markup():
+    text = lambda page: [x for _, x in html.lines(page)]
+    assert text("<html><head><meta charset=x><body><p>Hello world</p></body></html>") == ["Hello world"]
+    assert text("<datalist><option>a<option>b</datalist><p>b</p><select><option>c</select><p>d</p>") == ["b", "d"]
+    assert text("<p class='side-by-side'>a</p><div class='ad-hoc x'>b</div><div class='cookie-notice'>c</div><div id=site_footer-2>d</div><div class='wide ad'>e</div>") == ["a", "b"]
+    assert text("<div><noscript><p>a</div><p>b</p>") == ["b"]
+    assert len(text("<p>x</p>" * 100_000)) == 100_000
+
+
+def test_common_lines_of_long_pages():
+    a = [str(k % 977) for k in range(4000)]
+    b = [str(k * 7 % 983) for k in range(4000)]
+    got = html.common_lines(a, b)
+    it = iter(b)
+    assert all(a[k] in it for k in sorted(got)) and len(got) > 50
+    assert html.common_lines(a, a) == set(range(4000))
+
+
 def test_common_lines():
     rng = np.random.default_rng(8)
     for _ in range(200):
