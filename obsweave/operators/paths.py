@@ -79,3 +79,23 @@ def hough(points: DataFrame, angles: int, least: int) -> DataFrame:
     around = F.explode(F.array(*(F.struct((F.col("th") + i).alias("th"), (F.col("rho") + j).alias("rho")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     top = h.select("n", around.alias("v")).groupBy("v.th", "v.rho").agg(F.max("n").alias("top"))
     return h.join(top, ["th", "rho"]).where("n = top").select(F.col("th").cast("long").alias("th"), "rho", "n")
+
+
+def velocities(df: DataFrame, keys: list[str], order: list[str], t: str, value: str, unit: float = 1.0) -> DataFrame:
+    """`v`: change of the value to the row before, for `unit` seconds; null for the first row and between equal times."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("v", (F.col(value) - F.lag(value).over(w)) / F.nullif((F.col(t) - F.lag(t).over(w)) / unit, F.lit(0.0)))
+
+
+def counts_until(atoms: DataFrame, probes: DataFrame, key: str, t: str) -> DataFrame:
+    """Probes with `combo`, how many atoms of their key have a time up to theirs: one union and one running count, no range join."""
+    rows = atoms.select(key, F.col(t).alias("t_"), F.lit(1).alias("n_"), F.lit(None).cast(probes.select(F.struct("*").alias("p")).schema["p"].dataType).alias("p_"))
+    rows = rows.unionByName(probes.select(key, F.col(t).alias("t_"), F.lit(0).alias("n_"), F.struct("*").alias("p_")))
+    w = Window.partitionBy(key).orderBy("t_").rangeBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("combo", F.sum("n_").over(w)).where("p_ IS NOT NULL").select("p_.*", "combo")
+
+
+def script(lines: DataFrame, keys: list[str], order: list[str], line: str) -> DataFrame:
+    """notes, script, size: the lines of each key in order, as one text, and its size with line ends. A script is one value, so a key is as large as what it exports."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("line_"))))
+    return lines.groupBy(*keys).agg(F.count("*").alias("notes"), F.array_join(F.transform(rows, lambda x: x["line_"]), "\n").alias("script"), F.sum(F.length(line) + 1).alias("size"))

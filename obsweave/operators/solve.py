@@ -1,8 +1,6 @@
 """Allocation under count constraints and local reconciliation, component by component."""
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +46,6 @@ def allocate(atoms: list[tuple[tuple[int, ...], float]], wanted: list[int]) -> l
     return out
 
 
-def brute_allocate(atoms: list[tuple[tuple[int, ...], float]], wanted: list[int]) -> float | None:
-    """Best total score by enumeration; for tests."""
-    best = None
-    for pick in itertools.product((False, True), repeat=len(atoms)):
-        got = [0] * len(wanted)
-        for p, (spans, _) in zip(pick, atoms):
-            for i in spans:
-                got[i] += p
-        if got == list(wanted):
-            s = sum(a[1] for p, a in zip(pick, atoms) if p)
-            best = s if best is None or s > best else best
-    return best
-
-
 def reconcile(times: list[float], real: list[bool], score: list[float], bounds: list[float], wanted: list[int], reach: float, passes: int = 96) -> tuple[list[bool], int, int]:
     """Accept-if-improves search: flip one candidate, or exchange a real for a fake within `reach`, whichever lowers the L1 residual most (then moves before
     exchanges, then cost); until nothing does. Returns the flags and the residual before and after."""

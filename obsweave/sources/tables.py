@@ -33,9 +33,12 @@ def read_stage(spark: SparkSession, path: str, schema: str, kind: str = "json")
 
 
 def write_stage(df: DataFrame, path: str, kind: str = "parquet", order: list[str] | None = None) -> None:
-    """A stage file; CSV has a header and its columns in `order`."""
+    """A stage file; CSV has a header, its columns in `order`, and arrays, structs and maps as JSON."""
     out = df.select(*order) if order else df
-    out.write.mode("overwrite").option("header", True).format(kind).save(path)
+    if kind == "csv":
+        nested = ("array", "struct", "map")
+        out = out.select(*(F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in nested else F.col(f.name) for f in out.schema))
+    out.write.mode("overwrite").option("header", True).option("escape", '"').format(kind).save(path) if kind == "csv" else out.write.mode("overwrite").format(kind).save(path)
 
 
 def unfinished(sources: DataFrame, finished: DataFrame, key: str = "video") -> DataFrame:
