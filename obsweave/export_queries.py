@@ -160,3 +160,22 @@ def q140(spark, d):
     now = o.agg((F.min("t") + 10 * DAY).alias("now"))  # one row
     near = o.join(F.broadcast(now), F.abs(F.col("t") - F.col("now")) <= 12 * HOUR)
     return near.orderBy("t", "id").limit(300).select("id", r("t", 3).alias("t"), "kind")
+
+
+@query("q141_nearest_event", f"""
+WITH {OBS}, c AS (SELECT a.track, a.id, b.id AS near, 35 * abs(b.t - a.t) / 86400 + abs(b.x - a.x) AS cost FROM obs a JOIN obs b ON a.track = b.track AND b.kind = 'purchase' WHERE a.kind = 'error'),
+k AS (SELECT *, row_number() OVER (PARTITION BY track, id ORDER BY round(cost, 9), near) AS k FROM c) SELECT track, id, near, round(cost, 4) AS cost FROM k WHERE k = 1""")
+def q141(spark, d):
+    o = observations(spark, d).select("track", "id", "t", "x", "kind")
+    j = joins.nearest(o.where("kind = 'error'").drop("kind"), o.where("kind = 'purchase'").drop("kind"), ["track"], "t", "x", 35 / DAY, DAY)
+    return j.select("track", "id", F.col("id_r").alias("near"), r("cost").alias("cost"))
+
+
+@query("q142_seeded_random", """
+WITH s AS (SELECT event_id, CAST(event_id + 1 AS BIGINT) AS a FROM events), b AS (SELECT event_id, xor(a, (a << 13) & 4294967295) AS a FROM s), c AS (SELECT event_id, xor(a, a >> 17) AS a FROM b), e AS (SELECT event_id, xor(a, (a << 5) & 4294967295) AS a FROM c)
+SELECT event_id, a AS state, round(a / 4294967296, 9) AS draw FROM e""")
+def q142(spark, d):
+    from .functions.scalar import xorshift32
+
+    e = table(spark, d, "events").select("event_id", xorshift32(F.col("event_id") + 1).alias("state"))
+    return e.select("event_id", "state", r(F.col("state") / 4294967296, 9).alias("draw"))

@@ -108,3 +108,11 @@ def evidence_score(ring: Column, head: Column, hit: Column, target: Column, fram
 def reliable(error: Column, margin: Column) -> Column:
     """Whether a reading can be trusted: a small error with a clear margin to the second best, or a very small one with a lesser margin."""
     return ((error < 0.085) & (margin > 0.025)) | ((error < 0.045) & (margin > 0.020))
+
+
+def xorshift32(state: Column) -> Column:
+    """The next state of a 32-bit xorshift generator (13, 17, 5); states are 1 to 2**32 - 1."""
+    full = F.lit(4294967295)
+    for n in (13, -17, 5):
+        state = state.bitwiseXOR(F.shiftleft(state, n).bitwiseAND(full) if n > 0 else F.shiftright(state, -n))
+    return state

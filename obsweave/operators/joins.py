@@ -62,3 +62,22 @@ def share_cells(rows: DataFrame, key: str, cells: list[str], least: int) -> Data
     """a, b: pairs of keys, a < b, with `least` or more cells in common; rows: (key, cells), distinct. Only what shares a cell meets."""
     other = rows.select(F.col(key).alias("b"), *cells)
     return rows.join(other, cells).where(F.col(key) < F.col("b")).groupBy(F.col(key).alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, place: str, rate: float, cell: float, id_col: str = "id") -> DataFrame:
+    """Each left row with the right row of its keys that costs least, rate * abs(dt) + abs(dplace), then the least id; without a limit on either. The right rows next to it in time give a
+    bound, and only rows within the time that the bound allows are compared, so a row meets its neighbourhood and not all rows of its key. Right columns get the suffix _r."""
+    l = left.withColumn("row_", F.monotonically_increasing_id())  # noqa: E741
+    bound = F.lit(float("inf"))
+    probe = l.select(*keys, t, place, "row_")
+    for forward in (False, True):
+        probe = as_of(probe, right.select(*keys, t, place), keys, t, [place], forward)
+        cost = rate * F.abs(F.col(f"{t}_r") - F.col(t)) + F.abs(F.col(f"{place}_r") - F.col(place))
+        probe = probe.withColumn("bound_", F.least(F.coalesce(cost, F.lit(float("inf"))), F.col("bound_") if forward else bound)).drop(f"{t}_r", f"{place}_r")
+    reach = F.col("bound_") / rate * (1 + 1e-9) + 1e-9
+    probe = probe.where(F.col("bound_") < float("inf")).withColumn("cell_", F.explode(F.sequence(F.floor((F.col(t) - reach) / cell), F.floor((F.col(t) + reach) / cell))))
+    r = right.select(*(F.col(c).alias(c if c in keys else f"{c}_r") for c in right.columns)).withColumn("cell_", F.floor(F.col(f"{t}_r") / cell))
+    cost = rate * F.abs(F.col(f"{t}_r") - F.col(t)) + F.abs(F.col(f"{place}_r") - F.col(place))
+    met = probe.join(r, [*keys, "cell_"]).withColumn("cost", cost).where(F.col("cost") <= F.col("bound_") * (1 + 1e-9) + 1e-9)
+    best = argmin_per(met.select("row_", "cost", *(f"{c}_r" for c in right.columns if c not in keys)), ["row_"], F.round("cost", 9), f"{id_col}_r")
+    return l.join(best, "row_").drop("row_")

@@ -103,3 +103,28 @@ def test_approach(spark):
     assert got[0].t == 0.98 and got[1].t < 0.5 and got[1].y <= 1
     lead = [r.x for r in spark.createDataFrame([(True, False), (False, False), (True, True)], "i boolean, f boolean").select(fallback_lead(F.col("i"), F.col("f")).alias("x")).collect()]
     assert lead == [0.02, 0.6, 0.6]
+
+
+def test_hollow_duplicates():
+    a, b = sprite(1, count=12), sprite(2, count=8)
+    far = sprite(3, y=300, count=8)
+    assert ev.hollow_duplicates([a, b, far]) == {1}
+    a["track"] = None
+    b["ring"] = 0.9
+    assert ev.hollow_duplicates([a, b, far]) == {0}
+    assert ev.hollow_duplicates([]) == set()
+
+
+def test_consolidated():
+    line = lambda k, a, b: dict(sprite(k), time=a, duration=b - a, path=[[t, 100.0, 200 * t] for t in np.linspace(a, b, 12).tolist()])
+    out = ev.consolidated([line(1, 1.0, 2.0), line(2, 1.5, 2.6), line(3, 2.2, 3.0), dict(line(4, 1.0, 2.0), path=[[1.0, 500.0, 0.0], [2.0, 500.0, 9.0]])])
+    assert [(e["event_id"], round(e["time"] + e["duration"], 6)) for e in out] == [(1, 3.0), (4, 2.0)]
+    assert out[0]["path"][0][0] == 1.0 and out[0]["path"][-1][0] == 3.0 and all(x[0] < y[0] for x, y in zip(out[0]["path"], out[0]["path"][1:]))
+
+
+def test_extended_by():
+    e = dict(sprite(1), path=[[t, 100.0, 10 * t] for t in (1.0, 2.0, 3.0, 4.0)])
+    tr = np.array([[t, 104.0, 10 * t] for t in (0.0, 1.0, 2.0, 3.0, 5.0)])
+    away = np.array([[t, 400.0, 10 * t] for t in (1.0, 2.0, 3.0)])
+    (got,), left = ev.extended_by([e], [tr, away])
+    assert [q[0] for q in got["path"]] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and len(left) == 1 and len(e["path"]) == 4
