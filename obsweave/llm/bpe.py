@@ -17,13 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Stage, Texts, id_text, in_filter, input_bytes, splitmix, text_slices, twice_seen
+from .common import Stage, Texts, filter_bits, id_text, in_filter, input_bytes, splitmix, text_slices, twice_seen
 from .tokens import WordEncoder, default_path
 
 MASK_BITS, LEAST, MOST = 11, 256, 16384  # chunks of about 2 KB
 WINDOW = 32
 GEAR = (splitmix(np.arange(256) + 0xC0DE) >> np.uint64(32)).astype(np.uint32)
-FILTER_BITS = 24  # 2 MB
 
 
 def gear_hashes(buf: np.ndarray) -> np.ndarray:
@@ -123,7 +122,7 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
         for t in text_slices(batches):
             yield np.array([chunk_hash(c) for cs in chunks(t) for c in cs], np.uint64)
 
-    return twice_seen(docs, hashes, input_bytes(docs) / 100, FILTER_BITS)
+    return twice_seen(docs, hashes, input_bytes(docs) / 100, filter_bits(input_bytes(docs) / 64, 24))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:

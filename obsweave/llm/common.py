@@ -263,6 +263,16 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 BYTE_VALUE = splitmix(np.arange(256) + 0x5EED)
 
 
+#: Largest filter, in bits by powers of two: 128 MB in a worker.
+MOST_FILTER_BITS = 30
+
+
+def filter_bits(size: float, least: int) -> int:
+    """Bits of a filter over an input, by powers of two: one bit for so many bytes of input as keeps the load low, at most MOST_FILTER_BITS; beyond that the filter fills up, so
+    that more rows are moved, and results stay."""
+    return power_of_two(size, 1 << least, 1 << MOST_FILTER_BITS).bit_length() - 1
+
+
 def twice_seen(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], stage_bytes: int, filter_bits: int = 26, least_docs: int = 2) -> np.ndarray:
     """A bit filter (2**filter_bits bits, indexed by the top bits of a hash) of the 64-bit hashes that `hashes`
     yields twice or more. It has no false negatives and its size is fixed, so it may be broadcast; when it

@@ -14,12 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, in_filter, input_bytes, text_slices, twice_seen
+from .common import Stage, filter_bits, in_filter, input_bytes, text_slices, twice_seen
 
 DROP = bytes([32, *range(9, 14)])
 FIRST = 64
 WIDEN = 64
-FILTER_BITS = 25  # 4 MB
 
 
 def first_digit(norm: bytes) -> int:
@@ -40,7 +39,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for t in text_slices(batches):
             yield np.array([first_digit(x.translate(None, DROP)) for x in t.blobs()], np.uint64)
 
-    bits = spark.sparkContext.broadcast(twice_seen(base, hashes, input_bytes(base) / 100, FILTER_BITS))
+    bits = spark.sparkContext.broadcast(twice_seen(base, hashes, input_bytes(base) / 100, filter_bits(input_bytes(base) / 256, 25)))
 
     def split(batches: Iterator[pa.RecordBatch], alone: bool) -> Iterator[pa.RecordBatch]:
         for t, tie in text_slices(batches, True):

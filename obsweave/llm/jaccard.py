@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, LOWER, Stage, Texts, components, gather_ranges, id_text, in_filter, input_bytes, power_of_two, range_hashes, splitmix, text_slices, twice_seen, word_bounds
+from .common import BYTE_VALUE, LOWER, Stage, Texts, components, filter_bits, gather_ranges, id_text, in_filter, input_bytes, power_of_two, range_hashes, splitmix, text_slices, twice_seen, word_bounds
 
 WIDTH = 5
 PERCENT = 75
@@ -338,7 +338,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         for t in text_slices(batches):
             yield np.concatenate([order.value.prefix(s, percent) for s in shingle_sets(t, width) if len(s)] or [np.zeros(0, np.uint64)])
 
-    bits = spark.sparkContext.broadcast(twice_seen(base, prefixes, size / 4, power_of_two(size / 64, 1 << 26, 1 << 30).bit_length() - 1))
+    bits = spark.sparkContext.broadcast(twice_seen(base, prefixes, size / 4, filter_bits(size / 64, 26)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_slices(batches):

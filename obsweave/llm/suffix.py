@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Stage, Texts, binary_array, gather_ranges, id_text, in_filter, input_bytes, power_of_two, range_hashes, splitmix, text_slices, twice_seen
+from .common import BYTE_VALUE, Stage, Texts, binary_array, filter_bits, gather_ranges, id_text, in_filter, input_bytes, power_of_two, range_hashes, splitmix, text_slices, twice_seen
 
 WINDOW, K = 50, 20
 SPAN = WINDOW - K  # columns before and after an anchor
@@ -133,7 +133,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
         for t in text_slices(batches):
             yield passages(t)[4]
 
-    bits = spark.sparkContext.broadcast(twice_seen(base, anchors, size / 2))
+    bits = spark.sparkContext.broadcast(twice_seen(base, anchors, size / 2, filter_bits(size / 8, 26)))
 
     def result(i, b: bytes, removed: int, runs: int, kept: bytes):
         return (i, len(b), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else []))
@@ -248,7 +248,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
             h = sender(*(np.asarray(b.column(k)).astype(np.int64) for k in range(2)))
             yield np.concatenate([h, h])
 
-    wanted = spark.sparkContext.broadcast(twice_seen(seen.where("multi").select("s1", "doc"), senders, size / 8))
+    wanted = spark.sparkContext.broadcast(twice_seen(seen.where("multi").select("s1", "doc"), senders, size / 8, filter_bits(size / 64, 26)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _, d, start, wins, lead, anchor, s1, _ in marked(batches):
