@@ -36,7 +36,7 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
-MOST_RANGES = 20_000  # bounds what the driver holds; a longer range is sorted on disk and read as a stream
+MOST_RANGES = 50_000  # bounds what the driver holds; a longer range is sorted on disk and read as a stream
 OWN, OPEN = 1, 0  # a line of the article; a line about which markup says nothing
 
 
@@ -179,7 +179,7 @@ def nearest(path: str, before: str | None, after: str | None) -> int:
     return -1 if n[0] >= n[1] else 1
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = 16 << 20) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = 2 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every page. Null or empty html gives an empty text. A page without a host, or alone on its host, is
     compared with none; equal URLs are ordered by page_id (null first), then html. Rows may repeat."""
     spark = pages.sparkSession
@@ -253,7 +253,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
 
     dealt = base.mapInArrow(read, "range int, host string, path string, page_id long, url string, own boolean, page binary")
-    return dealt.repartition(ranges, "range").sortWithinPartitions("range", "host", "path", F.col("page_id").asc_nulls_first(), "page").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    # several ranges a task, so that tasks are about even
+    return dealt.repartition(max(1, ranges // 4), "range").sortWithinPartitions("range", "host", "path", F.col("page_id").asc_nulls_first(), "page").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

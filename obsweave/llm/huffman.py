@@ -220,8 +220,8 @@ def read_ids(file: DataFrame, keep_ids: bool = False) -> DataFrame:
     return file.where("part IS NOT NULL").select("part", "start", "block").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def token_file(docs: DataFrame, path: str | None = None, end_id: int | None = 1, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every text, writes the Huffman-coded file and returns it as read back.
+def token_file(docs: DataFrame, path: str | None = None, end_id: int | None = 1, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", to: str | None = None) -> DataFrame:
+    """Encodes every text, writes the Huffman-coded file and returns it as read back. to: a folder that does not exist yet, where the file stays; else it goes with the session.
 
     Null texts count as empty and have the end id alone; null doc_ids come first; equal doc_ids stay apart. An empty
     table gives a file with a code book and no block."""
@@ -231,7 +231,12 @@ def token_file(docs: DataFrame, path: str | None = None, end_id: int | None = 1,
     table = stage.write(encode_table(id_text(docs, id_col, text_col), path, end_id), "ids")
     counts = count_ids(table, enc.dtype.str, enc.size)
     file = write_ids(table, code_lengths(counts, limit), enc.dtype.str, limit, stage)
-    stage.drop("ids")
+    if to:
+        file.write.parquet(to)
+        file = docs.sparkSession.read.schema(file.schema).parquet(to)
+        stage.drop()
+    else:
+        stage.drop("ids")
     return file
 
 

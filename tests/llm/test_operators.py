@@ -45,6 +45,12 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
+def test_token_file_that_stays(spark, docs, tmp_path):
+    huffman.token_file(docs, to=str(tmp_path / "ids"))
+    kept = spark.read.parquet(str(tmp_path / "ids"))
+    assert sorted(map(tuple, huffman.read_ids(kept).collect()), key=str) == sorted(map(tuple, huffman.read_ids(huffman.token_file(docs)).collect()), key=str)
+
+
 def test_token_files(docs, empty):
     enc = WordEncoder.get(default_path()).tokenizer
     start, want = 0, []
