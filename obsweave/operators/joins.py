@@ -81,3 +81,17 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, place: s
     met = probe.join(r, [*keys, "cell_"]).withColumn("cost", cost).where(F.col("cost") <= F.col("bound_") * (1 + 1e-9) + 1e-9)
     best = argmin_per(met.select("row_", "cost", *(f"{c}_r" for c in right.columns if c not in keys)), ["row_"], F.round("cost", 9), f"{id_col}_r")
     return l.join(best, "row_").drop("row_")
+
+
+def same_time(left: DataFrame, right: DataFrame, keys: list[str], t: str, columns: list[str], tolerance: float = 1e-5) -> DataFrame:
+    """Each left row with the right row nearest in time. A left row without one within `tolerance` stops the query: the next one is never taken instead."""
+    both = left
+    for forward, mark in ((False, "p"), (True, "n")):
+        names = {f"{c}_r": f"{c}_{mark}" for c in [t, *columns]}
+        both = as_of(both, right, keys, t, columns, forward).withColumnsRenamed(names)
+    before, after = F.col(t) - F.col(f"{t}_p"), F.col(f"{t}_n") - F.col(t)
+    first = before.isNotNull() & (after.isNull() | (before <= after))
+    gap = F.when(first, before).otherwise(after)
+    ok = F.when(F.coalesce(gap <= tolerance, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit(f"no row within {tolerance} s of "), F.col(t).cast("string"))).cast("boolean"))
+    out = both.select(*left.columns, *(F.when(ok, F.when(first, F.col(f"{c}_p")).otherwise(F.col(f"{c}_n"))).alias(f"{c}_r") for c in [t, *columns]))
+    return out

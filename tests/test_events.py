@@ -128,3 +128,29 @@ def test_extended_by():
     away = np.array([[t, 400.0, 10 * t] for t in (1.0, 2.0, 3.0)])
     (got,), left = ev.extended_by([e], [tr, away])
     assert [q[0] for q in got["path"]] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and len(left) == 1 and len(e["path"]) == 4
+
+
+def test_tail_contact():
+    path = [[1.0 + k / 30, 0.0, 300.0 + k * 40] for k in range(9)]  # 1,200 pixels a second down
+    assert abs(ev.tail_contact(path, 1.02, 592.0) - (1.0 + 292 / 1200)) < 1e-9  # measured
+    assert abs(ev.tail_contact(path[:5], 1.02, 592.0) - (1.0 + 292 / 1200)) < 1e-9 and ev.tail_contact(path[:5], 1.02, 592.0) > 1.22  # carried on
+    assert ev.tail_contact(path[:3], 1.02, 592.0) is None and ev.tail_contact(path, 1.2, 592.0) is None and ev.tail_contact([], 1.0, 592.0) is None
+
+
+def test_transitions(spark):
+    s = "track long, t double, count int, error double, margin double"
+    rows = [(1, 1.0, 5, 0.01, 0.1), (1, 1.1, 5, 0.01, 0.1), (1, 1.15, 9, 0.09, 0.1), (1, 1.2, 6, 0.01, 0.1), (2, 1.0, 3, 0.01, 0.1), (2, 2.0, 3, 0.2, 0.1), (3, 3.0, 1, 0.044, 0.021), (3, 3.5, 2, 0.01, 0.1)]
+    got = sorted((r.track, r.before, r.after, round(r.tolerance, 6), r.rise) for r in ev.transitions(spark.createDataFrame(rows, s), ["track"]).collect())
+    assert got == [(1, 1.1, 1.2, 0.08, 1), (3, 3.0, 3.5, 0.16, 1)]
+
+
+def test_same_time(spark):
+    import pytest
+
+    from obsweave.operators.joins import same_time
+
+    renders = spark.createDataFrame([(1, 90.53331996, "a"), (1, 90.566, "b")], "k long, t double, name string")
+    ask = lambda t: [(r.name_r, round(r.t_r, 8)) for r in same_time(spark.createDataFrame([(1, t)], "k long, t double"), renders, ["k"], "t", ["name"], 1e-6).collect()]
+    assert ask(90.53331996) == ask(90.533319961) == ask(90.533319959) == [("a", 90.53331996)]
+    with pytest.raises(Exception, match="no row within"):
+        ask(90.5)
