@@ -63,27 +63,29 @@ def reconcile(times: list[float], real: list[bool], score: list[float], bounds:
     def change(i: int, by: int) -> int:
         return abs(wanted[i] - count[i] - by) - abs(wanted[i] - count[i]) if inside(i) else 0
 
+    order = sorted((k for k, i in enumerate(where) if inside(i)), key=lambda k: (times[k], k))
+    at = [times[k] for k in order]
+    members: dict[int, list[int]] = {}
+    for k in order:
+        members.setdefault(where[k], []).append(k)
     for _ in range(passes):
         best = None
-        for k, i in enumerate(where):
-            if not inside(i):
-                continue
-            by = -1 if flags[k] else 1
-            d = change(i, by)
-            if d < 0:
-                action = (d, 0, round(score[k] if flags[k] else -score[k], 9), k, -1)
-                best = min(best, action) if best else action
-            if flags[k] and d < 0:
-                for j, q in enumerate(where):
-                    if not flags[j] and q != i and inside(q) and abs(times[j] - times[k]) <= reach and change(q, 1) < 0:
-                        action = (d + change(q, 1), 1, round(score[k] - score[j], 9), k, j)
-                        best = min(best, action)
+        # only intervals with a residual can gain: a real one goes where there are too many, another comes where there are too few
+        for i in (i for i in members if count[i] != wanted[i]):
+            gone = count[i] > wanted[i]
+            for k in members[i]:
+                if flags[k] != gone:
+                    continue
+                d = change(i, -1 if gone else 1)
+                best = min(filter(None, (best, (d, 0, round(score[k] if gone else -score[k], 9), k, -1))))
+                for j in order[bisect.bisect_left(at, times[k] - reach) : bisect.bisect_right(at, times[k] + reach)] if gone else ():
+                    if not flags[j] and where[j] != i and (e := change(where[j], 1)) < 0:
+                        best = min(best, (d + e, 1, round(score[k] - score[j], 9), k, j))
         if best is None:
             break
         for k in best[3:]:
             if k >= 0:
-                by = -1 if flags[k] else 1
-                count[where[k]] += by
+                count[where[k]] += -1 if flags[k] else 1
                 flags[k] = not flags[k]
     return flags, before, loss()
 
