@@ -376,7 +376,11 @@ def q34(spark, d):
     return joins.argmin_per(j, ["track", "day"], F.abs(F.col("t_r") - F.col("t")), "id_r").select("track", "day", F.col("id_r").alias("id"))
 
 
-@query("q35_slot_pool")
+@query("q35_slot_pool", f"""
+WITH {OBS}, l AS (SELECT track, list({{'ends': [t + x * 600], 'out': [{{'id': id, 'slot': 0}}], 's': t, 'e': t + x * 600, 'i': id}} ORDER BY t, id) AS v FROM obs GROUP BY track),
+f AS (SELECT track, list_reduce(v, lambda a, z: {{'ends': CASE WHEN coalesce(list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true), 0) > 0 THEN list_concat(list_concat(a.ends[1:list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true) - 1], [z.e]), a.ends[list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true) + 1:]) ELSE list_append(a.ends, z.e) END,
+'out': list_append(a.out, {{'id': z.i, 'slot': CAST(CASE WHEN coalesce(list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true), 0) > 0 THEN list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true) - 1 ELSE len(a.ends) END AS INTEGER)}}), 's': z.s, 'e': z.e, 'i': z.i}}) AS r FROM l)
+SELECT track, u.id AS id, u.slot AS slot FROM (SELECT track, unnest(r.out) AS u FROM f)""")
 def q35(spark, d):
     o = observations(spark, d).withColumn("end", F.col("t") + F.col("x") * 600)
     return greedy.slots(o, ["track"], "t", "end", "id", 0.001)
