@@ -30,8 +30,9 @@ BLOCKS = set("p div section article main header footer nav aside h1 h2 h3 h4 h5
 SPACED = set("br td th img wbr".split())
 TRACKED = BLOCKS - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "hr", "caption", "thead", "tbody", "tfoot", "html", "body"} | DROPPED
 VOID = set("br hr img input wbr meta link base area col embed source track param".split())
-NAMES = set("ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget comment comments respond disqus replies copyright legal pager pagination tags".split())
-AFFIXES = set("main site page post article top bottom left right inner outer box bar block list item items link links wrap wrapper container area section holder panel row col column group slot unit text title primary secondary global js the wp".split())
+NAMES = set("ads adv advert adverts advertisement banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer topbar cookie cookies gdpr popup modal newsletter subscribe signup share sharing related recommended widget comment comments respond disqus replies copyright pager pagination".split())
+MILD = set("ad side header masthead consent notice notices overlay login search social legal tags".split())  # only where nothing else is in the name
+AFFIXES = set("main site page post article top bottom left right inner outer box bar block list item items link links wrap wrapper container area section holder panel row col column group slot unit text title content card button buttons icon icons posts user bottom leaderboard primary secondary global js the wp".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -41,11 +42,11 @@ OWN, OPEN = 1, 0  # a line of the article; a line about which markup says nothin
 
 
 def names_part(value: str) -> bool:
-    """Whether one of the names in a class or id attribute names a part that is not text: every word of the name says so or is an affix (`cookie-notice`, `site_footer-2`),
-    not just one of them (`side-by-side`, `ad-hoc`)."""
+    """Whether one of the names in a class or id attribute names a part that is not text: a word of it does so (`related-posts`), or all do or are affixes where the word has other uses
+    (`site_header-2`, but neither `side-by-side` nor `ad-hoc`)."""
     for name in value.lower().split():
         words = [w for w in re.split(r"[-_]+|\d+", name) if w]
-        if any(w in NAMES for w in words) and all(w in NAMES or w in AFFIXES for w in words):
+        if any(w in NAMES for w in words) or any(w in MILD for w in words) and all(w in MILD or w in AFFIXES for w in words):
             return True
     return False
 

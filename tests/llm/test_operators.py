@@ -281,7 +281,7 @@ def test_html_forms_of_markup():
     text = lambda page: [x for _, x in html.lines(page)]
     assert text("<html><head><meta charset=x><body><p>Hello world</p></body></html>") == ["Hello world"]
     assert text("<datalist><option>a<option>b</datalist><p>b</p><select><option>c</select><p>d</p>") == ["b", "d"]
-    assert text("<p class='side-by-side'>a</p><div class='ad-hoc x'>b</div><div class='cookie-notice'>c</div><div id=site_footer-2>d</div><div class='wide ad'>e</div>") == ["a", "b"]
+    assert text("<p class='side-by-side'>a</p><div class='ad-hoc x'>b</div><div class='cookie-notice'>c</div><div id=site_header-2>d</div><div class='wide ad'>e</div><div class='user-comments'>f</div>") == ["a", "b"]
     assert text("<div><noscript><p>a</div><p>b</p>") == ["b"]
     assert len(text("<p>x</p>" * 100_000)) == 100_000
 
