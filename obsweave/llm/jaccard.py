@@ -379,7 +379,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                 if len(t):  # the shingle itself is the star's centre
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), g), pa.int64()), pa.array(t)], ["a", "b"])
 
-    slots = power_of_two(size / (8 << 20), 16, 1 << 20)
+    slots = power_of_two(size / (32 << 20), 32, 1 << 20)
     edges = post.mapInArrow(pack_postings(slots, order), PACKED).groupBy("slot").applyInArrow(stars, "a long, b long").union(post.mapInArrow(hot_stars, "a long, b long"))
     near = components(stage.write(edges, "stars"), stage, "near")
     # groups with candidates, and groups of several members
