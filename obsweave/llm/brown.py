@@ -255,11 +255,14 @@ def runs(batches: Iterator[pa.RecordBatch], cls: np.ndarray, other: int, ids: bo
 
 
 def pack(keys: np.ndarray, n: np.ndarray) -> bytes:
-    return zlib.compress(np.concatenate([np.diff(keys, prepend=0), n]).astype(np.int64).tobytes(), 1)
+    """Sorted keys and counts, in four bytes each where that will do."""
+    x = np.concatenate([np.diff(keys, prepend=0), n])
+    small = x.max(initial=0) < 2**32
+    return (b"4" if small else b"8") + zlib.compress(x.astype("<u4" if small else "<i8").tobytes(), 1)
 
 
 def unpack(z: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(zlib.decompress(z), np.int64)
+    x = np.frombuffer(zlib.decompress(z[1:]), "<u4" if z[:1] == b"4" else "<i8").astype(np.int64)
     return np.cumsum(x[: len(x) // 2]), x[len(x) // 2 :]
 
 
@@ -401,14 +404,17 @@ def with_known(coded: DataFrame, words: DataFrame, other: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, about = [], []
             for rare, ks, ns, cs in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                x = np.zeros(len(rare) // RARE.itemsize, KNOWN)
+                r = np.frombuffer(rare, RARE).copy()
+                r["id"] = 0  # has served its purpose, and takes no room as zeros
+                x = np.zeros(len(r), KNOWN)
                 x["c"] = other
                 if ks:
                     x["n"][ks], x["c"][ks] = ns, cs
                 out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), *b.columns[5:]], ["z", "rare", "known", "row", *rest])
+                about.append(r.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(about, pa.binary()), pa.array(out, pa.binary()), *b.columns[5:]], ["z", "rare", "known", "row", *rest])
 
     return joined.mapInArrow(run, schema)
 
