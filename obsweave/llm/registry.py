@@ -1,7 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL, for __spark_entry__."""
 from __future__ import annotations
 
-from . import bpe, brown, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity
+from . import bpe, brown, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity, vafile
 
 QUERIES = {
     "op1_huffman_token_file": huffman.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_es_mixing": mixing.query,
     "op9_grouped_prefix_jaccard": jaccard.query,
     "op10_msd_radix_dedup": exact.query,
+    "op13_va_file_codes": vafile.query,
 }
 #: Where SQL can express a query; the others are tested against brute force in tests/llm.
-ORACLES = {"op10_msd_radix_dedup": exact.ORACLE}
+ORACLES = {"op10_msd_radix_dedup": exact.ORACLE, "op13_va_file_codes": vafile.ORACLE}
