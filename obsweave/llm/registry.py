@@ -1,7 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL, for __spark_entry__."""
 from __future__ import annotations
 
-from . import bpe, brown, doubling, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity, vafile
+from . import bpe, brown, doubling, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity, trie, vafile
 
 QUERIES = {
     "op1_huffman_token_file": huffman.query,
@@ -14,8 +14,9 @@ QUERIES = {
     "op8_es_mixing": mixing.query,
     "op9_grouped_prefix_jaccard": jaccard.query,
     "op10_msd_radix_dedup": exact.query,
+    "op11_conversation_trie": trie.query,
     "op12_doubling_windows": doubling.query,
     "op13_va_file_codes": vafile.query,
 }
 #: Where SQL can express a query; the others are tested against brute force in tests/llm.
-ORACLES = {"op10_msd_radix_dedup": exact.ORACLE, "op12_doubling_windows": doubling.ORACLE, "op13_va_file_codes": vafile.ORACLE}
+ORACLES = {"op10_msd_radix_dedup": exact.ORACLE, "op11_conversation_trie": trie.ORACLE, "op12_doubling_windows": doubling.ORACLE, "op13_va_file_codes": vafile.ORACLE}
