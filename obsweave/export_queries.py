@@ -139,7 +139,7 @@ def q137(spark, d):
 
 
 @query("q138_best_first", f"""
-WITH {OBS}, s AS (SELECT id, round(x + 0.5 * y, 4) AS score FROM obs) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS place FROM s""")
+WITH {OBS}, s AS (SELECT id, round(x + 0.5 * y, 4) AS score FROM obs) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM s""")
 def q138(spark, d):
     s = observations(spark, d).select("id", r(F.col("x") + 0.5 * F.col("y")).alias("score")).withColumn("down", -F.col("score"))
     return paths.numbered(s, ["down", "id"]).select("id", "score", "place")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import wrap
+from ..sources.shared import held
 
 
 def by(keys: list[str], order: list[str]):
@@ -55,3 +56,18 @@ def interpolate(points: DataFrame, at: DataFrame, key: str = "track", t: str = "
     a, b = F.col("a"), F.col("b")
     v = F.when(a.isNull(), b.v).when(b.isNull() | (a.t == b.t), a.v).otherwise(a.v + (b.v - a.v) * (F.col("t_") - a.t) / (b.t - a.t))
     return both.where("row IS NOT NULL").select("row.*", v.alias("interpolated"))
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt out and sorted by ranges of the order, with part_, the range, and in_, the place in it from 1. Ranges come from a sample, so they are settled once: the
+    rows are written to the shared folder, and every reader sees the same ranges."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held(rows.withColumn("part_", F.spark_partition_id()).withColumn("in_", inside))
+
+
+def rows_before(rows: DataFrame, weight: Column) -> DataFrame:
+    """part_, before_, all_: sums of the weight in the ranges before a range and in all of them; a row a range, which is as many as there are tasks."""
+    n = rows.groupBy("part_").agg(F.sum(weight).cast("long").alias("n_"))
+    w = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    return n.select("part_", F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("before_"), F.sum("n_").over(Window.partitionBy()).alias("all_"))

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import median_filter, unwrap
+from .ordered import median_filter, ranged, rows_before, unwrap
 
 
 def extended(df: DataFrame, path: str, hit: Column, least: float, low: float, high: float, speed: float, below: float, margin: float, most: float) -> DataFrame:
@@ -56,12 +56,9 @@ def two_predictors(df: DataFrame, key: str, value: str, first: Column, second: C
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """`place` of every row in a total order, from 1. Rows are sorted by ranges, and a range's rows follow those of the ranges before it: no task sorts all."""
-    part = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
-    part = part.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
-    before = part.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = before.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
-    return part.join(before, "part_").withColumn("place", (F.col("in_") + F.col("before_")).cast("int")).drop("part_", "in_", "n_", "before_")
+    """`place` of every row in a total order, from 1. Rows are sorted by ranges, once, and a range's rows follow those of the ranges before it: no task sorts all."""
+    rows = ranged(df, order)
+    return rows.join(F.broadcast(rows_before(rows, F.lit(1))), "part_").withColumn("place", F.col("in_") + F.col("before_")).drop("part_", "in_", "before_", "all_")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

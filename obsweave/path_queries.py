@@ -207,7 +207,7 @@ def q109(spark, d):
 
 
 @query("q110_total_order", f"""
-WITH {OBS}, u AS (SELECT t, 0 AS what, id FROM obs UNION ALL SELECT unnest(generate_series(1704067200, 1704067200 + 2591999, 3600))::DOUBLE, 1, 0) SELECT CAST(row_number() OVER (ORDER BY t, what, id) AS INTEGER) AS place, what, id FROM u""")
+WITH {OBS}, u AS (SELECT t, 0 AS what, id FROM obs UNION ALL SELECT unnest(generate_series(1704067200, 1704067200 + 2591999, 3600))::DOUBLE, 1, 0) SELECT row_number() OVER (ORDER BY t, what, id) AS place, what, id FROM u""")
 def q110(spark, d):
     o = observations(spark, d).select("t", F.lit(0).alias("what"), "id")
     ticks = spark.range(1704067200, 1704067200 + 2592000, 3600).select(F.col("id").cast("double").alias("t"), F.lit(1).alias("what"), F.lit(0).cast("long").alias("id"))
@@ -232,12 +232,12 @@ def q112(spark, d):
 
 
 @query("q113_batch_report", """
-WITH f AS (SELECT o_orderkey AS run, o_orderstatus = 'F' AS ok FROM orders), s AS (SELECT run, CAST(row_number() OVER (ORDER BY run) AS INTEGER) AS place FROM f WHERE ok) SELECT run, 'done' AS state, place FROM s UNION ALL SELECT run, 'failed', 0 FROM f WHERE NOT ok""")
+WITH f AS (SELECT o_orderkey AS run, o_orderstatus = 'F' AS ok FROM orders), s AS (SELECT run, row_number() OVER (ORDER BY run) AS place FROM f WHERE ok) SELECT run, 'done' AS state, place FROM s UNION ALL SELECT run, 'failed', CAST(0 AS BIGINT) FROM f WHERE NOT ok""")
 def q113(spark, d):
     f = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_orderstatus") == "F").alias("ok"))
     done = f.where("ok").select("run")
     s = paths.numbered(done, ["run"]).select("run", F.lit("done").alias("state"), "place")
-    return s.union(unfinished(f, done, "run").select("run", F.lit("failed"), F.lit(0)))
+    return s.union(unfinished(f, done, "run").select("run", F.lit("failed"), F.lit(0).cast("long")))
 
 
 @query("q114_reading_difference", f"""

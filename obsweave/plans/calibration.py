@@ -4,18 +4,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranged, rows_before
+
 
 def median(df: DataFrame, value: str) -> DataFrame:
     """One row `median` (null for no rows), exact, without all values in one task: values are counted, dealt out by ranges, and only the one or two values in the
     middle of the cumulative counts are kept."""
-    c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    before = c.groupBy("part").agg(F.sum("n").alias("rows"))  # one row a range
-    before = before.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.withColumn("all", F.sum("rows").over(Window.partitionBy()))
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    c = c.join(before, "part").withColumn("upto", upto)
+    c = ranged(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")), ["v"])
+    upto = F.sum("n").over(Window.partitionBy("part_").orderBy("in_").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before_")
+    c = c.join(F.broadcast(rows_before(c, F.col("n"))), "part_").withColumn("upto", upto)
     holds = lambda at: (F.col("upto") - F.col("n") < at) & (at <= F.col("upto"))
-    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    low, high = F.floor((F.col("all_") + 1) / 2), F.floor(F.col("all_") / 2) + 1
     return c.agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median"))
 
 

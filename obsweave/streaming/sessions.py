@@ -1,12 +1,11 @@
 """Sessions by gap, over tables and over streams."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     """user_id, t0, n: runs of events no further apart than `gap`."""
@@ -35,16 +34,6 @@ def stream_sessions(spark: SparkSession, path: str, gap: str, late: str = "30 da
     return spark.read.schema("user_id long, t0 timestamp_ntz, n long").parquet(f"{root}/batch-{last[0]}")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; below the temporary folder only for a session in one process without that setting."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def folder(spark: SparkSession, path: str) -> tuple[str, str | None]:
     """The folder to watch, and the one file's name if `path` is a file."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
