@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .plans import joint_fit
+from .plans import joint_fit, reconciliation
 from .queries import DAY, HOUR, query, r
+from .sources.shared import held
 from .sources.tables import observations
 
 
@@ -29,3 +30,21 @@ def q143(spark, d):
     chosen, costs = joint_fit.fit(options, grid)
     rows = joint_fit.cumulative(chosen, grid).join(costs, "track")
     return rows.select("track", "interval", "expected", "got", "carried", "strict", r("cost", 3).alias("cost"))
+
+
+def reconciled(o, unit: float = 4 * HOUR):
+    """track, before, after, moved, exchanged, other: clicks, views and purchases are accepted at first; the counter has clicks, views and errors, a little before or after. Times in units of four hours."""
+    base = F.min("t").over(Window.partitionBy("track"))
+    t = ((F.col("t") - base) / unit + 0.2).alias("time")
+    zero, no, none = F.lit(0.0), F.lit(False), F.lit(None).cast("double")
+    lasting = F.when(F.col("y") % 6 == 0, 0.1).otherwise(0.0)
+    e = o.select("track", F.col("id").alias("event"), F.round(t, 6).alias("time"), lasting.alias("duration"), F.col("kind").isin("error", "signup").alias("fake"), no.alias("visual"), (F.col("x") / 100).alias("ring"), (F.col("y") / 100).alias("head"), zero.alias("hit"), F.col("x").alias("frames"), (F.col("y") % 12).alias("path_size"), (F.col("y") % 2 == 0).alias("target"), none.cast("long").alias("path"), F.col("x"), (F.col("y") % 3 == 0).alias("weak_kind"), (F.col("kind") == "signup").alias("never"), no.alias("wide_kind"), no.alias("capsule"), no.alias("ended"), no.alias("required"), none.alias("pin"), F.when(F.col("x") > 40, F.round(t, 6)).alias("contact"), none.alias("low_edge"), none.alias("high_edge"), none.alias("tail_at"))
+    shown = o.select("track", "kind", "y", t).where("kind IN ('click', 'view', 'error')").withColumn("interval", F.floor((F.col("time") + (F.col("y") - 50) / 1000) * 2))
+    counts = shown.groupBy("track", "interval").agg(F.count("*").alias("n"))
+    grid = e.groupBy("track").agg(F.floor(F.max("time") * 2 + 1).alias("last")).select("track", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("interval"))
+    grid = grid.join(counts, ["track", "interval"], "left").select("track", "interval", (F.col("interval") / 2).alias("start"), ((F.col("interval") + 1) / 2).alias("end"), F.coalesce("n", F.lit(0)).alias("expected"))
+    e = held(reconciliation.measured(e))
+    done, off = reconciliation.reconcile(e, grid)
+    error = lambda x, name: x.groupBy("track").agg(F.sum(F.abs("off")).alias(name))
+    log = done.groupBy("track").agg(F.count_if(F.col("actions").contains("move")).alias("moved"), F.count_if(F.col("actions").contains("exchange")).alias("exchanged"), F.count_if(~F.col("fake")).alias("real"))
+    return error(reconciliation.residuals(e, grid), "before").join(error(off, "after"), "track").join(log, "track").select("track", "before", "after", "moved", "exchanged", "real")

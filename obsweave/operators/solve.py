@@ -1,4 +1,4 @@
-"""Allocation under count constraints and local reconciliation, component by component."""
+"""Allocation under count constraints."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -46,50 +46,6 @@ def allocate(atoms: list[tuple[tuple[int, ...], float]], wanted: list[int]) -> l
     return out
 
 
-def reconcile(times: list[float], real: list[bool], score: list[float], bounds: list[float], wanted: list[int], reach: float, passes: int = 96) -> tuple[list[bool], int, int]:
-    """Accept-if-improves search: flip one candidate, or exchange a real for a fake within `reach`, whichever lowers the L1 residual most (then moves before
-    exchanges, then cost); until nothing does. Returns the flags and the residual before and after."""
-    import bisect
-
-    where = [bisect.bisect_left(bounds, t) - 1 for t in times]
-    count = [0] * len(wanted)
-    for k, i in enumerate(where):
-        if real[k] and 0 <= i < len(wanted):
-            count[i] += 1
-    inside = lambda i: 0 <= i < len(wanted)
-    loss = lambda: sum(abs(w - c) for w, c in zip(wanted, count))
-    flags, before = list(real), loss()
-
-    def change(i: int, by: int) -> int:
-        return abs(wanted[i] - count[i] - by) - abs(wanted[i] - count[i]) if inside(i) else 0
-
-    order = sorted((k for k, i in enumerate(where) if inside(i)), key=lambda k: (times[k], k))
-    at = [times[k] for k in order]
-    members: dict[int, list[int]] = {}
-    for k in order:
-        members.setdefault(where[k], []).append(k)
-    for _ in range(passes):
-        best = None
-        # only intervals with a residual can gain: a real one goes where there are too many, another comes where there are too few
-        for i in (i for i in members if count[i] != wanted[i]):
-            gone = count[i] > wanted[i]
-            for k in members[i]:
-                if flags[k] != gone:
-                    continue
-                d = change(i, -1 if gone else 1)
-                best = min(filter(None, (best, (d, 0, round(score[k] if gone else -score[k], 9), k, -1))))
-                for j in order[bisect.bisect_left(at, times[k] - reach) : bisect.bisect_right(at, times[k] + reach)] if gone else ():
-                    if not flags[j] and where[j] != i and (e := change(where[j], 1)) < 0:
-                        best = min(best, (d + e, 1, round(score[k] - score[j], 9), k, j))
-        if best is None:
-            break
-        for k in best[3:]:
-            if k >= 0:
-                count[where[k]] += -1 if flags[k] else 1
-                flags[k] = not flags[k]
-    return flags, before, loss()
-
-
 def allocate_table(obs: DataFrame, width: float = 5 * 86400.0) -> DataFrame:
     """track, candidates, chosen, score, feasible: for each track, candidates may last (two atoms), and each interval wants two atoms fewer than there are."""
 
@@ -113,23 +69,5 @@ def allocate_table(obs: DataFrame, width: float = 5 * 86400.0) -> DataFrame:
     return obs.groupBy("track").applyInPandas(run, "track long, candidates long, chosen long, score double, feasible boolean")
 
 
-def reconcile_table(obs: DataFrame, width: float = 2 * 86400.0) -> DataFrame:
-    """track, before, after, real: clicks and views start as real; each interval wants its number of views and purchases."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["t", "id"])
-        lo = float(pdf.t.min()) - 1
-        n = int((pdf.t.max() - lo) // width) + 1
-        bounds = [lo + width * k for k in range(n + 1)]
-        cell = ((pdf.t - lo) // width).astype(int)
-        wanted = [int(((cell == i) & pdf.kind.isin(["view", "purchase"])).sum()) for i in range(n)]
-        flags, before, after = reconcile(list(pdf.t), list(pdf.kind.isin(["view", "click"])), [y / 20 for y in pdf.y], bounds, wanted, width)
-        return pd.DataFrame({"track": [pdf.track.iloc[0]], "before": [before], "after": [after], "real": [sum(flags)]})
-
-    return obs.select("track", "id", "t", "y", "kind").groupBy("track").applyInPandas(run, "track long, before long, after long, real long")
-
-
 def check_decreasing(df: DataFrame) -> bool:
     return df.where(F.col("after") > F.col("before")).isEmpty()

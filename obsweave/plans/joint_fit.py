@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import as_of, band_join
-from ..sources.shared import held
+from ..sources.shared import apart, held
 
 #: Costs of a unit of residual carried past an interval, and within one.
 CARRIED, LOCAL = 200000.0, 300000.0
 #: Costs for each second that a head and a tail move.
 HEAD_SECOND, TAIL_SECOND = 25.0, 18.0
 CHUNK = 8  # intervals
-PARTS = "track long, chunk long, kind int, event long, opt int, head int, tail int, lo int, cost double"
 MATRIX = "track long, node long, a string, z string, beyond boolean, cost double"
 
 
@@ -156,21 +157,30 @@ def walk(rows, reach: int, strict: bool, start: list[tuple[int, tuple]] | None =
     return {(s, (r, p), x): v for (s, r, p, x), v in now.items()}
 
 
-FIELDS = ["kind", "event", "opt", "head", "tail", "lo", "cost"]
+def gathered(parts: DataFrame) -> DataFrame:
+    """track, chunk, rows: a row for each chunk."""
+    rows = F.array_sort(F.collect_list(F.struct("kind", "lo", F.coalesce("event", F.lit(-1)).alias("event"), "opt", "head", "tail", "cost")))
+    return parts.groupBy("track", "chunk").agg(rows.alias("rows"))
 
 
-def table_rows(pdf) -> list:
-    return list(pdf[FIELDS].fillna({"event": -1}).sort_values(["kind", "lo", "event", "opt"]).itertuples(index=False, name=None))
+def table_rows(rows: list[dict]) -> list[tuple]:
+    return [tuple(r[f] for f in ("kind", "event", "opt", "head", "tail", "lo", "cost")) for r in rows]
 
 
-def matrices(parts: DataFrame, reach: int, strict: bool) -> DataFrame:
-    def run(key, pdf):
-        import pandas as pd
+def batch(out: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[ty]) for k, (_, ty) in enumerate(columns)], [n for n, _ in columns])
 
-        ways = walk(table_rows(pdf), reach, strict)
-        return pd.DataFrame([(key[0], key[1], text(*a), text(*z), x, cost) for (a, z, x), (cost, _) in ways.items()], columns=["track", "node", "a", "z", "beyond", "cost"])
 
-    return parts.groupBy("track", "chunk").applyInPandas(run, MATRIX)
+def matrices(chunks: DataFrame, reach: int, strict: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.to_pylist():
+                ways = walk(table_rows(c["rows"]), reach, strict)
+                yield batch([(c["track"], c["chunk"], text(*a), text(*z), x, cost) for (a, z, x), (cost, _) in ways.items()], MATRIX)
+
+    return chunks.mapInArrow(run, MATRIX)
 
 
 def product(level: DataFrame, counts: DataFrame) -> DataFrame:
@@ -196,24 +206,24 @@ def settled(levels: list[DataFrame], best: DataFrame) -> DataFrame:
     return now
 
 
-def picked(parts: DataFrame, ends: DataFrame, reach: int, strict: bool) -> DataFrame:
-    """track, event, opt of the chosen options, chunk by chunk between settled states."""
+PICK = "track long, event long, opt int"
 
-    def run(key, pdf, ends):
-        import pandas as pd
 
-        if not len(ends):
-            return pd.DataFrame({"track": [], "event": [], "opt": []})
-        a, z = state(ends.a.iloc[0]), state(ends.z.iloc[0])
-        chain = walk(table_rows(pdf), reach, strict, [a])[a, z, False][1]
-        out = []
-        while chain:
-            chain, event, opt = chain
-            out.append((key[0], event, opt))
-        return pd.DataFrame(out, columns=["track", "event", "opt"])
+def picked(chunks: DataFrame, ends: DataFrame, reach: int, strict: bool) -> DataFrame:
+    """track, event, opt of the chosen options, chunk by chunk between settled states."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for c in b.to_pylist():
+                a, z = state(c["a"]), state(c["z"])
+                chain = walk(table_rows(c["rows"]), reach, strict, [a])[a, z, False][1]
+                while chain:
+                    chain, event, opt = chain
+                    out.append((c["track"], event, opt))
+            yield batch(out, PICK)
 
-    e = ends.withColumnRenamed("node", "chunk")
-    return parts.groupBy("track", "chunk").cogroup(e.groupBy("track", "chunk")).applyInPandas(run, "track long, event long, opt int")
+    return chunks.join(apart(ends.withColumnRenamed("node", "chunk")), ["track", "chunk"]).mapInArrow(run, PICK)
 
 
 def fit(options: DataFrame, intervals: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +231,8 @@ def fit(options: DataFrame, intervals: DataFrame, size: int = CHUNK) -> tuple[Da
     each unit that an interval is off and CARRIED for each unit that the count is off after it, is least.
 
     A track's intervals are numbered from 0 without gaps."""
-    parts = held(chunked(options, intervals, size))
+    options, intervals = held(options), held(intervals)
+    parts = held(gathered(chunked(options, intervals, size)))
     nodes = intervals.groupBy("track").agg((F.floor(F.max("interval") / size) + 1).alias("nodes"))
     left, chosen, costs, reach, strict = held(nodes), [], [], 0, True
     while not left.isEmpty():

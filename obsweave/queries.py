@@ -552,9 +552,9 @@ def q55(spark, d):
 
 @query("q56_reconcile_local")
 def q56(spark, d):
-    from .operators.solve import reconcile_table
+    from .fit_queries import reconciled
 
-    return reconcile_table(observations(spark, d))
+    return reconciled(observations(spark, d))
 
 
 @query("q57_curve_simplify")

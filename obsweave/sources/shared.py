@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,3 +29,8 @@ def held(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/held")
     return df.checkpoint()
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows under columns of their own, so that Spark can tell them from those of a table that both come from."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
