@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators.budgets import budgeted
 from .plans import joint_fit, reconciliation
-from .queries import DAY, HOUR, query, r
+from .queries import DAY, HOUR, OBS, query, r
 from .sources.shared import held
 from .sources.tables import observations
 
@@ -48,3 +49,19 @@ def reconciled(o, unit: float = 4 * HOUR):
     error = lambda x, name: x.groupBy("track").agg(F.sum(F.abs("off")).alias(name))
     log = done.groupBy("track").agg(F.count_if(F.col("actions").contains("move")).alias("moved"), F.count_if(F.col("actions").contains("exchange")).alias("exchanged"), F.count_if(~F.col("fake")).alias("real"))
     return error(reconciliation.residuals(e, grid), "before").join(error(off, "after"), "track").join(log, "track").select("track", "before", "after", "moved", "exchanged", "real")
+
+
+@query("q144_budgeted_repairs", f"""
+WITH {OBS}, b AS (SELECT track, CAST(floor(t / 86400) AS BIGINT) AS slot, count(*) AS budget FROM obs WHERE kind = 'purchase' GROUP BY 1, 2),
+o AS (SELECT o.track, b.slot, o.id, least(greatest(o.t, b.slot * 86400 + 60), (b.slot + 1) * 86400 - 60) AS m, o.x, CAST(o.y AS DOUBLE) AS y, -round(o.x / 20 + o.y / 50.0, 6) AS rk, b.budget
+      FROM obs o JOIN b ON o.track = b.track AND o.t > b.slot * 86400 - 7200 AND o.t <= (b.slot + 1) * 86400 + 7200 WHERE o.kind IN ('error', 'signup', 'click')),
+l AS (SELECT track, list([{{'slot': slot, 'id': id, 'm': m, 'x': x, 'y': y, 'budget': budget}}] ORDER BY slot, rk, id) AS offers FROM o GROUP BY track),
+f AS (SELECT track, unnest(list_reduce(offers, lambda a, c: CASE WHEN len(list_filter(a, lambda z: z.slot = c[1].slot)) < c[1].budget AND len(list_filter(a, lambda z: z.id = c[1].id OR (abs(z.m - c[1].m) < 10800 AND (z.x - c[1].x) * (z.x - c[1].x) + (z.y - c[1].y) * (z.y - c[1].y) < 784))) = 0 THEN list_concat(a, c) ELSE a END)) AS e FROM l)
+SELECT track, e.slot AS slot, e.id AS id, e.m AS moment FROM f""")
+def q144(spark, d):
+    o = observations(spark, d)
+    b = o.where("kind = 'purchase'").groupBy("track", F.floor(F.col("t") / DAY).alias("slot")).agg(F.count("*").alias("budget"))
+    near = o.where("kind IN ('error', 'signup', 'click')").withColumn("slot", F.explode(F.sequence(F.ceil((F.col("t") - 2 * HOUR) / DAY) - 1, F.ceil((F.col("t") + 2 * HOUR) / DAY) - 1)))
+    at = F.least(F.greatest(F.col("t"), F.col("slot") * DAY + 60), (F.col("slot") + 1) * DAY - 60)
+    offers = near.select("track", "slot", "id", at.alias("moment"), "x", F.col("y").cast("double").alias("y"), (-F.round(F.col("x") / 20 + F.col("y") / 50.0, 6)).alias("rank"))
+    return budgeted(offers, b, "track", "slot", "id", ["rank"], "moment", ["x", "y"], 3 * HOUR, 28.0).select("track", "slot", "id", "moment")
