@@ -179,3 +179,23 @@ def q142(spark, d):
 
     e = table(spark, d, "events").select("event_id", xorshift32(F.col("event_id") + 1).alias("state"))
     return e.select("event_id", "state", r(F.col("state") / 4294967296, 9).alias("draw"))
+
+
+@query("q145_phase_rows", f"""
+WITH {OBS}, clean AS (SELECT * FROM obs WHERE kind <> 'error' AND x >= 5), step AS (SELECT track, t - lag(t) OVER (PARTITION BY track ORDER BY t, id) AS gap FROM clean), slow AS (SELECT track FROM step GROUP BY track HAVING max(gap) > 86400)
+SELECT 'read' AS phase, count(*) AS rows, round(sum(x), 2) AS total FROM obs UNION ALL SELECT 'clean', count(*), round(sum(x), 2) FROM clean UNION ALL SELECT 'tracks', count(*), NULL FROM slow""")
+def q145(spark, d):
+    from .plans.progress import Phases, by_phase
+    from .sources.shared import shared_folder
+
+    run = Phases(spark, "audit")
+    o = run.counted(observations(spark, d), "read", total=F.sum("x"))
+    clean = run.counted(o.where("kind <> 'error' AND x >= 5"), "clean", total=F.sum("x"))
+    gaps = clean.withColumn("gap", F.col("t") - F.lag("t").over(w())).groupBy("track").agg(F.max("gap").alias("gap"))
+    root = shared_folder(spark, "audit")
+    run.counted(gaps.where(F.col("gap") > DAY), "tracks").write.parquet(f"{root}/tracks")  # one pass counts all three
+    run.settle()
+    run.save(f"{root}/progress")
+    table_ = spark.read.parquet(f"{root}/progress")
+    totals = table_.select("phase", r(F.try_element_at("metrics", F.lit("total")), 2).alias("total"))
+    return by_phase(table_).join(totals, "phase").select("phase", "rows", "total")
