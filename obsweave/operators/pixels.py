@@ -9,45 +9,6 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 
-def regions(mask: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
-    """Labels from 1 of the connected parts of a mask (neighbours share a side), in order of their first pixel, and their boxes. Runs of pixels in a row are joined with the runs
-    that they touch in the row above."""
-    wide = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
-    wide[:, 1:-1] = mask
-    step = np.diff(wide, axis=1)
-    row, start = np.nonzero(step == 1)
-    end = np.nonzero(step == -1)[1]
-    up = np.arange(len(row))
-
-    def root(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    first = np.searchsorted(row, np.arange(mask.shape[0] + 1))
-    for y in range(1, mask.shape[0]):
-        i, j = first[y - 1], first[y]
-        while i < first[y] and j < first[y + 1]:
-            if start[i] < end[j] and start[j] < end[i]:
-                a, b = sorted((root(i), root(j)))
-                up[b] = a
-            if end[i] < end[j]:
-                i += 1
-            else:
-                j += 1
-    tops = np.array([root(k) for k in range(len(row))], int)
-    names, number = np.unique(tops, return_inverse=True)
-    labels = np.zeros(mask.shape, np.int32)
-    for k in range(len(row)):
-        labels[row[k], start[k] : end[k]] = number[k] + 1
-    low = lambda v, f: f(v, number, len(names))
-    least = lambda v, n, m: np.array([v[n == k].min() for k in range(m)])
-    most = lambda v, n, m: np.array([v[n == k].max() for k in range(m)])
-    boxes = [(slice(a, b + 1), slice(c, e)) for a, b, c, e in zip(low(row, least), low(row, most), low(start, least), low(end, most))] if len(names) else []
-    return labels, boxes
-
-
 def eroded(mask: np.ndarray, h: int, w: int) -> np.ndarray:
     """Pixels whose window of h x w, from the pixel to the lower right, is all set."""
     wide = np.pad(mask, ((0, h - 1), (0, w - 1)))
@@ -85,41 +46,6 @@ def local_maxima(x: np.ndarray, size: int, least: float) -> list[tuple[int, int]
     return list(zip(*(v.tolist() for v in np.nonzero((x == top) & (x > least)))))
 
 
-def white_circles(im: np.ndarray, top: int = 50, bottom: int = 335) -> list[dict]:
-    """Thin grey-white outlines of round targets: 18 to 28 pixels across, nearly square boxes, filled by .12 to .55."""
-    low, high = im.min(axis=2).astype(int), im.max(axis=2).astype(int)
-    mask = (low > 175) & (high - low < 20)
-    mask[:top] = mask[bottom:] = False
-    labels, boxes = regions(mask)
-    out = []
-    for k, (ys, xs) in enumerate(boxes):
-        h, w = ys.stop - ys.start, xs.stop - xs.start
-        fill = (labels[ys, xs] == k + 1).sum() / (w * h)
-        if 18 <= w <= 28 and 18 <= h <= 28 and 0.9 < w / h < 1.12 and 0.12 < fill < 0.55:
-            out.append({"kind": "target", "x": (xs.start + xs.stop - 1) / 2, "y": (ys.start + ys.stop - 1) / 2, "width": w, "height": h, "value": float(fill)})
-    return out
-
-
-def pastel_notes(im: np.ndarray, threshold: int = 160) -> list[dict]:
-    """Bright pastel notes: parts of the colour mask, opened by 2 x 2, 10 to 28 pixels wide and 10 to 300 high, of 40 pixels or more. Over 35 high they are held, with the head at the
-    lower end; `value` is the fill, by which drops (.60 or less) and taps differ; white outlines are no notes."""
-    mask = opened((im[:, :, 0] > 160) & (im[:, :, 1] > threshold) & (im[:, :, 2] > 175))
-    labels, boxes = regions(mask)
-    out = []
-    for k, (ys, xs) in enumerate(boxes):
-        h, w = ys.stop - ys.start, xs.stop - xs.start
-        mine = labels[ys, xs] == k + 1
-        area = int(mine.sum())
-        if not (10 <= w <= 28 and 10 <= h <= 300 and area >= 40) or h < 35 and not 0.45 < w / h < 1.7 or h > 35 and w > 25:
-            continue
-        fill, pixels = area / (w * h), im[ys, xs][mine].astype(int)
-        if h <= 35 and 0.90 < w / h < 1.12 and 0.12 < fill < 0.60 and np.mean(pixels.max(axis=1) - pixels.min(axis=1)) < 20:
-            continue
-        y = ys.stop - 1 - w / 2 if h > 35 else (ys.start + ys.stop - 1) / 2
-        out.append({"kind": "hold" if h > 35 else "tap" if fill > 0.60 else "drop", "x": (xs.start + xs.stop - 1) / 2, "y": float(y), "width": w, "height": h, "value": float(fill)})
-    return out
-
-
 def energy_centres(im: np.ndarray, sigma: float = 5.0, size: int = 21, least: float = 0.075) -> list[dict]:
     """Centres of violet energy: local maxima of the blurred colour mask; `value` is the blurred share."""
     r, g, b = (im[:, :, k].astype(int) for k in range(3))
@@ -127,37 +53,6 @@ def energy_centres(im: np.ndarray, sigma: float = 5.0, size: int = 21, least: fl
     return [{"kind": "energy", "x": float(px), "y": float(py), "width": 0, "height": 0, "value": float(x[py, px])} for py, px in local_maxima(x, size, least)]
 
 
-def ring_kernel(radius: float) -> np.ndarray:
-    """A thin ring of weight 1 against the disc inside (.65) and the band outside (.35)."""
-    n = int(radius + 5)
-    d = np.hypot(*np.mgrid[-n : n + 1, -n : n + 1])
-    share = lambda m: m / m.sum()
-    return share(np.exp(-(((d - radius) / 0.72) ** 2))) - 0.65 * share((d < radius - 3).astype(float)) - 0.35 * share(((d > radius + 2) & (d < radius + 4)).astype(float))
-
-
-def rings(im: np.ndarray, radius: float = 10.3, least: float = 14.0, cover: float = 0.69) -> list[dict]:
-    """White rings of a radius: local maxima of the response to the ring kernel, bright against their centre at `cover` of 32 angles, no two within 10 pixels."""
-    low = im.min(axis=2).astype(float)
-    white = low * np.clip(1 - (im.max(axis=2) - low - 10) / 40, 0, 1)
-    k = ring_kernel(radius)
-    shape = [a + b - 1 for a, b in zip(white.shape, k.shape)]
-    full = np.fft.irfft2(np.fft.rfft2(white, shape) * np.fft.rfft2(k[::-1, ::-1], shape), shape)
-    n = k.shape[0] // 2
-    score = full[n : n + white.shape[0], n : n + white.shape[1]].round(6)
-    angle = np.arange(32) * np.pi / 16
-    out: list[dict] = []
-    for y, x in local_maxima(score, 9, least):
-        sy, sx = np.rint(y + radius * np.sin(angle)).astype(int), np.rint(x + radius * np.cos(angle)).astype(int)
-        inside = (sy >= 1) & (sy < white.shape[0] - 1) & (sx >= 1) & (sx < white.shape[1] - 1)
-        if inside.sum() < 24 or any(np.hypot(x - d["x"], y - d["y"]) < 10 for d in out):
-            continue
-        around = np.array([white[a - 1 : a + 2, b - 1 : b + 2].max() for a, b in zip(sy[inside], sx[inside])])
-        contrast = around - np.median(low[max(0, y - 4) : y + 5, max(0, x - 4) : x + 5])
-        if (contrast > max(12.0, least)).mean() >= cover:
-            out.append({"kind": "ring", "x": float(x), "y": float(y), "width": int(2 * radius), "height": int(2 * radius), "value": float(score[y, x])})
-    return out
-
-
 def line_difference(ours: np.ndarray, theirs: np.ndarray, reach: int = 4) -> tuple[int, int]:
     """Pixels of their mask that ours lacks, and of ours that theirs lacks, where no pixel within `reach` in both axes makes up for it."""
     size = 2 * reach + 1

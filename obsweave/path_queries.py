@@ -338,3 +338,16 @@ m AS (SELECT h.*, (SELECT max(g.n) FROM h g WHERE abs(g.th - h.th) <= 1 AND abs(
 def q124(spark, d):
     p = observations(spark, d).select(F.floor("x").alias("px"), F.col("y").alias("py")).distinct()
     return paths.hough(p, 90, 20).select("th", "rho", "n")
+
+
+@query("q146_connected_parts", f"""
+WITH RECURSIVE {OBS}, p AS (SELECT DISTINCT CAST(floor(t / 86400) AS BIGINT) AS frame, CAST(floor(x) AS BIGINT) AS px, CAST(y AS BIGINT) AS py FROM obs),
+e AS (SELECT a.frame, a.py * 100000 + a.px AS a, b.py * 100000 + b.px AS b FROM p a JOIN p b ON a.frame = b.frame AND abs(a.px - b.px) + abs(a.py - b.py) = 1),
+w AS (SELECT frame, py * 100000 + px AS a, py * 100000 + px AS b FROM p UNION SELECT w.frame, w.a, e.b FROM w JOIN e ON w.frame = e.frame AND w.b = e.a), m AS (SELECT frame, a, min(b) AS part FROM w GROUP BY frame, a)
+SELECT p.frame, min(px) AS "left", max(px) AS "right", min(py) AS top, max(py) AS bottom, count(*) AS area FROM p JOIN m ON p.frame = m.frame AND p.py * 100000 + p.px = m.a GROUP BY p.frame, part""")
+def q146(spark, d):
+    from .operators import parts
+
+    o = observations(spark, d).select(F.floor(F.col("t") / DAY).alias("frame"), F.floor("x").alias("px"), F.col("y").alias("py"))
+    p = parts.parts(parts.runs_of_points(o, ["frame"], "px", "py"), ["frame"])
+    return p.select("frame", "left", "right", "top", "bottom", "area")

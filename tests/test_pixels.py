@@ -3,7 +3,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from obsweave.operators import curves, pixels
+from obsweave.operators import curves, parts, pixels
 
 
 def blank(h=360, w=640):
@@ -15,25 +15,35 @@ def ring(im, x, y, radius, width=1.2, colour=(230, 230, 230)):
     im[np.abs(d - radius) < width] = colour
 
 
-def test_regions_against_flood_fill():
+def flood(m):
+    """Boxes and areas of the parts of a mask: (top, bottom, left, right, area)."""
+    left, out = set(zip(*(v.tolist() for v in np.nonzero(m)))), []
+    while left:
+        todo = [left.pop()]
+        mine = list(todo)
+        while todo:
+            y, x = todo.pop()
+            for q in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if q in left:
+                    left.remove(q)
+                    todo.append(q)
+                    mine.append(q)
+        ys, xs = zip(*mine)
+        out.append((min(ys), max(ys), min(xs), max(xs), len(mine)))
+    return out
+
+
+def test_parts_against_flood_fill(spark):
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        m = rng.random((12, 15)) < 0.5
-        labels, boxes = pixels.regions(m)
-        seen, n = np.zeros(m.shape, int), 0
-        for y, x in zip(*np.nonzero(m)):
-            if not seen[y, x]:
-                n += 1
-                todo = [(y, x)]
-                while todo:
-                    a, b = todo.pop()
-                    if 0 <= a < 12 and 0 <= b < 15 and m[a, b] and not seen[a, b]:
-                        seen[a, b] = n
-                        todo += [(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)]
-        assert np.array_equal(labels, seen) and len(boxes) == n
-        for k, (ys, xs) in enumerate(boxes):
-            at = np.nonzero(seen == k + 1)
-            assert (ys.start, ys.stop, xs.start, xs.stop) == (at[0].min(), at[0].max() + 1, at[1].min(), at[1].max() + 1)
+    masks = [rng.random((14, 150)) < p for p in (0.3, 0.5, 0.6, 0.7, 1.0)]
+    snake = np.zeros((60, 30), bool)  # one part that is as long as it can be
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    masks.append(snake)
+    pixels_ = [(k, int(x), int(y)) for k, m in enumerate(masks) for y, x in zip(*np.nonzero(m))]
+    rows = parts.runs_of_points(spark.createDataFrame(pixels_, "frame long, x long, y long"), ["frame"], "x", "y")
+    got = sorted((r.frame, r.top, r.bottom, r.left, r.right, r.area) for r in parts.parts(rows, ["frame"]).collect())
+    assert got == sorted((k, *b) for k, m in enumerate(masks) for b in flood(m)) and got[-1][-1] == snake.sum()
 
 
 def test_detectors(spark):
@@ -42,13 +52,22 @@ def test_detectors(spark):
     im[100:120, 300:320] = (240, 220, 240)  # a tap
     im[180:260, 400:418] = (240, 220, 240)  # a hold
     ring(im, 100, 200, 10.3)
-    frames = spark.createDataFrame([(1, 5, 360, 640, bytearray(im.tobytes())), (1, 6, 360, 640, None), (1, 7, 2, 2, bytearray(b"x"))], "video long, frame long, height int, width int, pixels binary")
-    got = pixels.detect(frames, pixels.white_circles, pixels.pastel_notes, pixels.rings).collect()
+    df = spark.createDataFrame([(1, 5, 360, 640, bytearray(im.tobytes())), (1, 6, 360, 640, None), (1, 7, 2, 2, bytearray(b"x"))], "video long, frame long, height int, width int, pixels binary")
+    got = parts.white_outlines(df).unionByName(parts.notes(df)).collect()
     by = lambda kind: sorted((r.x, r.y) for r in got if r.kind == kind)
-    assert {r.frame for r in got} == {5}
+    assert {r.frame for r in got} == {5} and len(got) == 4
     assert by("target") == [(100.0, 200.0), (200.0, 150.0)] and by("tap") == [(309.5, 109.5)] and by("hold") == [(408.5, 250.0)]
-    assert all(any(np.hypot(x - a, y - b) <= 1.5 for x, y in by("ring")) for a, b in ((200, 150), (100, 200)))
-    assert pixels.detect(frames.limit(0), pixels.rings).collect() == []
+    assert parts.notes(df.limit(0)).collect() == []
+
+
+def test_ring_votes(spark):
+    im = blank(120, 160)
+    ring(im, 40, 50, 10.3)
+    ring(im, 110, 60, 10.3)
+    im[90:100, 20:90] = 240  # no ring
+    points = [(1, int(x), int(y)) for y, x in zip(*np.nonzero(im.min(2) > 175))]
+    got = sorted((r.x, r.y) for r in parts.ring_votes(spark.createDataFrame(points, "frame long, px long, py long"), ["frame"], 10.3, 0.9).collect())
+    assert all(any(np.hypot(x - a, y - b) <= 1.5 for x, y in got) for a, b in ((40, 50), (110, 60)))
 
 
 def test_energy_and_differences():

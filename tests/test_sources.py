@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from obsweave.operators import pixels
+from obsweave.operators import parts
 from obsweave.plans.runs import Run, batch_report
 from obsweave.sources import frames, package, tables
 
@@ -31,7 +31,7 @@ def test_detections_of_raw_frames(spark, tmp_path):
     im = np.zeros((60, 80, 3), np.uint8)
     im[20:40, 30:50] = (240, 220, 240)
     (tmp_path / "v.rgb").write_bytes(im.tobytes() * 2)
-    got = pixels.detect(frames.read_frames(spark, str(tmp_path / "v.rgb"), 80, 60), pixels.pastel_notes).collect()
+    got = parts.notes(frames.read_frames(spark, str(tmp_path / "v.rgb"), 80, 60)).collect()
     assert [(r.frame, r.kind, r.x, r.y) for r in sorted(got)] == [(0, "tap", 39.5, 29.5), (1, "tap", 39.5, 29.5)]
 
 
