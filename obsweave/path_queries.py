@@ -10,6 +10,7 @@ from .functions import scalar
 from .functions.scalar import clip
 from .operators import greedy, joins, paths
 from .queries import DAY, HOLDS, HOUR, OBS, query, r, w
+from .sources.shared import held
 from .sources.tables import fingerprint, holds, observations, table, unfinished
 
 KEY = "ok, ln, pk, round(price, 2) AS price"
@@ -351,3 +352,56 @@ def q146(spark, d):
     o = observations(spark, d).select(F.floor(F.col("t") / DAY).alias("frame"), F.floor("x").alias("px"), F.col("y").alias("py"))
     p = parts.parts(parts.runs_of_points(o, ["frame"], "px", "py"), ["frame"])
     return p.select("frame", "left", "right", "top", "bottom", "area")
+
+
+@query("q147_many_predictors", f"""
+WITH {OBS}, o AS (SELECT kind, x AS v, (t - 1704067200) / 86400 AS z, y % 10 AS c FROM obs), m AS (SELECT kind, c, avg(v) AS mv, avg(z) AS mz FROM o GROUP BY kind, c),
+b AS (SELECT o.kind, sum((z - mz) * (v - mv)) / sum((z - mz) * (z - mz)) AS b FROM o JOIN m USING (kind, c) GROUP BY o.kind)
+SELECT kind, CAST(0 AS BIGINT) AS i, round(b, 5) + 0 AS b FROM b UNION ALL SELECT m.kind, CAST(c AS BIGINT) + 1, round(mv - b * mz, 5) + 0 FROM m JOIN b USING (kind)""")
+def q147(spark, d):
+    from .operators.regress import least_squares
+
+    o = observations(spark, d)
+    xs = [(F.col("t") - 1704067200) / DAY, *((F.col("y") % 10 == c).cast("double") for c in range(10))]
+    return least_squares(o, ["kind"], F.col("x"), xs).select("kind", "i", (r("b", 5) + 0.0).alias("b"))
+
+
+def _huber(rounds: int, bound: float) -> str:
+    """Lines by rounds of weighted sums, one common table expression a round."""
+    out = ["m AS (SELECT track, avg(t) AS m FROM o GROUP BY track)", "r AS MATERIALIZED (SELECT o.track, t - m AS d, x AS v FROM o JOIN m USING (track))"]
+    for k in range(rounds + 1):
+        weight = "1.0" if not k else f"CASE WHEN abs(v - level - slope * d) <= {bound} THEN 1.0 ELSE {bound} / abs(v - level - slope * d) END"
+        rows = f"SELECT r.track, d, v, {weight} AS w FROM r" + (f" JOIN l{k - 1} USING (track)" if k else "")
+        sums = f"SELECT track, sum(w) AS n, sum(w * d) AS sd, sum(w * v) AS sv, sum(w * d * d) AS dd, sum(w * d * v) AS dv FROM ({rows}) GROUP BY track"
+        slope = "(n * dv - sd * sv) / (n * dd - sd * sd)"
+        out.append(f"l{k} AS MATERIALIZED (SELECT track, {slope} AS slope, (sv - {slope} * sd) / n AS level FROM ({sums}) WHERE n * dd - sd * sd > 1e-9 * n * n)")
+    return ", ".join(out) + f" SELECT track, round(any_value(slope), 5) + 0 AS slope, round(any_value(level), 4) AS level, round(avg(CASE WHEN abs(v - level - slope * d) <= {bound} THEN 1.0 ELSE 0.0 END), 4) AS inside FROM r JOIN l{rounds} USING (track) GROUP BY track"
+
+
+@query("q148_robust_lines", f"WITH {OBS}, o AS (SELECT track, (t - 1704067200) / 86400 AS t, x FROM obs), {_huber(6, 8.0)}")
+def q148(spark, d):
+    from .operators.regress import robust_lines
+
+    o = observations(spark, d).withColumn("day", (F.col("t") - 1704067200) / DAY)
+    return robust_lines(o, ["track"], "day", "x", 8.0).select("track", (r("slope", 5) + 0.0).alias("slope"), r("level").alias("level"), r("inside").alias("inside"))
+
+
+_TH = f"th * 2 * {math.pi!r} / 180"
+
+
+@query("q149_line_segments", f"""
+WITH RECURSIVE {OBS}, p AS (SELECT DISTINCT CAST(floor(x) AS BIGINT) AS px, y AS py FROM obs), a AS (SELECT unnest(generate_series(0, 89)) AS th), h AS MATERIALIZED (SELECT th, CAST(round_even(round(px * cos({_TH}) + py * sin({_TH}), 6), 0) AS BIGINT) AS rho, count(*) AS n FROM p, a GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT * FROM (SELECT h.*, (SELECT max(g.n) FROM h g WHERE abs(g.th - h.th) <= 1 AND abs(g.rho - h.rho) <= 1) AS top FROM h WHERE n > 20) WHERE n = top),
+hit AS (SELECT k.th, k.rho, px, py, round(-px * sin(k.th * 2 * {math.pi!r} / 180) + py * cos(k.th * 2 * {math.pi!r} / 180), 6) AS u FROM p JOIN k ON abs(CAST(round_even(round(px * cos(k.th * 2 * {math.pi!r} / 180) + py * sin(k.th * 2 * {math.pi!r} / 180), 6), 0) AS BIGINT) - k.rho) <= 1),
+g AS (SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY th, rho ORDER BY u, px, py) > 3 THEN 1 ELSE 0 END AS new FROM hit), c AS (SELECT *, sum(new) OVER (PARTITION BY th, rho ORDER BY u, px, py ROWS UNBOUNDED PRECEDING) AS run FROM g),
+s AS (SELECT th, rho, min(u) AS u0, max(u) AS u1, count(*) AS n FROM c GROUP BY th, rho, run HAVING max(u) - min(u) >= 20),
+e AS (SELECT a.th AS th, a.rho AS rho, b.th AS th2, b.rho AS rho2 FROM k a JOIN k b ON abs(a.th - b.th) <= 1 AND abs(a.rho - b.rho) <= 2),
+w AS (SELECT th, rho, th AS th2, rho AS rho2 FROM k UNION SELECT w.th, w.rho, e.th2, e.rho2 FROM w JOIN e ON w.th2 = e.th AND w.rho2 = e.rho),
+q AS (SELECT th, rho, min(th2 * 1000000 + rho2) AS part FROM w GROUP BY th, rho), b AS (SELECT part, th, rho FROM k JOIN q USING (th, rho) QUALIFY row_number() OVER (PARTITION BY part ORDER BY n DESC, th, rho) = 1),
+o AS (SELECT b.th, b.rho, s.u0, s.u1, s.n, s.th AS t, s.rho AS r FROM s JOIN q ON s.th = q.th AND s.rho = q.rho JOIN b ON b.part = q.part), v AS (SELECT *, CASE WHEN u0 > max(u1) OVER (PARTITION BY th, rho ORDER BY u0, u1, t, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM o),
+z AS (SELECT *, sum(new) OVER (PARTITION BY th, rho ORDER BY u0, u1, t, r ROWS UNBOUNDED PRECEDING) AS seg FROM v) SELECT CAST(th AS BIGINT) AS th, rho, round(min(u0), 3) AS u0, round(max(u1), 3) AS u1, max(n) AS n FROM z GROUP BY th, rho, seg""")
+def q149(spark, d):
+    from .operators.segments import segments
+
+    p = held(observations(spark, d).select(F.floor("x").alias("px"), F.col("y").alias("py")).distinct())
+    return segments(p, paths.hough(p, 90, 20), 90, 3.0, 20.0).select("th", "rho", r("u0", 3).alias("u0"), r("u1", 3).alias("u1"), "n")
