@@ -1,6 +1,4 @@
 """Operators on events with paths, on small literal cases."""
-import math
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -26,13 +24,6 @@ def left(spark, rows, find):
     return {r.event_id for r in ev.deduplicated(df, find).collect()}
 
 
-def test_visual_duplicates(spark):
-    assert left(spark, [sprite(1, count=8), sprite(2, count=15)], ev.visual_duplicates) == {2}
-    assert left(spark, [sprite(1, y=100), sprite(2, y=138)], ev.visual_duplicates) == {1, 2}
-    assert left(spark, [sprite(1, fake=False), sprite(2, fake=False)], ev.visual_duplicates) == {1, 2}
-    assert left(spark, [sprite(1), sprite(2, kind=1), sprite(3)], ev.visual_duplicates) == {1, 2}
-
-
 def test_endpoint_duplicates(spark):
     first = hold(1, 1.0, 0.40, 0.85, 0.90)
     assert left(spark, [first, hold(2, 1.12, 0.28, 0.30, 0.70, 2.0)], ev.endpoint_duplicates) == {1}
@@ -53,43 +44,6 @@ def test_nudged(spark):
     assert got == {7: (round(1 + 1 / 30, 5), round(1.4 - round(1 + 1 / 30, 5), 5), True), 8: (2.0, 0.0, False), 9: (0.5, 0.0, False)}
 
 
-def test_cap_angles():
-    head = np.array([[k, 250.0, 600.0] for k in range(3)])
-    for given, want in ((91.5, 91.5), (90.2, 90.0)):
-        a = math.radians(given)
-        tail = head + np.array([0, 600 * math.cos(a), -600 * math.sin(a)])
-        assert np.allclose(ev.cap_angles(head, tail), want, atol=0.02)
-
-
-def test_repaired_rotation():
-    t = [0.90, 0.933333, 0.966667, 1.0, 1.033333]
-    caps = lambda a, b: (np.array([[x, 400, a + 20 * i] for i, x in enumerate(t)], float), np.array([[x, 400, b + 20 * i] for i, x in enumerate(t)], float))
-    even = lambda v: np.array([[t[0], v], [t[-1], v]], float)
-    for h, tail, given in ((400, 200, 76), (40, -90, 76), (200, 0, 104)):
-        got = ev.repaired_rotation(*caps(h, tail), even(given))
-        assert np.allclose(got[:, 1], 90, atol=0.02)
-    stray = np.array(list(zip(t, [90, 76, 90, 90, 90])), float)
-    assert ev.repaired_rotation(*caps(400, 200), stray) is None
-    three = np.array(list(zip(t, [90, 76, 76, 76, 90])), float)
-    assert np.allclose(ev.repaired_rotation(*caps(40, -90), three)[:, 1], 90, atol=0.02)
-
-
-def test_moving_anchor():
-    body = [[0.966667, 510, 545], [1.033333, 490, 590], [1.066667, 460, 605], [1.1, 430, 610]]
-    still = [[1.0, 500, 576], [1.2, 500, 576]]
-    got = ev.moving_anchor(1.0, 0.2, 500.0, 576.0, body, still, False)
-    assert got[0] == [1.0, 500.0, 576.0] and got[1:4] == body[1:] and got[-1] == [1.2, 430.0, 610.0]
-    assert ev.moving_anchor(1.0, 0.2, 500.0, 576.0, body[1:], still, True) == got
-    near = [[1.0, 500, 576], [1.033333, 491, 590], [1.066667, 461, 605], [1.1, 431, 610], [1.2, 431, 610]]
-    assert ev.moving_anchor(1.0, 0.2, 500.0, 576.0, body, near, True) == near
-    stray = [list(q) for q in near]
-    stray[2] = [1.066667, 520, 650]
-    smooth = [[1.033333, 490, 590], [1.066667, 460.5, 600], [1.1, 431, 610]]
-    mended = ev.moving_anchor(1.0, 0.2, 500.0, 576.0, smooth, stray, True)
-    assert mended[2] == [1.066667, 460.5, 600.0] and stray[2][1] == 520  # the input stays
-    assert ev.moving_anchor(1.0, 0.0, 500.0, 576.0, body, still, False) == still
-
-
 def test_teleporting_rails(spark):
     s = "kind string, samples array<struct<time:double,x:double,y:double,nativeAnchor:boolean,anchored:boolean>>"
     rows = [("rail", [(110.56665, 2058.9, 2773.2, True, False), (110.59998, -480.0, -360.0, True, True)]), ("rail", [(1.0, -20.0, 50.0, True, True), (1.033, -18.0, 52.0, True, True)]), ("rail", []), ("ring", [(1.0, 0.0, 0.0, True, False), (1.01, 5000.0, 0.0, True, True)])]
