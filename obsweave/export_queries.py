@@ -199,3 +199,44 @@ def q145(spark, d):
     table_ = spark.read.parquet(f"{root}/progress")
     totals = table_.select("phase", r(F.try_element_at("metrics", F.lit("total")), 2).alias("total"))
     return by_phase(table_).join(totals, "phase").select("phase", "rows", "total")
+
+
+@query("q150_rotation_repair", f"""
+WITH {OBS}, c AS (SELECT track AS hold, (t - 1704067200) / 86400 AS t, degrees(atan2(150, x - 40)) AS deg FROM obs WHERE y * 9 - 150 BETWEEN -720 * 0.22 AND 720 + 720 * 0.22 AND y * 9 BETWEEN -720 * 0.22 AND 720 + 720 * 0.22 AND sqrt((x - 40) * (x - 40) + 22500) BETWEEN 80 AND 800),
+g AS (SELECT track AS hold, min((t - 1704067200) / 86400) AS t0, max((t - 1704067200) / 86400) AS t1 FROM obs GROUP BY track),
+m AS (SELECT hold, t, list_sort([coalesce(lag(deg) OVER o, deg), deg, coalesce(lead(deg) OVER o, deg)])[2] AS a FROM c WINDOW o AS (PARTITION BY hold ORDER BY t)),
+a AS (SELECT hold, t, CASE WHEN abs(a - 90) < 0.4 THEN 90 ELSE a END AS angle, CASE WHEN t1 > t0 THEN 96 - 20 * (t - t0) / (t1 - t0) ELSE 96 END AS told FROM m JOIN g USING (hold)),
+b AS (SELECT *, abs((angle - told + 270) % 180 - 90) > 8 AS bad FROM a), n AS (SELECT *, CASE WHEN bad IS DISTINCT FROM lag(bad) OVER o OR t - lag(t) OVER o > 2 THEN 1 ELSE 0 END AS new FROM b WINDOW o AS (PARTITION BY hold ORDER BY t)), r AS (SELECT *, sum(new) OVER (PARTITION BY hold ORDER BY t) AS run FROM n),
+w AS (SELECT DISTINCT hold FROM (SELECT hold, count(*) AS k FROM r WHERE bad GROUP BY hold, run HAVING count(*) >= 3) WHERE hold IN (SELECT hold FROM a GROUP BY hold HAVING count(*) >= 4)),
+e AS (SELECT hold, t0 AS t, 96.0 AS degrees FROM g UNION ALL SELECT hold, t1, 76.0 FROM g WHERE t1 > t0)
+SELECT hold, round(t, 6) AS t, round(degrees, 4) AS degrees, hold IN (SELECT hold FROM w) AS repaired FROM e WHERE NOT (hold IN (SELECT hold FROM w) AND EXISTS (SELECT 1 FROM a WHERE a.hold = e.hold AND a.t = e.t)) UNION ALL SELECT hold, round(t, 6), round(angle, 4), true FROM a WHERE hold IN (SELECT hold FROM w)""")
+def q150(spark, d):
+    from .operators.holds import repaired_rotations
+
+    o = observations(spark, d).select(F.col("track").alias("hold"), ((F.col("t") - 1704067200) / DAY).alias("t"), F.col("x"), (F.col("y") * 9.0).alias("hy"))
+    caps = o.select("hold", "t", F.lit(0.0).alias("hx"), "hy", (F.col("x") - 40).alias("tx"), (F.col("hy") - 150).alias("ty"))
+    span = o.groupBy("hold").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    given = span.select("hold", F.explode(F.array_distinct(F.array(F.struct(F.col("t0").alias("t"), F.lit(96.0).alias("degrees")), F.struct(F.col("t1").alias("t"), F.when(F.col("t1") > F.col("t0"), 76.0).otherwise(96.0).alias("degrees"))))).alias("p")).select("hold", "p.*")
+    return repaired_rotations(caps, given, gap=2.0).select("hold", r("t", 6).alias("t"), r("degrees", 4).alias("degrees"), "repaired")
+
+
+@query("q151_doubled_sprites", f"""
+WITH {OBS}, p AS (SELECT track AS video, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], kind) AS BIGINT) AS event, (t - 1704067200) / 86400 AS t, min(x) AS x, CAST(min(y) AS DOUBLE) AS y FROM obs GROUP BY 1, 2, 3),
+s AS (SELECT video, event, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM p GROUP BY 1, 2 HAVING count(*) >= 4),
+k AS (SELECT a.video, a.event AS a, b.event AS b, greatest(a.t0, b.t0) AS lo, least(a.t1, b.t1) AS hi, a.n AS na, b.n AS nb FROM s a JOIN s b ON a.video = b.video AND a.event < b.event WHERE (a.event <> 3 OR b.event <> 3) AND least(a.t1, b.t1) - greatest(a.t0, b.t0) >= 2),
+q AS (SELECT video, a, b, CASE WHEN i = greatest(5, CAST(floor(hi - lo) AS INTEGER) + 1) - 1 THEN hi ELSE lo + i * (hi - lo) / (greatest(5, CAST(floor(hi - lo) AS INTEGER) + 1) - 1) END AS t FROM k, LATERAL (SELECT unnest(range(greatest(5, CAST(floor(hi - lo) AS INTEGER) + 1))) AS i)
+      UNION SELECT k.video, a, b, p.t FROM k JOIN p ON p.video = k.video AND (p.event = k.a OR p.event = k.b) AND p.t BETWEEN lo AND hi),
+u AS (SELECT q.*, al.t AS alt, al.x AS alx, al.y AS aly, ar.t AS art, ar.x AS arx, ar.y AS ary FROM q ASOF JOIN p al ON al.video = q.video AND al.event = q.a AND q.t >= al.t ASOF JOIN p ar ON ar.video = q.video AND ar.event = q.a AND q.t <= ar.t),
+v AS (SELECT u.*, bl.t AS blt, bl.x AS blx, bl.y AS bly, br.t AS brt, br.x AS brx, br.y AS bry FROM u ASOF JOIN p bl ON bl.video = u.video AND bl.event = u.b AND u.t >= bl.t ASOF JOIN p br ON br.video = u.video AND br.event = u.b AND u.t <= br.t),
+f AS (SELECT video, a, b, CASE WHEN alt = art THEN alx ELSE alx + (arx - alx) * (t - alt) / (art - alt) END - CASE WHEN blt = brt THEN blx ELSE blx + (brx - blx) * (t - blt) / (brt - blt) END AS dx, CASE WHEN alt = art THEN aly ELSE aly + (ary - aly) * (t - alt) / (art - alt) END - CASE WHEN blt = brt THEN bly ELSE bly + (bry - bly) * (t - blt) / (brt - blt) END AS dy FROM v),
+z AS (SELECT f.video, f.a, f.b FROM f GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND median(sqrt(dx * dx + dy * dy)) <= 40 AND avg(CASE WHEN sqrt(dx * dx + dy * dy) < 60 THEN 1.0 ELSE 0.0 END) >= 0.75),
+o AS (SELECT z.*, CASE WHEN a = 3 THEN b WHEN b = 3 THEN a WHEN na >= nb THEN b ELSE a END AS goes FROM z JOIN k USING (video, a, b)),
+l AS (SELECT video, list_reduce(list_prepend({{'gone': CAST([] AS BIGINT[]), 'a': CAST(NULL AS BIGINT), 'b': CAST(NULL AS BIGINT), 'goes': CAST(NULL AS BIGINT), 'there': true}}, list({{'gone': CAST([] AS BIGINT[]), 'a': a, 'b': b, 'goes': goes, 'there': true}} ORDER BY a, b)), lambda s, p: {{'gone': CASE WHEN (CASE WHEN s.a IS NOT DISTINCT FROM p.a THEN s.there ELSE NOT list_contains(s.gone, p.a) END) AND NOT list_contains(s.gone, p.b) THEN list_append(s.gone, p.goes) ELSE s.gone END, 'a': p.a, 'b': p.b, 'goes': p.goes, 'there': CASE WHEN s.a IS NOT DISTINCT FROM p.a THEN s.there ELSE NOT list_contains(s.gone, p.a) END}}) AS r FROM o GROUP BY video)
+SELECT DISTINCT video, unnest(r.gone) AS event FROM l""")
+def q151(spark, d):
+    from .operators.holds import sprite_duplicates
+
+    event = F.array_position(F.array(*(F.lit(k) for k in ("click", "error", "purchase", "signup", "view"))), F.col("kind"))
+    p = observations(spark, d).select(F.col("track").alias("video"), event.alias("event"), ((F.col("t") - 1704067200) / DAY).alias("t"), "x", F.col("y").cast("double").alias("y"))
+    e = p.select("video", "event").distinct().select("video", "event", (F.col("event") != 3).alias("fake"), F.lit(None).cast("int").alias("type"), F.lit(0).alias("frames"), F.lit("high").alias("confidence"))
+    return sprite_duplicates(e, p, overlap=2.0, median=40.0, close=60.0, cell=40.0, fps=1.0).select("video", "event")
