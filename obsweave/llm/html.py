@@ -32,7 +32,7 @@ TRACKED = BLOCKS - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "
 VOID = set("br hr img input wbr meta link base area col embed source track param".split())
 NAMES = set("ads adv advert adverts advertisement banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer topbar cookie cookies gdpr popup modal newsletter subscribe signup share sharing related recommended widget comment comments respond disqus replies copyright pager pagination".split())
 MILD = set("ad side header masthead consent notice notices overlay login search social legal tags".split())  # only where nothing else is in the name
-AFFIXES = set("main site page post article top bottom left right inner outer box bar block list item items link links wrap wrapper container area section holder panel row col column group slot unit text title content card button buttons icon icons posts user bottom leaderboard primary secondary global js the wp".split())
+AFFIXES = set("main site page post article top bottom left right inner outer box bar block list item items link links wrap wrapper container area section holder panel row col column group slot unit text title content card button buttons icon icons posts user bottom leaderboard primary secondary global js the wp area articles stories strip law policy form this reply thread modal message messages zone unit trigger toggle count".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -41,40 +41,46 @@ MOST_RANGES = 50_000  # bounds what the driver holds; a longer range is sorted o
 OWN, OPEN = 1, 0  # a line of the article; a line about which markup says nothing
 
 
-def names_part(value: str) -> bool:
-    """Whether one of the names in a class or id attribute names a part that is not text: a word of it does so (`related-posts`), or all do or are affixes where the word has other uses
-    (`site_header-2`, but neither `side-by-side` nor `ad-hoc`)."""
+DROP, DOUBT = 2, 1
+
+
+def names_part(value: str) -> int:
+    """What the names in a class or id attribute say. DROP: one of them names a part that is not text, by all of its words, some of which may be affixes (`related-posts`, `site_header-2`). DOUBT: a name has such a word among
+    others (`share-price`, `related-work`), and differencing decides. Neither `side-by-side` nor `ad-hoc` says anything."""
+    says = 0
     for name in value.lower().split():
         words = [w for w in re.split(r"[-_]+|\d+", name) if w]
-        if any(w in NAMES for w in words) or any(w in MILD for w in words) and all(w in MILD or w in AFFIXES for w in words):
-            return True
-    return False
+        known = any(w in NAMES for w in words)
+        if (known or any(w in MILD for w in words)) and all(w in NAMES or w in MILD or w in AFFIXES for w in words):
+            return DROP
+        says = max(says, DOUBT * known)
+    return says
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def unwanted(tag: str, attributes: str, inside: bool) -> int:
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return DROP
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    says = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if names_part(value):
-                return True
+            says = max(says, names_part(value))
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                return DROP
         elif name == "hidden" or value.lower() == "true":
-            return True
-    return False
+            return DROP
+    return says
 
 
 def lines(page: str) -> list[tuple[int, str]]:
-    """(kind, line) of every block of text in page order, without what markup rules out. Where a page has an article, its lines are OWN; all others are OPEN.
+    """(kind, line) of every block of text in page order, without what markup rules out. Where a page has an article, its lines are OWN, but for parts whose name is in doubt; all others are OPEN.
     A head is left as it is: what stands in it has elements of its own that go, and its end tag may be missing."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside an article
-    dropped = inside = False
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, inside an article, in doubt
+    dropped = inside = doubt = False
     held: list[str] = []
     at = 0
 
@@ -83,7 +89,7 @@ def lines(page: str) -> list[tuple[int, str]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((OWN if inside else OPEN, text))
+                out.append((OWN if inside and not doubt else OPEN, text))
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not dropped:
@@ -100,13 +106,13 @@ def lines(page: str) -> list[tuple[int, str]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    _, dropped, inside = stack[-1] if stack else ("", False, False)
+                    _, dropped, inside, doubt = stack[-1] if stack else ("", False, False, False)
                     break
         elif tag not in VOID and not m[4].endswith("/"):
-            bad = not dropped and unwanted(tag, m[4], inside)
-            if bad or tag in TRACKED or tag in INNER:
-                dropped, inside = dropped or bad, inside or tag in INNER
-                stack.append((tag, dropped, inside))
+            says = 0 if dropped else unwanted(tag, m[4], inside)
+            if says or tag in TRACKED or tag in INNER:
+                dropped, inside, doubt = dropped or says == DROP, inside or tag in INNER, doubt or says == DOUBT
+                stack.append((tag, dropped, inside, doubt))
     if at < len(page) and not dropped:
         held.append(page[at:])
     cut()
