@@ -146,11 +146,20 @@ def q138(spark, d):
 
 
 @query("q139_greedy_lines", f"""
-WITH {OBS}, b AS (SELECT a.track, a.id, z.id AS line, row_number() OVER (PARTITION BY a.track, a.id ORDER BY round(abs(a.x - z.x) + 3 * abs(a.y - z.y), 6), z.id) AS k FROM obs a JOIN obs z ON a.track = z.track AND z.kind = 'purchase' AND a.t - z.t BETWEEN 0 AND 86400 WHERE a.kind = 'view' AND abs(a.y - z.y) < 25 AND abs(a.x - z.x) < 22) SELECT track, id, line FROM b WHERE k = 1""")
+WITH {OBS}, o AS (SELECT a.track, a.id, z.id AS line, round(abs(a.x - z.x) + 3 * abs(a.y - z.y), 6) AS cost FROM obs a JOIN obs z ON a.track = z.track AND z.kind = 'purchase' AND a.t - z.t BETWEEN 0 AND 86400 WHERE a.kind = 'view' AND abs(a.y - z.y) < 25 AND abs(a.x - z.x) < 22),
+l AS (SELECT track, list([{{'id': id, 'line': line}}] ORDER BY id, cost, line) AS offers FROM o GROUP BY track)
+SELECT track, e.id AS id, e.line AS line FROM (SELECT track, unnest(list_reduce(offers, lambda a, c: CASE WHEN len(list_filter(a, lambda z: z.id = c[1].id OR z.line = c[1].line)) = 0 THEN list_concat(a, c) ELSE a END)) AS e FROM l)""")
 def q139(spark, d):
+    from .operators.budgets import budgeted
+
     o = observations(spark, d).select("track", "id", "t", "x", "y", "kind")
+    a, z = o.where("kind = 'view'"), o.where("kind = 'purchase'")
     dx, dy = F.abs(F.col("x") - F.col("x_r")), F.abs(F.col("y") - F.col("y_r"))
-    return motion.attach(o.where("kind = 'view'"), o.where("kind = 'purchase'"), ["track"], "t", -DAY, 0.0, (dy < 25) & (dx < 22), r(dx + 3 * dy, 6), "id_r").select("track", "id", F.col("id_r").alias("line"))
+    near = joins.band_join(a, z, ["track"], "t", -DAY, 0.0).where((dy < 25) & (dx < 22))
+    offers = near.select("track", "id", F.col("id_r").alias("line"), r(dx + 3 * dy, 6).alias("cost"), F.col("id").cast("double").alias("own"), F.lit(0.0).alias("place"))
+    one = offers.select("track", "id").distinct().withColumn("budget", F.lit(1).cast("long"))
+    # detections in order, each with the cheapest line that is free; none suppresses another but by its line
+    return budgeted(offers, one, "track", "id", "line", ["cost"], "own", ["place"], 0.25, 0.25).select("track", "id", "line")
 
 
 @query("q140_editor_window", f"""

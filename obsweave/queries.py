@@ -564,7 +564,7 @@ def q57(spark, d):
     return simplify_paths(observations(spark, d).select("track", "t", "id", "x", F.col("y").cast("double").alias("y")), 12.0)
 
 
-@query("q58_codec_roundtrip", """SELECT l_orderkey, count(*) AS n, true AS equal FROM lineitem GROUP BY l_orderkey""")
+@query("q58_codec_roundtrip", """SELECT l_orderkey, count(*) AS n, true AS equal, round(sum(l_quantity), 2)::DOUBLE AS quantity, round(sum(l_extendedprice), 2)::DOUBLE AS price FROM lineitem GROUP BY l_orderkey""")
 def q58(spark, d):
     from .operators.curves import codec_check
 
