@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip
+from ..functions.scalar import clip, reliable
 
 INTERVAL = 43200.0
 
@@ -42,3 +42,17 @@ def curve_loss(obs: DataFrame) -> DataFrame:
     n, seen = F.row_number().over(w), F.sum(F.when(F.col("kind").isin("click", "view"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     c = obs.withColumn("gap", F.abs(n - seen)).withColumn("weight", clip((F.col("y") / 100.0 - 0.015) / 0.075, 0.15, 1.0))
     return c.groupBy("track").agg(F.round(F.sum(F.col("weight") * F.col("gap")), 4).alias("loss"), F.round(F.avg(F.when(F.col("gap") == 0, 1.0).otherwise(0.0)), 5).alias("exact"))
+
+
+def monotone_readings(readings: DataFrame, key: str) -> DataFrame:
+    """Reliable readings (key, t, count, error, margin) that are not below one before them."""
+    w = Window.partitionBy(key).orderBy("t", "count").rowsBetween(Window.unboundedPreceding, -1)
+    r = readings.where(reliable(F.col("error"), F.col("margin"))).withColumn("top_", F.max("count").over(w))
+    return r.where(F.col("top_").isNull() | (F.col("count") >= F.col("top_"))).drop("top_")
+
+
+def anchors(readings: DataFrame, key: str, plateau: float = 0.05) -> DataFrame:
+    """key, t, count: where a count is first read, and last, if it stands for more than `plateau` seconds."""
+    r = monotone_readings(readings, key).groupBy(key, "count").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    times = F.when(F.col("last") - F.col("first") > plateau, F.array("first", "last")).otherwise(F.array("first"))
+    return r.select(key, F.explode(times).alias("t"), "count")

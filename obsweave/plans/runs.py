@@ -30,6 +30,10 @@ class Run:
         self.marks: dict[str, str] = {"source": key}
         self.done: list[dict] = []
 
+    def add(self, name: str, table: DataFrame, key: str) -> None:
+        """A further source; key: its fingerprint."""
+        self.tables[name], self.marks[name] = table, key
+
     def path(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
 
