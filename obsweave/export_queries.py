@@ -249,3 +249,27 @@ def q151(spark, d):
     p = observations(spark, d).select(F.col("track").alias("video"), event.alias("event"), ((F.col("t") - 1704067200) / DAY).alias("t"), "x", F.col("y").cast("double").alias("y"))
     e = p.select("video", "event").distinct().select("video", "event", (F.col("event") != 3).alias("fake"), F.lit(None).cast("int").alias("type"), F.lit(0).alias("frames"), F.lit("high").alias("confidence"))
     return sprite_duplicates(e, p, overlap=2.0, median=40.0, close=60.0, cell=40.0, fps=1.0).select("video", "event")
+
+
+_AT = "CASE WHEN {s}lt = {s}rt THEN {s}l{c} ELSE {s}l{c} + ({s}r{c} - {s}l{c}) * (t - {s}lt) / ({s}rt - {s}lt) END"
+
+
+@query("q152_hollow_duplicates", f"""
+WITH {OBS}, p AS (SELECT track AS video, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], kind) AS BIGINT) AS event, (t - 1704067200) / 86400 AS t, min(x) AS x, CAST(min(y) AS DOUBLE) AS y FROM obs GROUP BY 1, 2, 3),
+s AS (SELECT video, event, count(*) AS n, min(t) AS t0, max(t) AS t1, arg_max(x, t) AS zx, arg_max(y, t) AS zy, CASE WHEN event <= 2 THEN 1 END AS target, round(min(x) / 100, 6) AS ring FROM p GROUP BY 1, 2),
+k AS (SELECT a.video, a.event AS a, b.event AS b, greatest(a.t0, b.t0) AS lo, least(a.t1, b.t1) AS hi, coalesce(a.target = b.target AND abs(a.t1 - b.t1) < 1.5 AND sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2) < 60, false) OR (abs(a.t1 - b.t1) < 1 AND sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2) < 30) AS near,
+      round(CASE WHEN a.target IS NULL THEN 0 ELSE 8 END + 2 * a.ring + least(3, 0.12 * a.n), 9) AS ra, round(CASE WHEN b.target IS NULL THEN 0 ELSE 8 END + 2 * b.ring + least(3, 0.12 * b.n), 9) AS rb FROM s a JOIN s b ON a.video = b.video AND a.event < b.event WHERE a.n >= 2 AND b.n >= 2),
+q AS (SELECT video, a, b, CASE WHEN i = 8 THEN hi ELSE lo + i * (hi - lo) / 8 END AS t FROM k, range(9) AS g(i) WHERE NOT near AND hi - lo >= 3),
+u AS (SELECT q.*, al.t AS alt, al.x AS alx, al.y AS aly, ar.t AS art, ar.x AS arx, ar.y AS ary FROM q ASOF JOIN p al ON al.video = q.video AND al.event = q.a AND q.t >= al.t ASOF JOIN p ar ON ar.video = q.video AND ar.event = q.a AND q.t <= ar.t),
+v AS (SELECT u.*, bl.t AS blt, bl.x AS blx, bl.y AS bly, br.t AS brt, br.x AS brx, br.y AS bry FROM u ASOF JOIN p bl ON bl.video = u.video AND bl.event = u.b AND u.t >= bl.t ASOF JOIN p br ON br.video = u.video AND br.event = u.b AND u.t <= br.t),
+f AS (SELECT video, a, b, {_AT.format(s="a", c="x")} - {_AT.format(s="b", c="x")} AS dx, {_AT.format(s="a", c="y")} - {_AT.format(s="b", c="y")} AS dy FROM v),
+z AS (SELECT video, a, b FROM k WHERE near UNION ALL SELECT video, a, b FROM f GROUP BY 1, 2, 3 HAVING median(sqrt(dx * dx + dy * dy)) < 35),
+l AS (SELECT video, list_reduce(list_prepend({{'gone': CAST([] AS BIGINT[]), 'a': CAST(NULL AS BIGINT), 'b': CAST(NULL AS BIGINT), 'goes': CAST(NULL AS BIGINT)}}, list({{'gone': CAST([] AS BIGINT[]), 'a': a, 'b': b, 'goes': CASE WHEN ra >= rb THEN b ELSE a END}} ORDER BY a, b)), lambda s, p: {{'gone': CASE WHEN list_contains(s.gone, p.a) OR list_contains(s.gone, p.b) THEN s.gone ELSE list_append(s.gone, p.goes) END, 'a': p.a, 'b': p.b, 'goes': p.goes}}) AS r FROM z JOIN k USING (video, a, b) GROUP BY video)
+SELECT video, unnest(r.gone) AS event FROM l""")
+def q152(spark, d):
+    from .operators.holds import hollow_duplicates
+
+    event = F.array_position(F.array(*(F.lit(k) for k in ("click", "error", "purchase", "signup", "view"))), F.col("kind"))
+    p = observations(spark, d).select(F.col("track").alias("video"), event.alias("event"), ((F.col("t") - 1704067200) / DAY).alias("t"), "x", F.col("y").cast("double").alias("y"))
+    e = p.groupBy("video", "event").agg(F.max("t").alias("time"), r(F.min("x") / 100, 6).alias("ring")).select("video", "event", "time", F.when(F.col("event") <= 2, F.lit(1)).cast("long").alias("target"), "ring", F.lit(0.0).alias("head"))
+    return hollow_duplicates(e, p, same=(1.5, 60.0), along=(3.0, 35.0), touch=(1.0, 30.0), cell=40.0).select("video", "event")

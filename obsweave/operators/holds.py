@@ -160,3 +160,59 @@ def sprite_duplicates(events: DataFrame, points: DataFrame, **limits) -> DataFra
 
     gone = rows.select("video", F.explode(F.array_distinct(F.aggregate("pairs", none, step)["gone"])).alias("event"))
     return gone.distinct()
+
+
+def settled(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """video, event of what goes when pairs (video, a, b) are settled in order and one of a pair goes, the lesser by rank, the later of equals; who has gone meets no further pair. ranks: video, event, rank."""
+    from .parts import labels
+
+    part = labels(pairs, ["video"])
+    own = [apart(ranks.select("video", F.col("event").alias(c), F.col("rank").alias(f"r{c}"))) for c in "ab"]
+    named = pairs.join(own[0], ["video", "a"]).join(own[1], ["video", "b"]).join(apart(part.select("video", F.col("node").alias("a"), "part")), ["video", "a"])
+    rows = named.groupBy("video", "part").agg(F.array_sort(F.collect_list(F.struct("a", "b", F.when(F.col("ra") >= F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("goes")))).alias("pairs"))
+
+    def step(gone: Column, p: Column) -> Column:
+        return F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.array_append(gone, p["goes"]))
+
+    return rows.select("video", F.explode(F.aggregate("pairs", F.array().cast("array<bigint>"), step)).alias("event"))
+
+
+#: How near in time and place two events are of one target, how long paths run together and how near, and how near contacts are.
+SAME, ALONG, TOUCH = (0.055, 44.0), (0.065, 20.0), (0.045, 36.0)
+
+
+def hollow_pairs(events: DataFrame, points: DataFrame, same: tuple = SAME, along: tuple = ALONG, touch: tuple = TOUCH, samples: int = 9, cell: float = 0.5) -> DataFrame:
+    """video, a, b: pairs of events that may be one hollow note: of one target, near in time and at their ends; or with paths that run together, by the median distance at `samples` even times; or with contacts near in time and
+    place. events: video, event, time, target (or null); points: video, event, t, x, y, two times or more. Events meet by cells of time, over their paths and contacts."""
+    p = points.groupBy("video", "event", "t").agg(F.min(F.struct("x", "y")).alias("p")).select("video", "event", "t", "p.x", "p.y")
+    spans = p.groupBy("video", "event").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max(F.struct("t", "x", "y")).alias("z")).where("n >= 2")
+    e = events.select("video", "event", "time", "target").join(apart(spans), ["video", "event"]).select("video", "event", "time", "target", "t0", "t1", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
+    reach = max(same[0], touch[0])
+    lo, hi = F.least("t0", F.col("time") - reach), F.greatest("t1", F.col("time") + reach)
+    c = e.withColumn("cell", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))
+    a, b = (c.select("video", "cell", *(F.col(k).alias(f"{k}_{side}") for k in ("event", "time", "target", "t0", "t1", "x", "y"))) for side in "ab")
+    met = a.join(apart(b), ["video", "cell"]).where("event_a < event_b").drop("cell").distinct()
+    dt, far = F.abs(F.col("time_a") - F.col("time_b")), F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))
+    near = F.coalesce((F.col("target_a") == F.col("target_b")) & (dt < same[0]) & (far < same[1]), F.lit(False)) | ((dt < touch[0]) & (far < touch[1]))
+    sure = met.where(near).select("video", F.col("event_a").alias("a"), F.col("event_b").alias("b"))
+    low, high = F.greatest("t0_a", "t0_b"), F.least("t1_a", "t1_b")
+    open_ = met.where(~near & (high - low >= along[0])).select("video", F.col("event_a").alias("a"), F.col("event_b").alias("b"), low.alias("lo"), high.alias("hi"))
+    times = open_.select("video", "a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.when(k == samples - 1, F.col("hi")).otherwise(F.col("lo") + k * (F.col("hi") - F.col("lo")) / (samples - 1)))).alias("t"))
+    both = None
+    for side in "ab":
+        at = apart(times.select(F.struct("video", F.col(side).alias("event")).alias("path"), "video", "a", "b", "t"))
+        for k in "xy":
+            at = apart(interpolate(apart(p.select(F.struct("video", "event").alias("path"), "t", k)), at, "path", "t", k).withColumnRenamed("interpolated", f"{k}{side}"))
+        at = apart(at.drop("path"))
+        both = at if both is None else both.join(at, ["video", "a", "b", "t"])
+    d = F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))
+    run = both.groupBy("video", "a", "b").agg(F.percentile(d, F.lit(0.5)).alias("m")).where(F.col("m") < along[1]).select("video", "a", "b")
+    return sure.unionByName(apart(run))
+
+
+def hollow_duplicates(events: DataFrame, points: DataFrame, **limits) -> DataFrame:
+    """video, event of the events that double another hollow note: of a pair the lesser by support goes, 8 for a target, 2 ring + head and up to 3 for the path. events: video, event, time, target, ring, head."""
+    n = points.groupBy("video", "event").agg(F.countDistinct("t").alias("n"))
+    support = F.when(F.col("target").isNotNull(), 8.0).otherwise(0.0) + 2 * F.coalesce("ring", F.lit(0.0)) + F.coalesce("head", F.lit(0.0)) + F.least(F.lit(3.0), 0.12 * F.coalesce("n", F.lit(0)))
+    ranks = events.join(apart(n), ["video", "event"], "left").select("video", "event", F.round(support, 9).alias("rank"))
+    return settled(hollow_pairs(events, points, **limits), ranks)

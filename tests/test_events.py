@@ -59,16 +59,6 @@ def test_approach(spark):
     assert lead == [0.02, 0.6, 0.6]
 
 
-def test_hollow_duplicates():
-    a, b = sprite(1, count=12), sprite(2, count=8)
-    far = sprite(3, y=300, count=8)
-    assert ev.hollow_duplicates([a, b, far]) == {1}
-    a["track"] = None
-    b["ring"] = 0.9
-    assert ev.hollow_duplicates([a, b, far]) == {0}
-    assert ev.hollow_duplicates([]) == set()
-
-
 def test_consolidated():
     line = lambda k, a, b: dict(sprite(k), time=a, duration=b - a, path=[[t, 100.0, 200 * t] for t in np.linspace(a, b, 12).tolist()])
     out = ev.consolidated([line(1, 1.0, 2.0), line(2, 1.5, 2.6), line(3, 2.2, 3.0), dict(line(4, 1.0, 2.0), path=[[1.0, 500.0, 0.0], [2.0, 500.0, 9.0]])])

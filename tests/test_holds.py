@@ -95,3 +95,22 @@ def test_sprites_equal_the_loop(spark):
             if np.median(d) <= 10 and np.mean(np.array(d) < 16) >= 0.75:
                 gone.add(b[1] if rank[a[1]] >= rank[b[1]] else a[1])
     assert left(spark, *sprites) == {s[0][1] for s in sprites} - gone and 5 < len(gone) < 38
+
+
+def hollow(spark, *notes):
+    """notes: (sprite, time, target, ring); the events that are left."""
+    e = spark.createDataFrame([(1, s[0][1], t, target, ring, 0.0) for s, t, target, ring in notes], "video long, event long, time double, target long, ring double, head double")
+    p = spark.createDataFrame([q for s, *_ in notes for q in s[1]], POINT)
+    return {s[0][1] for s, *_ in notes} - {r.event for r in holds.hollow_duplicates(e, p).collect()}
+
+
+def test_hollow_duplicates(spark):
+    end = lambda n: (n - 1) / 30
+    a, b, far = sprite(1, count=12), sprite(2, count=8), sprite(3, y=300, count=8)
+    assert hollow(spark, (a, end(12), 1, 0.0), (b, end(8), 2, 0.0), (far, end(8), 3, 0.0)) == {1, 3}  # along one path: the shorter goes
+    assert hollow(spark, (a, end(12), None, 0.0), (b, end(8), 2, 0.9), (far, end(8), 3, 0.0)) == {2, 3}  # a target weighs more
+    close, off = sprite(4, y=140, count=12), sprite(5, y=160, count=12)
+    assert hollow(spark, (a, end(12), 7, 0.0), (close, end(12), 7, 0.1)) == {4}  # 40 pixels apart, one target
+    assert hollow(spark, (a, end(12), 7, 0.0), (close, end(12), 8, 0.1)) == {1, 4} and hollow(spark, (a, end(12), 7, 0.0), (off, end(12), 7, 0.1)) == {1, 5}
+    touch = sprite(6, y=130, count=12)
+    assert hollow(spark, (a, end(12), None, 0.0), (touch, end(12) + 0.04, None, 0.0)) == {1}  # contacts near in time and place: the later of equals goes
