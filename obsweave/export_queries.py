@@ -273,3 +273,53 @@ def q152(spark, d):
     p = observations(spark, d).select(F.col("track").alias("video"), event.alias("event"), ((F.col("t") - 1704067200) / DAY).alias("t"), "x", F.col("y").cast("double").alias("y"))
     e = p.groupBy("video", "event").agg(F.max("t").alias("time"), r(F.min("x") / 100, 6).alias("ring")).select("video", "event", "time", F.when(F.col("event") <= 2, F.lit(1)).cast("long").alias("target"), "ring", F.lit(0.0).alias("head"))
     return hollow_duplicates(e, p, same=(1.5, 60.0), along=(3.0, 35.0), touch=(1.0, 30.0), cell=40.0).select("video", "event")
+
+
+def _sprites(spark, d):
+    """video, event, t, x, y: a user's events of one kind as a path, t in days."""
+    event = F.array_position(F.array(*(F.lit(k) for k in ("click", "error", "purchase", "signup", "view"))), F.col("kind"))
+    return observations(spark, d).select(F.col("track").alias("video"), event.alias("event"), ((F.col("t") - 1704067200) / DAY).alias("t"), "x", F.col("y").cast("double").alias("y"))
+
+
+SPRITES = f"""{OBS}, p AS (SELECT track AS video, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], kind) AS BIGINT) AS event, (t - 1704067200) / 86400 AS t, x, CAST(y AS DOUBLE) AS y FROM obs),
+g AS (SELECT video, event AS b, t AS t0, x AS x0, y AS y0, lead(t) OVER o AS t1, lead(x) OVER o AS x1, lead(y) OVER o AS y1 FROM p WINDOW o AS (PARTITION BY video, event ORDER BY t)),
+m AS (SELECT p.video, p.event AS a, g.b, count(*) AS n FROM p JOIN g ON p.video = g.video AND p.event <> g.b AND p.t >= g.t0 AND (p.t < g.t1 OR (g.t1 IS NULL AND p.t = g.t0))
+      WHERE CASE WHEN t1 IS NULL THEN sqrt((x - x0) ** 2 + (y - y0) ** 2) ELSE sqrt((x - x0 - (t - t0) / (t1 - t0) * (x1 - x0)) ** 2 + (y - y0 - (t - t0) / (t1 - t0) * (y1 - y0)) ** 2) END < 25 GROUP BY 1, 2, 3)"""
+
+
+@query("q153_path_matches", f"WITH {SPRITES} SELECT video, a, b, n FROM m WHERE n >= 2")
+def q153(spark, d):
+    from .operators.holds import path_matches
+
+    p = _sprites(spark, d)
+    return path_matches(p, p, 25.0, 2, 2.0)
+
+
+@query("q154_supported_twins", f"""
+WITH {SPRITES}, e AS (SELECT video, event, max(t) AS t, max(x) >= 60 AS strong FROM p GROUP BY 1, 2) SELECT video, event FROM e WHERE NOT strong AND EXISTS (SELECT 1 FROM m JOIN e z ON z.video = m.video AND z.event = m.b WHERE m.video = e.video AND m.a = e.event AND m.n >= 3 AND z.strong AND abs(z.t - e.t) <= 5)""")
+def q154(spark, d):
+    from .operators.holds import path_matches
+    from .sources.shared import apart
+
+    p = _sprites(spark, d)
+    e = p.groupBy("video", "event").agg(F.max("t").alias("at"), (F.max("x") >= 60).alias("strong"))
+    weak, strong = e.where("NOT strong"), e.where("strong")
+    # weak approaches with a well supported twin on the same path
+    twins = path_matches(p.join(apart(weak), ["video", "event"], "left_semi"), p.join(apart(strong), ["video", "event"], "left_semi"), 25.0, 3, 2.0)
+    near = twins.join(apart(strong.select("video", F.col("event").alias("b"), F.col("at").alias("there"))), ["video", "b"])
+    return weak.join(apart(near.select("video", F.col("a").alias("event"), "there")), ["video", "event"]).where(F.abs(F.col("at") - F.col("there")) <= 5).select("video", "event").distinct()
+
+
+@query("q155_anchors_of_a_track", f"""
+WITH {OBS}, g AS (SELECT track, unnest(generate_series(CAST(ceil(min(t) / 86400) AS BIGINT), CAST(floor(max(t) / 86400) AS BIGINT))) AS day FROM obs GROUP BY track),
+c AS (SELECT g.track, o.id, o.t, o.y, row_number() OVER (PARTITION BY g.track, g.day ORDER BY abs(o.t - g.day * 86400), o.id) AS k FROM g JOIN obs o ON o.track = g.track AND abs(o.t - g.day * 86400) <= 15552),
+a AS (SELECT track, id, t, y FROM c WHERE k = 1 UNION SELECT track, id, t, y FROM obs WHERE kind = 'purchase'), l AS (SELECT track, list({{'t': t, 'id': id, 'y': y}} ORDER BY t, id) AS v FROM a GROUP BY track),
+f AS (SELECT track, list_reduce(list_transform(v, lambda e: [e]), lambda acc, e: CASE WHEN e[1].y >= acc[-1].y THEN list_concat(acc, e) ELSE acc END) AS k FROM l),
+h AS (SELECT track, list_reduce(list_transform(k, lambda e: [e]), lambda acc, e: CASE WHEN e[1].t - acc[-1].t >= 43200 THEN list_concat(acc, e) ELSE acc END) AS k FROM f) SELECT track, u.id AS id, u.y AS y FROM (SELECT track, unnest(k) AS u FROM h)""")
+def q155(spark, d):
+    o = observations(spark, d)
+    g = o.groupBy("track").agg(F.explode(F.sequence(F.ceil(F.min("t") / DAY), F.floor(F.max("t") / DAY))).alias("day")).withColumn("t", F.col("day") * DAY)
+    dense = joins.argmin_per(joins.band_join(g, o.select("track", "id", "t", "y"), ["track"], "t", -0.18 * DAY, 0.18 * DAY), ["track", "day"], F.abs(F.col("t_r") - F.col("t")), "id_r")
+    both = dense.select("track", F.col("id_r").alias("id"), F.col("t_r").alias("t"), F.col("y_r").alias("y")).union(o.where("kind = 'purchase'").select("track", "id", "t", "y")).distinct()
+    rising = greedy.monotone(both, ["track"], ["t", "id"], ["y"], lambda q, e: e["y"] >= q["y"])
+    return greedy.monotone(rising, ["track"], ["t", "id"], ["y"], lambda q, e: e["t"] - q["t"] >= 12 * HOUR).select("track", "id", "y")

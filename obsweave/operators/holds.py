@@ -216,3 +216,18 @@ def hollow_duplicates(events: DataFrame, points: DataFrame, **limits) -> DataFra
     support = F.when(F.col("target").isNotNull(), 8.0).otherwise(0.0) + 2 * F.coalesce("ring", F.lit(0.0)) + F.coalesce("head", F.lit(0.0)) + F.least(F.lit(3.0), 0.12 * F.coalesce("n", F.lit(0)))
     ranks = events.join(apart(n), ["video", "event"], "left").select("video", "event", F.round(support, 9).alias("rank"))
     return settled(hollow_pairs(events, points, **limits), ranks)
+
+
+def path_matches(paths: DataFrame, others: DataFrame, close: float, least: int, cell: float = 0.5) -> DataFrame:
+    """video, a, b, n: how many samples of a path lie closer than `close` to where another path is at their times, where `least` do. paths and others: video, event, t, x, y. A sample meets the paths that are there in its
+    cell of time, and those have a place at its time between their own samples."""
+    q = others.groupBy("video", "event", "t").agg(F.min(F.struct("x", "y")).alias("p")).select("video", "event", "t", "p.x", "p.y")
+    w = Window.partitionBy("video", "event").orderBy("t")
+    legs = q.select("video", F.col("event").alias("b"), F.col("t").alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), *(F.coalesce(F.lead(c).over(w), F.col(c)).alias(f"{c}1") for c in "txy"), F.lead("t").over(w).isNull().alias("last"))
+    legs = legs.withColumn("cell", F.explode(F.sequence(F.floor(F.col("t0") / cell), F.floor(F.col("t1") / cell))))
+    samples = paths.select("video", F.col("event").alias("a"), "t", "x", "y").withColumn("cell", F.floor(F.col("t") / cell))
+    there = (F.col("t") >= F.col("t0")) & ((F.col("t") < F.col("t1")) | (F.col("last") & (F.col("t") == F.col("t0"))))
+    met = apart(samples).join(apart(legs), ["video", "cell"]).where("a <> b").where(there)
+    part = F.when(F.col("t1") > F.col("t0"), (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).otherwise(0.0)
+    off = F.hypot(F.col("x") - F.col("x0") - part * (F.col("x1") - F.col("x0")), F.col("y") - F.col("y0") - part * (F.col("y1") - F.col("y0")))
+    return met.where(off < close).groupBy("video", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
