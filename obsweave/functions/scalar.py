@@ -116,3 +116,16 @@ def xorshift32(state: Column) -> Column:
     for n in (13, -17, 5):
         state = state.bitwiseXOR(F.shiftleft(state, n).bitwiseAND(full) if n > 0 else F.shiftright(state, -n))
     return state
+
+
+def blocked(ring: float = 0.05) -> Column:
+    """Whether an event is kept out of a fit: the rules in their order, later ones on top of earlier ones. Columns: faint, wide (kinds that are often decoration), never, supported, twin (a well supported event on its track close by), copy (a
+    supported double of its approach), deferred (waits until the counter asks for it), required (the counter asks for it), visual (shown, never judged), and the measurements ring, head,
+    frames, duration."""
+    weak = F.expr("(faint AND ring < 0.025) OR (wide AND head < 0.01 AND ring < 0.04)")
+    seen = F.when(F.col("frames") >= 30, False).otherwise(weak)  # long tracks are notes, whatever their ring
+    doubled = F.expr("(ring < 0.02 AND twin) OR (ring < 0.06 AND copy)")
+    still = (F.col("duration") > 1728000) & (F.col("frames") < 8) & (F.col("ring") < ring)
+    waiting = F.when(F.col("deferred"), True).otherwise(seen | doubled | still)
+    rules = waiting | (F.col("never") & ~F.col("supported"))
+    return F.when(F.col("visual") & ~F.col("required"), True).when(F.col("required"), False).otherwise(rules)

@@ -42,17 +42,18 @@ def q93(spark, d):
 
 
 @query("q94_block_rules", f"""
-WITH {HOLDS}, e AS ({EVIDENCE}), s AS (SELECT ok AS sok, pk AS spk, t AS st FROM holds WHERE ring >= 0.09),
-b AS (SELECT *, EXISTS (SELECT 1 FROM s WHERE s.spk = e.pk AND s.sok <> e.ok AND abs(s.st - e.t) < 950400) AS twin FROM e)
-SELECT {KEY}, CASE WHEN pk % 97 = 0 THEN false WHEN pk % 13 = 0 THEN true ELSE (CASE WHEN frames >= 30 THEN false ELSE faint AND ring < 0.025 END) OR (ring < 0.02 AND twin) OR (duration > 1728000 AND frames < 8 AND ring < 0.05) OR (never AND NOT supported) END AS blocked FROM b""")
+WITH {HOLDS}, e AS ({EVIDENCE}), s AS (SELECT ok AS sok, pk AS spk, t AS st FROM holds WHERE ring >= 0.09), u AS (SELECT ok AS uok, pk AS upk, t AS ut, frames AS uf FROM holds WHERE ring >= 0.06),
+b AS (SELECT *, pk % 97 = 0 AS required, pk % 17 = 0 AS deferred, pk % 7 = 0 AS wide, EXISTS (SELECT 1 FROM s WHERE s.spk = e.pk AND s.sok <> e.ok AND abs(s.st - e.t) < 950400) AS twin, EXISTS (SELECT 1 FROM u WHERE u.upk = e.pk AND u.uok <> e.ok AND abs(u.ut - e.t) < 2592000 AND abs(u.uf - e.frames) <= 3) AS copy FROM e),
+k AS (SELECT *, (CASE WHEN frames >= 30 THEN false ELSE (faint AND ring < 0.025) OR (wide AND head < 0.01 AND ring < 0.04) END) OR (ring < 0.02 AND twin) OR (ring < 0.06 AND copy) OR (duration > 1728000 AND frames < 8 AND ring < 0.05) AS early FROM b)
+SELECT {KEY}, CASE WHEN pk % 13 = 0 AND NOT required THEN true WHEN required THEN false ELSE (CASE WHEN deferred THEN true ELSE early END) OR (never AND NOT supported) END AS blocked FROM k""")
 def q94(spark, d):
-    e = _evidence(spark, d).withColumn("row", F.monotonically_increasing_id())
-    strong = e.where("ring >= 0.09").select("pk", "ok", "t")
-    twin = joins.band_join(e.where("ring < 0.02").select("row", "pk", "ok", "t"), strong, ["pk"], "t", -11 * DAY, 11 * DAY).where((F.col("ok") != F.col("ok_r")) & (F.abs(F.col("t_r") - F.col("t")) < 11 * DAY)).select("row").distinct().withColumn("twin", F.lit(True))
-    b = e.join(twin, "row", "left").withColumn("twin", F.coalesce("twin", F.lit(False)))
-    base = F.when(F.col("frames") >= 30, False).otherwise(F.expr("faint AND ring < 0.025"))
-    rules = base | F.expr("ring < 0.02 AND twin") | F.expr("duration > 1728000 AND frames < 8 AND ring < 0.05") | F.expr("never AND NOT supported")
-    return b.select(*_key(), F.when(F.expr("pk % 97 = 0"), False).when(F.expr("pk % 13 = 0"), True).otherwise(rules).alias("blocked"))
+    e = _evidence(spark, d).withColumn("row", F.monotonically_increasing_id()).withColumns({"required": F.expr("pk % 97 = 0"), "deferred": F.expr("pk % 17 = 0"), "wide": F.expr("pk % 7 = 0"), "visual": F.expr("pk % 13 = 0")})
+    near = lambda rows, others, reach: joins.band_join(rows.select("row", "pk", "ok", "t", "frames"), others.select("pk", "ok", "t", "frames"), ["pk"], "t", -reach, reach).where((F.col("ok") != F.col("ok_r")) & (F.abs(F.col("t_r") - F.col("t")) < reach))
+    flag = lambda found, name: found.select("row").distinct().withColumn(name, F.lit(True))
+    twin = flag(near(e.where("ring < 0.02"), e.where("ring >= 0.09"), 11 * DAY), "twin")
+    copy = flag(near(e.where("ring < 0.06"), e.where("ring >= 0.06"), 30 * DAY).where(F.abs(F.col("frames_r") - F.col("frames")) <= 3), "copy")
+    b = e.join(twin, "row", "left").join(copy, "row", "left").fillna(False, ["twin", "copy"])
+    return b.select(*_key(), scalar.blocked().alias("blocked"))
 
 
 @query("q95_release_checks", f"""
