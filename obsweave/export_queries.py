@@ -323,3 +323,14 @@ def q155(spark, d):
     both = dense.select("track", F.col("id_r").alias("id"), F.col("t_r").alias("t"), F.col("y_r").alias("y")).union(o.where("kind = 'purchase'").select("track", "id", "t", "y")).distinct()
     rising = greedy.monotone(both, ["track"], ["t", "id"], ["y"], lambda q, e: e["y"] >= q["y"])
     return greedy.monotone(rising, ["track"], ["t", "id"], ["y"], lambda q, e: e["t"] - q["t"] >= 12 * HOUR).select("track", "id", "y")
+
+
+@query("q157_extended_events", f"""
+WITH {SPRITES}, o AS (SELECT video, a, min(b) AS event FROM m WHERE n >= 2 AND a <= 3 AND b > 3 GROUP BY video, a), s AS (SELECT video, event, min(t) AS t0, max(t) AS t1 FROM p GROUP BY video, event),
+k AS (SELECT p.video, o.event, p.t, p.x, p.y, o.a AS track, row_number() OVER (PARTITION BY p.video, o.event, p.t ORDER BY o.a, p.x, p.y) AS k FROM p JOIN o ON p.video = o.video AND p.event = o.a JOIN s ON s.video = o.video AND s.event = o.event WHERE p.t < t0 OR p.t > t1)
+SELECT video, event, round(t, 6) AS t, x, y, track FROM k WHERE k = 1""")
+def q157(spark, d):
+    from .operators.holds import extended_by
+
+    p = _sprites(spark, d)
+    return extended_by(p.where("event > 3"), p.where("event <= 3"), 25.0, 2, 2.0).select("video", "event", r("t", 6).alias("t"), "x", "y", "track")

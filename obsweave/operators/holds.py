@@ -231,3 +231,13 @@ def path_matches(paths: DataFrame, others: DataFrame, close: float, least: int,
     part = F.when(F.col("t1") > F.col("t0"), (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))).otherwise(0.0)
     off = F.hypot(F.col("x") - F.col("x0") - part * (F.col("x1") - F.col("x0")), F.col("y") - F.col("y0") - part * (F.col("y1") - F.col("y0")))
     return met.where(off < close).groupBy("video", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def extended_by(events: DataFrame, tracks: DataFrame, close: float = 24.0, least: int = 3, cell: float = 0.5) -> DataFrame:
+    """video, event, t, x, y, track of the points that decorative tracks add to events: a track goes to the first event on whose path `least` of its samples lie, and gives it what it has before and after that path. Tracks are held
+    against the paths that events have of their own; of points at one time the first track's counts. events and tracks: video, event, t, x, y."""
+    own = path_matches(tracks, events, close, least, cell).groupBy("video", "a").agg(F.min("b").alias("event"))
+    span = events.groupBy("video", "event").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    points = tracks.select("video", F.col("event").alias("a"), "t", "x", "y").join(apart(own), ["video", "a"]).join(apart(span), ["video", "event"])
+    beyond = points.where((F.col("t") < F.col("t0")) | (F.col("t") > F.col("t1")))
+    return beyond.groupBy("video", "event", "t").agg(F.min(F.struct("a", "x", "y")).alias("p")).select("video", "event", "t", "p.x", "p.y", F.col("p.a").alias("track"))

@@ -96,3 +96,24 @@ def script(lines: DataFrame, keys: list[str], order: list[str], line: str) -> Da
     """notes, script, size: the lines of each key in order, as one text, and its size with line ends. A script is one value, so a key is as large as what it exports."""
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("line_"))))
     return lines.groupBy(*keys).agg(F.count("*").alias("notes"), F.array_join(F.transform(rows, lambda x: x["line_"]), "\n").alias("script"), F.sum(F.length(line) + 1).alias("size"))
+
+
+#: How far a line may be from an axis; lines of a family, its deviation and its common tilt, for a close and for a large family; the pivot's distance.
+FAMILY = {"near": 1.5, "close": (6, 0.12, 0.18), "large": (12, 0.45, 0.30), "least": 0.005, "arm": 3450.0}
+
+
+def aligned_families(lines: DataFrame, key: list[str], near: float = FAMILY["near"], close: tuple = FAMILY["close"], large: tuple = FAMILY["large"], least: float = FAMILY["least"], arm: float = FAMILY["arm"]) -> DataFrame:
+    """Lines (key, rotation, x, y, anchored, ...) with the rotation of their axis where a family of lines of one key is parallel to it: enough lines within `near` of level or upright, with a small median deviation around a small common
+    tilt. A line that hangs on no target turns around the pivot `arm` from its place, so its place moves; `moved` says which did. Families are measured by two grouped medians."""
+    tilt = lambda axis: F.pmod(F.col("rotation") - axis + 90, F.lit(180.0)) - 90
+    row = lines.withColumn("axis_", F.when(F.abs(tilt(0)) < near, 0).when(F.abs(tilt(90)) < near, 90)).withColumn("tilt_", F.when(F.col("axis_") == 0, tilt(0)).otherwise(tilt(90)))
+    family = row.where("axis_ IS NOT NULL")
+    m = family.groupBy(*key, "axis_").agg(F.count("*").alias("n_"), F.percentile("tilt_", F.lit(0.5)).alias("m_"))
+    d = family.join(m, [*key, "axis_"]).groupBy(*key, "axis_", "n_", "m_").agg(F.percentile(F.abs(F.col("tilt_") - F.col("m_")), F.lit(0.5)).alias("d_"))
+    fits = lambda b: (F.col("n_") >= b[0]) & (F.col("d_") <= b[1]) & (F.abs("m_") <= b[2])
+    ok = d.where(fits(close) | fits(large)).select(*key, "axis_", F.lit(True).alias("ok_"))
+    r = row.join(ok, [*key, "axis_"], "left").withColumn("moved", F.coalesce("ok_", F.lit(False)) & (F.abs("tilt_") >= least))
+    a, b = F.radians(-F.col("rotation")), F.radians(F.col("tilt_") - F.col("rotation"))
+    turn = F.col("moved") & ~F.col("anchored")
+    out = r.withColumn("x", F.col("x") + F.when(turn, (F.cos(a) - F.cos(b)) * arm).otherwise(0.0)).withColumn("y", F.col("y") - F.when(turn, (F.sin(a) - F.sin(b)) * arm).otherwise(0.0))
+    return out.withColumn("rotation", F.when(F.col("moved"), F.col("rotation") - F.col("tilt_")).otherwise(F.col("rotation"))).drop("axis_", "tilt_", "ok_")

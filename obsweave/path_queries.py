@@ -406,3 +406,17 @@ def q149(spark, d):
 
     p = held(observations(spark, d).select(F.floor("x").alias("px"), F.col("y").alias("py")).distinct())
     return segments(p, paths.hough(p, 90, 20), 90, 3.0, 20.0).select("th", "rho", r("u0", 3).alias("u0"), r("u1", 3).alias("u1"), "n")
+
+
+@query("q156_aligned_families", f"""
+WITH {OBS}, a AS (SELECT id, CAST(floor(t / 7200) AS BIGINT) AS frame, CAST(y AS DOUBLE) * 1.8 AS rotation, x, CAST(y AS DOUBLE) * 3 AS y, kind = 'view' AS anchored FROM obs),
+n AS (SELECT *, CASE WHEN abs((rotation + 90) % 180 - 90) < 15 THEN 0 WHEN abs((rotation + 180) % 180 - 90) < 15 THEN 90 END AS axis FROM a), k AS (SELECT *, (rotation - axis + 90 + 180) % 180 - 90 AS tilt FROM n),
+m AS (SELECT frame, axis, count(*) AS c, median(tilt) AS m FROM k WHERE axis IS NOT NULL GROUP BY frame, axis), s AS (SELECT frame, axis, any_value(c) AS c, any_value(m) AS m, median(abs(tilt - m)) AS dev FROM k JOIN m USING (frame, axis) GROUP BY frame, axis),
+f AS (SELECT frame, axis FROM s WHERE (c >= 3 AND dev <= 4 AND abs(m) <= 4) OR (c >= 5 AND dev <= 8 AND abs(m) <= 6)),
+z AS (SELECT k.*, f.frame IS NOT NULL AND abs(tilt) >= 0.005 AS moved FROM k LEFT JOIN f ON f.frame = k.frame AND f.axis = k.axis)
+SELECT id, moved, round(CASE WHEN moved THEN rotation - tilt ELSE rotation END, 4) AS rotation, round(x + CASE WHEN moved AND NOT anchored THEN (cos(radians(-rotation)) - cos(radians(tilt - rotation))) * 3450 ELSE 0 END, 3) AS x, round(y - CASE WHEN moved AND NOT anchored THEN (sin(radians(-rotation)) - sin(radians(tilt - rotation))) * 3450 ELSE 0 END, 3) + 0 AS y FROM z""")
+def q156(spark, d):
+    o = observations(spark, d)
+    a = o.select("id", F.floor(F.col("t") / 7200).alias("frame"), (F.col("y") * 1.8).alias("rotation"), "x", (F.col("y") * 3.0).alias("y"), (F.col("kind") == "view").alias("anchored"))
+    f = paths.aligned_families(a, ["frame"], 15.0, (3, 4.0, 4.0), (5, 8.0, 6.0))
+    return f.select("id", "moved", r("rotation").alias("rotation"), r("x", 3).alias("x"), (r("y", 3) + 0.0).alias("y"))

@@ -66,14 +66,6 @@ def test_consolidated():
     assert out[0]["path"][0][0] == 1.0 and out[0]["path"][-1][0] == 3.0 and all(x[0] < y[0] for x, y in zip(out[0]["path"], out[0]["path"][1:]))
 
 
-def test_extended_by():
-    e = dict(sprite(1), path=[[t, 100.0, 10 * t] for t in (1.0, 2.0, 3.0, 4.0)])
-    tr = np.array([[t, 104.0, 10 * t] for t in (0.0, 1.0, 2.0, 3.0, 5.0)])
-    away = np.array([[t, 400.0, 10 * t] for t in (1.0, 2.0, 3.0)])
-    (got,), left = ev.extended_by([e], [tr, away])
-    assert [q[0] for q in got["path"]] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and len(left) == 1 and len(e["path"]) == 4
-
-
 def test_tail_contact():
     path = [[1.0 + k / 30, 0.0, 300.0 + k * 40] for k in range(9)]  # 1,200 pixels a second down
     assert abs(ev.tail_contact(path, 1.02, 592.0) - (1.0 + 292 / 1200)) < 1e-9  # measured

@@ -114,3 +114,11 @@ def test_hollow_duplicates(spark):
     assert hollow(spark, (a, end(12), 7, 0.0), (close, end(12), 8, 0.1)) == {1, 4} and hollow(spark, (a, end(12), 7, 0.0), (off, end(12), 7, 0.1)) == {1, 5}
     touch = sprite(6, y=130, count=12)
     assert hollow(spark, (a, end(12), None, 0.0), (touch, end(12) + 0.04, None, 0.0)) == {1}  # contacts near in time and place: the later of equals goes
+
+
+def test_extended_by(spark):
+    schema = "video long, event long, t double, x double, y double"
+    e = spark.createDataFrame([(1, k, t, 100.0 + 200 * (k - 1), 10 * t) for k in (1, 2) for t in (1.0, 2.0, 3.0, 4.0)], schema)
+    tracks = [(1, 7, t, 104.0, 10 * t) for t in (0.0, 1.0, 2.0, 3.0, 5.0)] + [(1, 8, t, 400.0, 10 * t) for t in (1.0, 2.0, 3.0)] + [(1, 9, t, 296.0, 10 * t) for t in (1.5, 2.5, 4.0, 4.5, 5.5)]
+    got = sorted(tuple(r) for r in holds.extended_by(e, spark.createDataFrame(tracks, schema)).collect())
+    assert got == [(1, 1, 0.0, 104.0, 0.0, 7), (1, 1, 5.0, 104.0, 50.0, 7), (1, 2, 4.5, 296.0, 45.0, 9), (1, 2, 5.5, 296.0, 55.0, 9)]
