@@ -334,3 +334,24 @@ def q157(spark, d):
 
     p = _sprites(spark, d)
     return extended_by(p.where("event > 3"), p.where("event <= 3"), 25.0, 2, 2.0).select("video", "event", r("t", 6).alias("t"), "x", "y", "track")
+
+
+@query("q158_script_commands", f"""
+WITH {OBS}, n AS (SELECT track AS video, id, round((t - 1704067200) / 14400, 3) AS hit, CASE WHEN y % 4 = 0 THEN 0.75 ELSE 0.0 END AS duration, kind, kind = 'error' AS fake FROM obs WHERE kind IN ('view', 'click', 'error')),
+s AS (SELECT *, greatest(0.0, hit - 0.6) AS start, hit + duration AS "end" FROM n),
+l AS (SELECT video, fake, list({{'ends': ["end" + 0.55], 'out': [{{'id': id, 'slot': 0}}], 's': start, 'e': "end" + 0.55, 'i': id}} ORDER BY start, id) AS v FROM s GROUP BY video, fake),
+f AS (SELECT video, fake, list_reduce(v, lambda a, z: {{'ends': CASE WHEN coalesce(list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true), 0) > 0 THEN list_concat(list_concat(a.ends[1:list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true) - 1], [z.e]), a.ends[list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true) + 1:]) ELSE list_append(a.ends, z.e) END,
+'out': list_append(a.out, {{'id': z.i, 'slot': CAST(CASE WHEN coalesce(list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true), 0) > 0 THEN list_position(list_transform(a.ends, lambda q: q + 0.001 < z.s), true) - 1 ELSE len(a.ends) END AS INTEGER)}}), 's': z.s, 'e': z.e, 'i': z.i}}) AS r FROM l),
+c AS (SELECT f.video, f.fake, u.id, u.slot FROM (SELECT video, fake, unnest(r.out) AS u FROM f) f), k AS (SELECT s.*, slot, row_number() OVER (PARTITION BY s.video, s.fake, slot ORDER BY start, s.id) AS j FROM s JOIN c ON c.video = s.video AND c.fake = s.fake AND c.id = s.id),
+o AS (SELECT video, fake, slot, row_number() OVER (PARTITION BY video ORDER BY start, id) - 1 AS carrier FROM k WHERE j = 1), z AS (SELECT k.*, carrier FROM k JOIN o USING (video, fake, slot))
+SELECT video, id, 0 AS seq, 'line ' || carrier AS line FROM z WHERE j = 1 UNION ALL SELECT video, id, 1, 'note ' || carrier || ' ' || id || ' ' || printf('%.5f', hit) || ' ' || printf('%.5f', "end") || ' ' || kind || CASE WHEN fake THEN ' fake' ELSE ' real' END FROM z
+UNION ALL SELECT video, id, 3, 'show ' || printf('%.5f', greatest(0.0, start - 2e-5)) || ':0 ' || printf('%.5f', greatest(0.0, start - 2e-5) + 1e-5) || ':1 ' || printf('%.5f', "end") || ':1 ' || printf('%.5f', "end" + 1e-5) || ':0' FROM z
+UNION ALL SELECT track, id, 0, 'effect purchase ' || id || ' ' || printf('%.5f', round((t - 1704067200) / 14400, 3)) || ' ' || printf('%.5f', round((t - 1704067200) / 14400, 3) + 1) || ' ' || printf('%.3f', y / 200.0) FROM obs WHERE kind = 'purchase'""")
+def q158(spark, d):
+    from .sources.script import chart_lines
+
+    o = observations(spark, d).withColumn("at", F.round((F.col("t") - 1704067200) / 14400, 3)).withColumnRenamed("track", "video")
+    notes = o.where("kind IN ('view', 'click', 'error')").select("video", "id", F.col("at").alias("time"), F.when(F.col("y") % 4 == 0, 0.75).otherwise(0.0).alias("duration"), "kind", (F.col("kind") == "error").alias("fake"))
+    effects = o.where("kind = 'purchase'").select("video", "id", "kind", F.col("at").alias("start"), (F.col("at") + 1).alias("end"), (F.col("y") / 200.0).alias("alpha"))
+    points = o.limit(0).select("video", "id", F.col("at").alias("t"), F.col("x"), F.col("y").cast("double").alias("y"))
+    return chart_lines(notes, points, effects).select("video", "id", "seq", "line")

@@ -72,34 +72,38 @@ def tracks(points: DataFrame, off: float = OFF) -> DataFrame:
     return rows.mapInPandas(run, "video long, id long, t array<double>, x array<double>, y array<double>")
 
 
-def chart(video: int, title: str, notes: DataFrame, points: DataFrame, effects: DataFrame) -> DataFrame:
-    """Lines of one video's script: a header; every note in order of time with its carrier, its track and its envelope, a carrier's declaration before its first note; and effects in order of their begin.
+def chart_lines(notes: DataFrame, points: DataFrame, effects: DataFrame) -> DataFrame:
+    """video and LINE's columns of all videos' scripts, without their headers: every note in order of time with its carrier, its track and its envelope, a carrier's declaration before its first note; and effects in order of their
+    begin.
 
     notes: video, id, time, duration, kind, fake. points: video, id, t, x, y, a note's path; a note without a path is shown for .6 s before its time. effects: video, id, kind, start, end, alpha. A fake note is shown, and counts as
     lasting, until its path ends. Times have five decimals and places three."""
-    spark = notes.sparkSession
-    mine = lambda df: df.where(F.col("video") == video)
-    path = mine(points)
-    span = path.groupBy("id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    n = mine(notes).join(apart(span), "id", "left")
+    span = points.groupBy("video", "id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    n = notes.join(apart(span), ["video", "id"], "left")
     end = F.col("time") + F.col("duration")
     shown = F.when(F.col("fake") & F.col("t1").isNotNull(), F.greatest(end, F.col("t1") + 1 / 30)).otherwise(end)
     n = n.withColumn("start", F.when(F.col("t0").isNull(), F.greatest(F.lit(0.0), F.col("time") - 0.6)).otherwise(F.least("t0", "time"))).withColumn("end", shown)
     n = n.withColumn("hit", F.when(F.col("fake") & F.col("t1").isNotNull() & (F.col("duration") <= 0), F.col("end")).otherwise(F.col("time")))
     n = carriers(n.select("video", "id", "fake", "kind", "time", "hit", "start", "end"))
     number = lambda c: F.col(c).cast("string")
-    key = lambda seq: [F.lit(1).alias("section"), F.col("time").alias("at"), "id", F.lit(seq).alias("seq")]
+    key = lambda seq: ["video", F.lit(1).alias("section"), F.col("time").alias("at"), "id", F.lit(seq).alias("seq")]
     carrier = n.where("opens").select(*key(0), F.concat(F.lit("line "), number("carrier")).alias("line"))
     note = n.select(*key(1), F.concat_ws(" ", F.lit("note"), number("carrier"), number("id"), fixed(F.col("hit")), fixed(F.greatest("hit", "end")), "kind", F.when(F.col("fake"), "fake").otherwise("real")).alias("line"))
     edge = F.greatest(F.lit(0.0), F.col("start") - 2e-5)
     keys = [(edge, 0.0), (edge + 1e-5, 1.0), (F.col("end"), 1.0), (F.col("end") + 1e-5, 0.0)]
     envelope = n.select(*key(3), F.concat_ws(" ", F.lit("show"), *(F.concat(fixed(t), F.lit(":"), F.lit(f"{a:g}")) for t, a in keys)).alias("line"))
     spots = F.transform(F.arrays_zip("t", "x", "y"), lambda p: F.concat(fixed(p["t"]), F.lit(":"), fixed(p["x"], 3), F.lit(","), fixed(p["y"], 3)))
-    track = tracks(path).join(apart(n.select("id", "time")), "id").select(*key(2), F.concat(F.lit("path "), F.array_join(spots, " ")).alias("line"))
-    e = mine(effects)
-    effect = e.select(F.lit(2).alias("section"), F.col("start").alias("at"), "id", F.lit(0).alias("seq"), F.concat_ws(" ", F.lit("effect"), "kind", number("id"), fixed(F.col("start")), fixed(F.col("end")), fixed(F.col("alpha"), 3)).alias("line"))
-    head = spark.createDataFrame([(0, 0.0, 0, k, x) for k, x in enumerate(("# reconstruction from video", f"title {title}", "timing 0 60 4"))], LINE)
-    out = head
-    for part in (carrier, note, track, envelope, effect):
-        out = out.unionByName(part.select(F.col("section").cast("int").alias("section"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id"), F.col("seq").cast("int").alias("seq"), "line"))
+    track = tracks(points).join(apart(n.select("video", "id", "time")), ["video", "id"]).select(*key(2), F.concat(F.lit("path "), F.array_join(spots, " ")).alias("line"))
+    effect = effects.select("video", F.lit(2).alias("section"), F.col("start").alias("at"), "id", F.lit(0).alias("seq"), F.concat_ws(" ", F.lit("effect"), "kind", number("id"), fixed(F.col("start")), fixed(F.col("end")), fixed(F.col("alpha"), 3)).alias("line"))
+    typed = lambda p: p.select("video", F.col("section").cast("int").alias("section"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id"), F.col("seq").cast("int").alias("seq"), "line")
+    out = typed(carrier)
+    for part in (note, track, envelope, effect):
+        out = out.unionByName(typed(part))
     return out
+
+
+def chart(video: int, title: str, notes: DataFrame, points: DataFrame, effects: DataFrame) -> DataFrame:
+    """Lines of one video's script, with a header."""
+    mine = [df.where(F.col("video") == video) for df in (notes, points, effects)]
+    head = notes.sparkSession.createDataFrame([(0, 0.0, 0, k, x) for k, x in enumerate(("# reconstruction from video", f"title {title}", "timing 0 60 4"))], LINE)
+    return head.unionByName(chart_lines(*mine).drop("video"))
