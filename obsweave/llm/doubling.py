@@ -144,7 +144,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 if len(i):
                     yield splitmix(w.hashes(n)[i])
 
-        bits = twice_seen(base, seen, size / 2, filter_bits(size * 2, 26))
+        bits = twice_seen(base, seen, size / 2, filter_bits(size / 2, 26))
         filters.append(spark.sparkContext.broadcast(bits))
         stage.release()
         if not bits.any():
