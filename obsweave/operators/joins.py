@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import apart
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, low: float, high: float) -> DataFrame:
     """Pairs of equal keys with right.t - left.t in [low, high]. Times fall into buckets as wide as the band, so that each left row meets
@@ -47,15 +49,14 @@ def tolerant_anti(left: DataFrame, right: DataFrame, keys: list[str], places: li
     """Left rows without a right row of equal keys whose places (integers) all lie within `reach`. Right rows go to the cells they can reach, so the join is by equality."""
     width = 2 * reach + 1
     r = right.select(*keys, *(F.col(p).alias(f"{p}_r") for p in places))
-    l = left.withColumn("row_", F.monotonically_increasing_id())  # noqa: E741
-    probe = l.select("row_", *keys, *places)
+    probe = left.select(*keys, *places).distinct()  # rows are told apart by what they hold: numbers given to them need not be the same when they are read twice
     for k, p in enumerate(places):
         r = r.withColumn(f"c{k}_", F.floor(F.col(f"{p}_r") / width))
         probe = probe.withColumn(f"c{k}_", F.explode(F.array_distinct(F.array(F.floor((F.col(p) - reach) / width), F.floor((F.col(p) + reach) / width)))))
     near = probe.join(r, [*keys, *(f"c{k}_" for k in range(len(places)))])
     for p in places:
         near = near.where(F.abs(F.col(p) - F.col(f"{p}_r")) <= reach)
-    return l.join(near.select("row_").distinct(), "row_", "left_anti").drop("row_")
+    return left.join(apart(near.select(*keys, *places).distinct()), [*keys, *places], "left_anti")
 
 
 def share_cells(rows: DataFrame, key: str, cells: list[str], least: int) -> DataFrame:
