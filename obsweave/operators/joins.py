@@ -28,8 +28,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, columns: l
     rs = F.struct(*(F.col(c) for c in [t, *columns]))
     r = right.groupBy(*keys, t).agg((F.min if forward else F.max)(rs).alias("r_")).select(*keys, F.col(t).alias("t_"), "r_", F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("l_"))
     l = left.select(*keys, F.col(t).alias("t_"), F.lit(None).cast(r.schema["r_"].dataType).alias("r_"), F.struct("*").alias("l_"))  # noqa: E741
-    w = Window.partitionBy(*keys).orderBy("t_")
-    hit = F.first("r_", True).over(w.rangeBetween(0, Window.unboundedFollowing)) if forward else F.last("r_", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy(*keys).orderBy(F.desc("t_") if forward else "t_")  # backward in time, the first at or after comes last
+    hit = F.last("r_", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
     both = r.unionByName(l).withColumn("hit_", hit).where("l_ IS NOT NULL")
     return both.select("l_.*", *(F.col(f"hit_.{c}").alias(f"{c}_r") for c in [t, *columns]))
 

@@ -47,15 +47,21 @@ def unwrap(df: DataFrame, keys: list[str], order: list[str], angle: str, turn: f
 
 
 def interpolate(points: DataFrame, at: DataFrame, key: str = "track", t: str = "t", value: str = "x") -> DataFrame:
-    """Values of each key's points at other times, linear between neighbours and constant beyond the ends: one exchange, no range join.
+    """Values of each key's points at other times, linear between neighbours and constant beyond the ends: no range join, and one sort of the rows of `at`.
     at: (key, t, ...); points: (key, t, value), times distinct within a key."""
-    p = points.select(key, F.col(t).alias("t_"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("p"), F.lit(None).cast(at.select(F.struct("*").alias("r")).schema["r"].dataType).alias("row"))
-    q = at.select(key, F.col(t).alias("t_"), F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.struct("*").alias("row"))
-    w = Window.partitionBy(key).orderBy("t_")
-    both = p.unionByName(q).withColumn("a", F.last("p", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("p", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    a, b = F.col("a"), F.col("b")
-    v = F.when(a.isNull(), b.v).when(b.isNull() | (a.t == b.t), a.v).otherwise(a.v + (b.v - a.v) * (F.col("t_") - a.t) / (b.t - a.t))
-    return both.where("row IS NOT NULL").select("row.*", v.alias("interpolated"))
+    # a point knows the next one, and a row before all times knows the first: so what came last is enough, and no frame reaches ahead, which would be gone through anew for each row
+    one = lambda t_, *of: F.struct(t_.alias("t_"), F.struct(*(c.alias(n) for c, n in zip(of, ("t", "v", "t2", "v2")))).alias("p"))
+    w, none = Window.partitionBy(key).orderBy("t1_"), F.lit(None).cast("double")
+    rows = points.where(F.col(t).isNotNull()).select(key, F.col(t).cast("double").alias("t1_"), F.col(value).cast("double").alias("v1_"))
+    rows = rows.select("*", F.lead("t1_").over(w).alias("t2_"), F.lead("v1_").over(w).alias("v2_"), F.row_number().over(w).alias("no_"))
+    first = F.when(F.col("no_") == 1, one(F.lit(float("-inf")), none, none, F.col("t1_"), F.col("v1_")))
+    p = rows.select(key, F.explode(F.array_compact(F.array(first, one(*(F.col(c) for c in ("t1_", "t1_", "v1_", "t2_", "v2_")))))).alias("o"))
+    p = p.select(key, "o.t_", "o.p", F.lit(None).cast(at.select(F.struct("*").alias("r")).schema["r"].dataType).alias("row"))
+    q = at.select(key, F.col(t).cast("double").alias("t_"), F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.struct("*").alias("row"))
+    before = F.last("p", True).over(Window.partitionBy(key).orderBy("t_").rangeBetween(Window.unboundedPreceding, 0))
+    a = F.col("a")
+    v = F.when(a.t.isNull(), a.v2).when(a.t2.isNull() | (a.t == F.col("t_")), a.v).otherwise(a.v + (a.v2 - a.v) * (F.col("t_") - a.t) / (a.t2 - a.t))
+    return p.unionByName(q).withColumn("a", before).where("row IS NOT NULL").select("row.*", v.alias("interpolated"))
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:

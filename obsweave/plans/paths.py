@@ -14,6 +14,9 @@ def overlap_distance(obs: DataFrame, pairs: DataFrame, least: float, k: int) ->
     p = pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", F.greatest("lo_a", "lo_b").alias("lo"), F.least("hi_a", "hi_b").alias("hi")).where(F.col("hi") - F.col("lo") >= least)
     grid = p.select("a", "b", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")).withColumn("t", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (k - 1))
     points = obs.groupBy("track", "t").agg(F.max("x").alias("x"))
-    v = [interpolate(points, grid.select(F.col(c).alias("track"), "a", "b", "k", "t")).select("a", "b", "k", F.col("interpolated").alias(f"v_{c}")) for c in "ab"]
-    d = v[0].join(v[1], ["a", "b", "k"]).withColumn("d", F.abs(F.col("v_a") - F.col("v_b")))
-    return d.groupBy("a", "b").agg(F.expr("percentile(d, 0.5)").alias("med"), F.max("d").alias("worst"))
+    sides = grid.select(F.explode(F.array(F.struct(F.col("a").alias("track"), F.lit(0).alias("side")), F.struct(F.col("b").alias("track"), F.lit(1).alias("side")))).alias("s"), "a", "b", "k", "t").select("s.*", "a", "b", "k", "t")
+    at = interpolate(points, sides)
+    own = [[F.max(F.when((F.col("k") == i) & (F.col("side") == side), F.col("interpolated"))).alias(f"v{side}_{i}") for i in range(k)] for side in (0, 1)]
+    d = at.groupBy("a", "b").agg(*own[0], *own[1]).select("a", "b", F.array_sort(F.array(*(F.abs(F.col(f"v0_{i}") - F.col(f"v1_{i}")) for i in range(k)))).alias("d"))
+    middle = (F.element_at("d", (k + 1) // 2) + F.element_at("d", k // 2 + 1)) / 2
+    return d.select("a", "b", middle.alias("med"), F.element_at("d", k).alias("worst"))

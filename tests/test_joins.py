@@ -1,7 +1,5 @@
 """Joins on time and place whose rows come in another order each time they are read."""
-from pyspark.sql import functions as F
-
-from obsweave.operators import joins
+from obsweave.operators import joins, ordered
 
 
 def restless(df):
@@ -22,3 +20,16 @@ def test_tolerant_anti_on_restless_rows(spark):
     want = [x for x in [*a, *a[:9]] if not any(x[0] == y[0] and abs(x[1] - y[1]) <= 4 and abs(x[2] - y[2]) <= 4 for y in b)] + [(None, 1, 1), (1, None, 1)]
     got = joins.tolerant_anti(restless(left), right, ["frame"], ["px", "py"], 4).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and 0 < len(want) < 600
+
+
+def test_interpolate_looks_back_only(spark):
+    """A frame without an end is gone through anew for each row."""
+    points = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 10.0), (1, 3.0, 0.0), (2, 5.0, 7.0), (2, None, 1.0)], "track long, t double, x double")
+    at = spark.createDataFrame([(k, t) for k in (1, 2, 3) for t in (-1.0, 0.0, 0.5, 1.0, 2.0, 3.0, 9.0)], "track long, t double")
+    got = ordered.interpolate(points, at)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {1: [0.0, 0.0, 5.0, 10.0, 5.0, 0.0, 0.0], 2: [7.0] * 7, 3: [None] * 7}
+    assert [x.interpolated for x in sorted(got.collect())] == sum(want.values(), [])
+    ahead = joins.as_of(at, points, ["track"], "t", ["x"], forward=True)
+    assert "unboundedfollowing" not in ahead._jdf.queryExecution().optimizedPlan().toString()
+    assert [x.x_r for x in sorted(ahead.collect()) if x.track == 1] == [0.0, 0.0, 10.0, 10.0, 0.0, 0.0, None]
