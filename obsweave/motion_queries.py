@@ -142,10 +142,10 @@ SELECT e.track, e.id, s.track AS other, s.k AS span FROM obs e JOIN s ON e.t - s
 def q71(spark, d):
     o = observations(spark, d).select("track", "id", "t", "y", "kind")
     s = ordered.gap_islands(o, ["track"], "t", 12 * HOUR, "id", "span").groupBy("track", "span").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max_by("y", F.struct("t", "id")).alias("y"), F.count("*").alias("n")).where("n >= 2")
-    # a span stands in every day that it reaches; a probe looks into its own day and the day before
-    s = s.select(F.col("track").alias("other"), "span", "lo", "hi", "y", F.explode(F.sequence(F.floor(F.col("lo") / DAY), F.floor(F.col("hi") / DAY))).alias("day"))
-    e = o.where("kind = 'error'").select("track", "id", "t", "y", F.explode(F.array(F.floor(F.col("t") / DAY), F.floor(F.col("t") / DAY) - 1)).alias("day"))
-    return e.join(s, ["day", "y"]).where((F.col("t") - F.col("hi") <= 4 * HOUR) & (F.col("t") - F.col("lo") >= 12 * HOUR)).select("track", "id", "other", "span").distinct()
+    # a span stands in every day from which it can be met, with a second to spare; a probe looks into its own day, so it meets a span once
+    late = s.where("hi - lo >= 8 * 3600 - 1").withColumn("day", F.explode(F.sequence(F.floor((F.col("lo") + 12 * HOUR - 1) / DAY), F.floor((F.col("hi") + 4 * HOUR + 1) / DAY))))
+    e = o.where("kind = 'error'").select("track", "id", "t", "y", F.floor(F.col("t") / DAY).alias("day"))
+    return e.join(late.select(F.col("track").alias("other"), "span", "lo", "hi", "y", "day"), ["day", "y"]).where((F.col("t") - F.col("hi") <= 4 * HOUR) & (F.col("t") - F.col("lo") >= 12 * HOUR) & (F.col("t") >= F.col("lo"))).select("track", "id", "other", "span")
 
 
 @query("q72_rendered_match", f"""

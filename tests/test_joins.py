@@ -1,5 +1,10 @@
 """Joins on time and place whose rows come in another order each time they are read."""
+import duckdb
+
 from obsweave.operators import joins, ordered
+from obsweave.registry import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.01"
 
 
 def restless(df):
@@ -33,3 +38,13 @@ def test_interpolate_looks_back_only(spark):
     ahead = joins.as_of(at, points, ["track"], "t", ["x"], forward=True)
     assert "unboundedfollowing" not in ahead._jdf.queryExecution().optimizedPlan().toString()
     assert [x.x_r for x in sorted(ahead.collect()) if x.track == 1] == [0.0, 0.0, 10.0, 10.0, 0.0, 0.0, None]
+
+
+def test_span_index_keeps_rows_that_are_there_twice(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM '{SF}/events.parquet' UNION ALL SELECT * FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(ORACLES["q71_span_index"])
+    got = QUERIES["q71_span_index"](spark, str(tmp_path)).select(*want.columns)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want.fetchall()) and len(rows) > len(set(rows))
