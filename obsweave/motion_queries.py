@@ -102,9 +102,7 @@ p AS (SELECT a.kind, a.track AS a, b.track AS b, count(*) AS n, median(abs(a.y -
 SELECT DISTINCT kind, track FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.kind = f.kind AND p.a = f.track AND n >= 4 AND med < 18 AND share >= 0.7)""")
 def q67(spark, d):
     f = observations(spark, d).groupBy("kind", "track", F.rint(F.col("t") / 21600).cast("long").alias("frame")).agg(F.min("y").alias("y"))
-    gap = F.abs(F.col("y") - F.col("y_r"))
-    p = f.join(f.select("kind", F.col("track").alias("b"), "frame", F.col("y").alias("y_r")), ["kind", "frame"]).where("track <> b").groupBy("kind", "track", "b").agg(F.count("*").alias("n"), F.percentile(gap, F.lit(0.5)).alias("med"), F.avg(F.when(gap < 30, 1.0).otherwise(0.0)).alias("share"))
-    return f.select("kind", "track").distinct().join(p.where("n >= 4 AND med < 18 AND share >= 0.7").select("kind", "track").distinct(), ["kind", "track"], "left_anti")
+    return motion.unrepresented(f, 4, 18, 30, 0.7).select("kind", "track")
 
 
 @query("q68_grid_match_ratio", f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import apart, held
 from .joins import argmin_per, band_join
 from .ordered import by
 
@@ -119,3 +120,32 @@ def once_each(pairs: DataFrame, keys: list[str], a: str, b: str, order: list[str
     used = lambda acc, r: F.exists(acc, lambda q: (q[a] == r[a]) | (q[b] == r[b]) | (q[a] == r[b]) | (q[b] == r[a]))
     kept = F.aggregate("rows_", F.slice("rows_", 1, 0), lambda acc, r: F.when(used(acc, r), acc).otherwise(F.concat(acc, F.array(r))))
     return rows.select(*keys, F.explode(kept).alias("r")).select(*keys, "r.*")
+
+
+def unrepresented(rows: DataFrame, least: int, median: float, close: float, share: float, block: int = 256) -> DataFrame:
+    """kind, track: the tracks that no other track of their kind represents, that is one with `least` frames in common, a median distance below `median` there and a share of `share` closer than `close`.
+
+    A track needs one such partner, so partners come in rounds, some `block` of a kind at first and twice as many each time, and a track leaves once one is found. Whoever has none meets them all.
+    rows: kind, track, frame, y (an integer), one row a kind, track and frame."""
+    rows = held(rows)
+    tracks = rows.groupBy("kind", "track").agg(F.count("frame").alias("n"))
+    able = apart(rows.where("frame IS NOT NULL").join(apart(tracks.where(F.col("n") >= least).select("kind", "track")), ["kind", "track"], "left_semi"))
+    partners = able.select("kind", F.col("track").alias("b"), "frame", F.col("y").alias("y_r"), F.xxhash64("track").alias("deal"))
+    most = tracks.groupBy("kind").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    parts = max(1, -(-most // block))
+    gap, n, g = F.abs(F.col("y") - F.col("y_r")), F.col("n"), F.col("known")
+    # the median lies below if more than half of the distances do, or half of them and the two in the middle on average
+    half = (F.col("below") * 2 > g) | ((F.col("below") * 2 == g) & (F.col("low") + F.col("high") < 2 * median))
+    fits = (n >= least) & half & (F.col("near").cast("double") / n >= share)
+    left, done = held(able), 0
+    while done < parts:
+        until = min(parts, max(1, 2 * done))
+        deal = partners.where(F.pmod("deal", F.lit(parts)).between(done, until - 1)).drop("deal")
+        met = left.join(apart(deal), ["kind", "frame"]).where("track <> b").groupBy("kind", "track", "b")
+        met = met.agg(F.count("*").alias("n"), F.count(gap).alias("known"), F.count_if(gap < median).alias("below"), F.count_if(gap < close).alias("near"), F.max(F.when(gap < median, gap)).alias("low"), F.min(F.when(gap >= median, gap)).alias("high"))
+        found = met.where(fits).select("kind", "track").distinct()
+        left, done = held(left.join(apart(found), ["kind", "track"], "left_anti")), until
+        if left.isEmpty():
+            break
+    there = able.select("kind", "track").distinct().join(apart(left.select("kind", "track").distinct()), ["kind", "track"], "left_anti")
+    return tracks.select("kind", "track").join(apart(there), ["kind", "track"], "left_anti")

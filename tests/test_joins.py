@@ -1,7 +1,10 @@
 """Joins on time and place whose rows come in another order each time they are read."""
+import statistics
+
 import duckdb
+import pytest
 
-from obsweave.operators import joins, ordered
+from obsweave.operators import joins, motion, ordered
 from obsweave.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -48,3 +51,21 @@ def test_span_index_keeps_rows_that_are_there_twice(spark, tmp_path):
     got = QUERIES["q71_span_index"](spark, str(tmp_path)).select(*want.columns)
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(want.fetchall()) and len(rows) > len(set(rows))
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_unrepresented_meets_partners_until_one_is_found(spark, block):
+    """Tracks that others represent leave the rounds; those without a partner meet all, in any block size."""
+    rows = [(kind, t, f, t * t * 7 % 60 + f * (t % 3) if (t + f) % 11 else None) for kind in ("a", "b") for t in range(24) for f in range(t % 7, 9)] + [("a", None, 1, 1), ("a", 99, None, 1)]
+    path = {}
+    for kind, t, f, y in rows:
+        path.setdefault((kind, t), {})[f] = y
+
+    def stands_for(p, q):
+        both = [f for f in p if f in q and f is not None]
+        gap = [abs(p[f] - q[f]) for f in both if p[f] is not None and q[f] is not None]
+        return len(both) >= 4 and gap and statistics.median(gap) < 18 and sum(g < 30 for g in gap) / len(both) >= 0.7
+
+    want = {k for k, p in path.items() if k[1] is None or not any(stands_for(p, q) for m, q in path.items() if m[0] == k[0] and m[1] not in (None, k[1]))}
+    got = motion.unrepresented(spark.createDataFrame(rows, "kind string, track long, frame long, y int"), 4, 18, 30, 0.7, block).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) and 3 < len(want) < len(path) - 3
