@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import apart
+from ..sources.shared import apart, held
 from .joins import as_of
 from .ordered import interpolate, islands
 from .paths import axis_angles
@@ -116,20 +116,23 @@ def same_sprites(events: DataFrame, points: DataFrame, overlap: float = 0.08, me
     met = a.join(apart(b), ["video", "cell"]).where("event_a < event_b AND (fake_a OR fake_b) AND coalesce(type_a = type_b, true)").where((hi - lo >= overlap) & F.expr(boxes))
     pairs = met.select("video", F.col("event_a").alias("a"), F.col("event_b").alias("b"), lo.alias("lo"), hi.alias("hi")).distinct()
     n = F.greatest(F.lit(5), F.floor((F.col("hi") - F.col("lo")) * fps).cast("int") + 1)
-    even = pairs.select("video", "a", "b", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(k == n - 1, F.col("hi")).otherwise(F.col("lo") + k * (F.col("hi") - F.col("lo")) / (n - 1)))).alias("t"))
-    times = even
-    for side in "ab":
-        own = apart(p.select("video", F.col("event").alias(side), "t"))
-        times = times.unionByName(apart(pairs).join(own, ["video", side]).where("t BETWEEN lo AND hi").select("video", "a", "b", "t"))
-    times = times.distinct()
-    far = None
-    for side in "ab":
-        at = apart(times.select(F.struct("video", F.col(side).alias("event")).alias("path"), "video", "a", "b", "t"))
-        for c in "xy":
-            line = apart(p.select(F.struct("video", "event").alias("path"), "t", c))
-            at = apart(interpolate(line, at, "path", "t", c).withColumnRenamed("interpolated", f"{c}{side}"))
-        at = apart(at.drop("path"))
-        far = at if far is None else far.join(at, ["video", "a", "b", "t"])
+    even = pairs.select("video", "a", "b", "lo", "hi", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(k == n - 1, F.col("hi")).otherwise(F.col("lo") + k * (F.col("hi") - F.col("lo")) / (n - 1)))).alias("t"))
+    # the points of both paths and the even times of a pair meet once; what came before and what comes next are found in two local sorts
+    pair, at = ["video", "a", "b"], F.struct("t", "x", "y")
+    none = F.lit(None).cast("struct<t:double,x:double,y:double>")
+    own = pairs.select("*", F.explode(F.array(F.struct(F.col("a").alias("event"), F.lit(True).alias("first")), F.struct(F.col("b").alias("event"), F.lit(False).alias("first")))).alias("s")).select(*pair, "lo", "hi", "s.*")
+    drawn = apart(own).join(p.select("video", "event", *(F.col(c).cast("double").alias(c) for c in "txy")), ["video", "event"]).select(*pair, "lo", "hi", "t", F.when(F.col("first"), at).alias("pa"), F.when(~F.col("first"), at).alias("pb"))
+    rows = drawn.unionByName(even.select(*pair, "lo", "hi", "t", none.alias("pa"), none.alias("pb")))
+    w, back = Window.partitionBy(*pair).orderBy("t"), Window.partitionBy(*pair).orderBy(F.desc("t"))
+    last = lambda c, over: F.last(c, True).over(over.rangeBetween(Window.unboundedPreceding, 0))
+    near = rows.select(*pair, "lo", "hi", "t", F.lag("t").over(w).alias("was"), *(last(f"p{s}", over).alias(f"{s}{k}") for over, k in ((w, 0), (back, 1)) for s in "ab"))
+    near = near.where("t BETWEEN lo AND hi AND (was IS NULL OR was < t)")  # each time once
+
+    def between(s: str, c: str) -> Column:
+        l, r = F.col(f"{s}0"), F.col(f"{s}1")  # noqa: E741
+        return F.when(l["t"] == r["t"], l[c]).otherwise(l[c] + (r[c] - l[c]) * (F.col("t") - l["t"]) / (r["t"] - l["t"]))
+
+    far = near.select(*pair, *(between(s, c).alias(f"{c}{s}") for s in "ab" for c in "xy"))
     d = far.withColumn("d", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")))
     fits = d.groupBy("video", "a", "b").agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("m"), F.avg((F.col("d") < close).cast("double")).alias("near"))
     return fits.where((F.col("n") >= 4) & (F.col("m") <= median) & (F.col("near") >= 0.75)).select("video", "a", "b")
@@ -145,7 +148,7 @@ def sprite_duplicates(events: DataFrame, points: DataFrame, **limits) -> DataFra
     n = points.groupBy("video", "event").agg(F.countDistinct("t").alias("n"))
     level = F.coalesce(*(F.when(F.col("confidence") == k, v) for k, v in CONFIDENCE.items()), F.lit(0))
     rank = events.join(apart(n), ["video", "event"], "left").select("video", "event", F.struct(~F.col("fake"), F.coalesce("n", F.lit(0)), F.coalesce("frames", F.lit(0)), level).alias("rank"))
-    pairs = same_sprites(events, points, **limits)
+    pairs = held(same_sprites(events, points, **limits))  # few, and read by all that follows
     part = labels(pairs, ["video"])
     own = [apart(rank.select("video", F.col("event").alias(c), F.col("rank").alias(f"r{c}"))) for c in "ab"]
     named = pairs.join(own[0], ["video", "a"]).join(own[1], ["video", "b"]).join(apart(part.select("video", F.col("node").alias("a"), "part")), ["video", "a"])

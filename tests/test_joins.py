@@ -4,7 +4,7 @@ import statistics
 import duckdb
 import pytest
 
-from obsweave.operators import joins, motion, ordered
+from obsweave.operators import holds, joins, motion, ordered
 from obsweave.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -69,3 +69,9 @@ def test_unrepresented_meets_partners_until_one_is_found(spark, block):
     want = {k for k, p in path.items() if k[1] is None or not any(stands_for(p, q) for m, q in path.items() if m[0] == k[0] and m[1] not in (None, k[1]))}
     got = motion.unrepresented(spark.createDataFrame(rows, "kind string, track long, frame long, y int"), 4, 18, 30, 0.7, block).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want) and 3 < len(want) < len(path) - 3
+
+
+def test_sprites_meet_their_points_once(spark):
+    e = spark.createDataFrame([(1, 1, True, 1, 0, "high")], "video long, event long, fake boolean, type int, frames int, confidence string")
+    p = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0)], "video long, event long, t double, x double, y double")
+    assert holds.same_sprites(e, p)._jdf.queryExecution().optimizedPlan().toString().count("Window") <= 3
