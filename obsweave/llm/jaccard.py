@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, LOWER, Stage, Texts, components, filter_bits, gather_ranges, id_text, in_filter, input_bytes, power_of_two, range_hashes, splitmix, text_slices, twice_seen, word_bounds
+from .common import BYTE_VALUE, LOWER, Stage, Texts, components, filter_bits, gather_ranges, id_text, in_filter, input_bytes, power_of_two, range_hashes, splitmix, text_slices, trim, twice_seen, word_bounds
 
 WIDTH = 5
 PERCENT = 75
 MOST_COMMON = 1 << 16  # length of the list of common shingles; only their order depends on it
 COMMON_FROM = 64
 BLOCK = 8 << 20  # bytes of shingle sets that one task compares with each other
+SLOT = 48 << 20  # bytes of postings and of the sets they name that one task looks at
 HOT = 20_000  # shingles of more documents make one candidate component of their whole list, without a look at its pairs
 MIX = splitmix(np.arange(64) + 0xABCD) | np.uint64(1)
 
@@ -58,6 +59,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def scattered(prefix: np.ndarray) -> np.ndarray:
+    """Names of shingles whose top bits are even. A prefix has the lowest hashes of its set, some quarter of their range, so hashes themselves would leave most slots empty and
+    the others four times as full."""
+    return splitmix(prefix)
+
+
 class Order:
     """The global order: shingles that are not common by hash, then common ones from the least common."""
 
@@ -66,7 +73,7 @@ class Order:
         h = np.array([x[1] for x in rank], np.int64).view(np.uint64)
         by = np.argsort(h)
         self.hashes, self.ranks = h[by], np.arange(len(h))[by]
-        self.hot = np.sort(np.array([h for h, c in common if c > hot], np.int64).view(np.uint64))
+        self.hot = np.sort(scattered(np.array([h for h, c in common if c > hot], np.int64).view(np.uint64)))
 
     def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
         """The first shingles of a sorted set, in the global order."""
@@ -127,12 +134,19 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((n & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def binary_parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column back to back, and the length of each value; no object a value."""
+    off = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+    data = np.frombuffer(a.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    return data, np.diff(off).astype(np.int64)
+
+
 class Sketches:
     """Sketches of sets; the bits by which pairs differ."""
 
-    def __init__(self, blobs: list[bytes]):
-        flat = np.frombuffer(b"".join(blobs), np.uint64)
-        self.words = np.array([len(b) >> 3 for b in blobs], np.int64)
+    def __init__(self, blobs: pa.Array | list[bytes]):
+        data, size = binary_parts(pa.array(blobs, pa.binary()))
+        flat, self.words = data.view(np.uint64), size >> 3
         first = np.cumsum(self.words) - self.words
         self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for w in np.unique(self.words[self.words > 0]).tolist():  # of every length, and folded to half of it
@@ -193,6 +207,14 @@ def pack_postings(slots: int, order):
 PACKED = "slot int, rows binary, sets array<struct<gid:bigint,n:bigint,sketch:binary>>"
 
 
+def slots_for(sets: int, postings: float, sketched: float) -> int:
+    """Slots, so that one has no more than SLOT bytes of postings and of the sets they name: a set with some `postings` and bytes of a sketch goes once to each slot that has one of them."""
+    slots = 32
+    while slots < 1 << 20 and sets * (postings * POSTED.itemsize / slots + (1 - (1 - 1 / slots) ** postings) * (16 + sketched)) > SLOT:
+        slots *= 2
+    return slots
+
+
 def merge_labels(lab: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Labels after joining x[i] with y[i]: each class takes its smallest index."""
     while True:
@@ -336,7 +358,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     def prefixes(batches):
         for t in text_slices(batches):
-            yield np.concatenate([order.value.prefix(s, percent) for s in shingle_sets(t, width) if len(s)] or [np.zeros(0, np.uint64)])
+            yield scattered(np.concatenate([order.value.prefix(s, percent) for s in shingle_sets(t, width) if len(s)] or [np.zeros(0, np.uint64)]))
 
     bits = spark.sparkContext.broadcast(twice_seen(base, prefixes, size / 4, filter_bits(size / 64, 26)))
 
@@ -345,9 +367,10 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             rows = []
             for s in shingle_sets(t, width):
                 p = order.value.prefix(s, percent) if len(s) else s
-                place = np.flatnonzero(in_filter(bits.value, p))
+                token = scattered(p)
+                place = np.flatnonzero(in_filter(bits.value, token))
                 some = np.empty(len(place), PLACED)
-                some["token"], some["place"] = p[place], place
+                some["token"], some["place"] = token[place], place
                 rows.append((len(s), *digest(s), *digest(p), some.tobytes() if len(some) else None, sketch(s).tobytes() if len(some) else None))
             yield pa.RecordBatch.from_arrays([t.id_array(), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5)), *(pa.array([r[k] for r in rows], pa.binary()) for k in (5, 6))], ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix", "sketch"])
 
@@ -361,13 +384,16 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     def stars(key, table):
         sets = table.column("sets").combine_chunks()
-        every = [np.frombuffer(x, POSTED) for x in table.column("rows").to_pylist()]
-        rows = np.concatenate(every)
-        own = rows["own"] + np.repeat(np.asarray(sets.offsets)[:-1] - np.asarray(sets.offsets)[0], [len(x) for x in every])
+        data, length = binary_parts(table.column("rows").combine_chunks())
+        rows = data.view(POSTED)
+        own = rows["own"] + np.repeat(np.asarray(sets.offsets)[:-1] - np.asarray(sets.offsets)[0], length // POSTED.itemsize)
         flat = sets.flatten()
         ids, one, of = np.unique(np.asarray(flat.field("gid")), return_index=True, return_inverse=True)
-        n, blobs = np.asarray(flat.field("n"))[one], flat.field("sketch")
-        lab = candidate_stars(rows["token"], rows["place"].astype(np.int64), of[own], n, Sketches([blobs[int(i)].as_py() for i in one]), percent)
+        n, sketches = np.asarray(flat.field("n"))[one], Sketches(flat.field("sketch").take(pa.array(one)))
+        token, place, own = rows["token"].copy(), rows["place"].astype(np.int64), of[own]
+        del table, sets, flat, data, rows, of, one
+        lab = candidate_stars(token, place, own, n, sketches, percent)
+        trim()
         moved = np.flatnonzero(lab != np.arange(len(lab)))
         return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[lab[moved]], pa.int64())})
 
@@ -379,7 +405,8 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                 if len(t):  # the shingle itself is the star's centre
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), g), pa.int64()), pa.array(t)], ["a", "b"])
 
-    slots = power_of_two(size / (32 << 20), 32, 1 << 20)
+    per = post.agg(F.count("*"), F.avg(F.octet_length("prefix")), F.avg(F.octet_length("sketch"))).first()
+    slots = slots_for(per[0], (per[1] or 0) / PLACED.itemsize, per[2] or 0)
     edges = post.mapInArrow(pack_postings(slots, order), PACKED).groupBy("slot").applyInArrow(stars, "a long, b long").union(post.mapInArrow(hot_stars, "a long, b long"))
     near = components(stage.write(edges, "stars"), stage, "near")
     # groups with candidates, and groups of several members
@@ -416,8 +443,9 @@ def classes(base: DataFrame, nodes: DataFrame, stage: Stage, width: int, percent
     total = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
     buckets = power_of_two(4 * total / block, 32, 1 << 20)
 
-    def joined(df: DataFrame) -> DataFrame:
-        """node, label after joining what links among the rows (node, label, probe, shingles) of each key."""
+    def joined(df: DataFrame, alone: bool = False) -> DataFrame:
+        """node, label after joining what links among the rows (node, label, probe, shingles) of each key. Several keys go to a task's memory at once, for most have few
+        rows; `alone`: one at a time."""
 
         def run(key, table):
             out, labels = [], []
@@ -433,7 +461,7 @@ def classes(base: DataFrame, nodes: DataFrame, stage: Stage, width: int, percent
                 labels.append(ids[lab])
             return pa.table({"node": pa.array(np.concatenate(out), pa.int64()), "label": pa.array(np.concatenate(labels), pa.int64())})
 
-        dealt = df.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+        dealt = df.withColumn("bucket", F.col("key") if alone else F.pmod("key", F.lit(buckets)))
         return dealt.groupBy("bucket").applyInArrow(run, "node long, label long")
 
     def blocks(df: DataFrame) -> DataFrame:
@@ -468,7 +496,7 @@ def classes(base: DataFrame, nodes: DataFrame, stage: Stage, width: int, percent
     sides = F.sequence(F.lit(0), F.col("probes") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
     build = named.select("cc", "node", "label", "shingles", F.lit(0).alias("probe"), F.pmod("hash", "blocks").cast("int").alias("i"), F.explode(sides[0]).alias("j"))
     probe = named.where("label <> most").select("cc", "node", "label", "shingles", F.lit(1).alias("probe"), F.explode(sides[1]).alias("i"), F.pmod(F.xxhash64("hash"), "probes").cast("int").alias("j"))
-    met = joined(build.union(probe).select(F.xxhash64("cc", "i", "j").alias("key"), "node", "label", "probe", "shingles"))
+    met = joined(build.union(probe).select(F.xxhash64("cc", "i", "j").alias("key"), "node", "label", "probe", "shingles"), alone=True)  # keys grow with the square of a component, buckets don't
     # classes joined here or there: stars over the labels so far
     edges = met.join(labels.withColumnRenamed("label", "was"), "node").select(F.col("was").alias("a"), F.col("label").alias("b")).where("a <> b").distinct()
     ends = components(stage.write(edges, "edges"), stage, "ends").select(F.col("node").alias("label"), F.col("comp").alias("to"))

@@ -2,9 +2,11 @@
 import collections
 import hashlib
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from obsweave.llm import bpe, brown, exact, html, huffman, jaccard, mixing, quality, suffix, toxicity
@@ -126,6 +128,21 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.link_components(empty).collect() == []
 
 
+def test_jaccard_slots():
+    """A prefix has the lowest hashes of its set; its postings go to all slots alike, and more sets take more slots, not larger ones."""
+    rng = np.random.default_rng(3)
+    order = jaccard.Order([])
+    token = jaccard.scattered(np.concatenate([order.prefix(np.unique(rng.integers(0, 2**64, 400, np.uint64)), 75) for _ in range(300)]))
+    rows = np.zeros(len(token), jaccard.PLACED)
+    rows["token"] = token
+    batch = pa.RecordBatch.from_pydict({"gid": [1], "n": [400], "prefix": [rows.tobytes()], "sketch": [b""]})
+    size = {r["slot"]: len(r["rows"]) // jaccard.POSTED.itemsize for out in jaccard.pack_postings(32, types.SimpleNamespace(value=order))([batch]) for r in out.to_pylist()}
+    assert len(size) == 32 and max(size.values()) < 1.3 * len(token) / 32
+    for sets in (1000, 10**6, 3 * 10**6, 10**8):
+        s = jaccard.slots_for(sets, 73, 90)
+        assert s >= 32 and sets * (73 * 16 / s + (1 - (1 - 1 / s) ** 73) * 106) <= jaccard.SLOT
+
+
 def test_jaccard_sketches():
     import random
 
