@@ -7,35 +7,66 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
+
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum-cost assignment of rows to columns (shortest augmenting paths with potentials, O(n**3)); pairs in row order."""
+    """Minimum-cost assignment of rows to columns (prices of columns as in Jonker and Volgenant, 1987; O(n**3) at worst); pairs in row order.
+
+    Rows first bid for their cheapest column, by the difference to the second; a row that is outbid bids again, up to two bids a row in all. What is left free then takes shortest augmenting paths. A column
+    has a price below 0 only if it is assigned, so the sum is least for more columns than rows too."""
     if not cost.size:
         return []
     flip = cost.shape[0] > cost.shape[1]
-    a = cost.T if flip else cost
+    a = np.ascontiguousarray(cost.T if flip else cost, float)
     n, m = a.shape
-    u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
-    for row in range(n):
-        owner[m], col = row, m
-        slack, back, used = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
-        while owner[col] >= 0:
-            used[col] = True
-            free = ~used[:m]
-            reduced = a[owner[col]] - u[owner[col]] - v[:m]
-            better = free & (reduced < slack)
-            slack[better], back[better] = reduced[better], col
-            nxt = int(np.argmin(np.where(free, slack, np.inf)))
-            step = slack[nxt]
-            taken = np.flatnonzero(used)
-            u[owner[taken]] += step
-            v[taken] -= step
-            slack[free] -= step
-            col = nxt
-        while col != m:
-            owner[col], col = owner[back[col]], back[col]
-    pairs = [(int(owner[c]), c) for c in range(m) if owner[c] >= 0]
-    return sorted((c, r) if flip else (r, c) for r, c in pairs)
+    v, owner, of = np.zeros(m), np.full(m, -1), np.full(n, -1)
+    todo, late, most = list(range(n))[::-1], [], 2 * n if m > 1 else 0
+    while todo and most:
+        i, most = todo.pop(), most - 1
+        r = a[i] - v
+        j = int(r.argmin())
+        first = r[j]
+        if owner[j] >= 0 and (same := np.flatnonzero((r == first) & (owner < 0))).size:
+            j = int(same[0])  # as cheap, and free
+        r[j] = np.inf
+        other = int(r.argmin())
+        strict = first < r[other]
+        if strict:
+            v[j] -= r[other] - first
+        elif owner[j] >= 0:
+            j = other
+        k = int(owner[j])
+        owner[j], of[i] = i, j
+        if k >= 0:
+            of[k] = -1
+            (todo if strict else late).append(k)
+    free = sorted(todo + late)
+    for i in free:
+        reach, back, low = a[i] - v, np.full(m, i), v.copy()
+        seen, dist = [], []
+        while True:
+            j = int(reach.argmin())
+            d = reach[j]
+            k = int(owner[j])
+            if k < 0:
+                break
+            seen.append(j)
+            dist.append(d)
+            more = a[k] - low
+            more += d - more[j]
+            reach[j], low[j] = np.inf, -np.inf  # settled: never nearer again
+            more[j] = np.inf
+            np.putmask(back, more < reach, k)
+            np.minimum(reach, more, out=reach)
+        v[seen] += np.array(dist) - d
+        while True:
+            k = int(back[j])
+            owner[j], of[k], j = k, j, int(of[k])
+            if k == i:
+                break
+    pairs = enumerate(of.tolist())
+    return sorted((c, r) for r, c in pairs) if flip else list(pairs)
 
 
 def nearest_free(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -78,7 +109,12 @@ class Tracker:
             wide = self.gate + self.gate_rate * np.array([frame - tr["s"][-1][0] for tr in active], float)
             dist = np.hypot(*(to[None, :, k] - at[:, None, k] for k in (0, 1)))
             cost = np.where(dist < wide[:, None], dist, 1e6)
-        hit = {j: i for i, j in (nearest_free(cost) if self.greedy else assign(cost)) if cost[i, j] < 1e6}
+        if self.greedy:
+            pairs = nearest_free(cost)
+        else:  # what no gate reaches has no part in it
+            rows, cols = (np.flatnonzero((cost < 1e6).any(k)) for k in (1, 0))
+            pairs = [(rows[i], cols[j]) for i, j in assign(cost[np.ix_(rows, cols)])]
+        hit = {int(j): int(i) for i, j in pairs if cost[i, j] < 1e6}
         out, links, kept = [], [], []
         for j, (d, x, y) in enumerate(found):
             if j in hit:
@@ -119,7 +155,9 @@ def track_rows(detections: DataFrame, tracker: Tracker = Tracker()) -> DataFrame
         links = tracker.run(list(zip(pdf.frame, pdf.id, pdf.px, pdf.py)))
         return pd.DataFrame({"video": key[0], "part": key[1], "id": [x[0] for x in links], "no": [x[1] for x in links]})
 
-    local = cut.groupBy("video", "part").applyInPandas(run, "video long, part long, id long, no long")
+    # a number of its own, for Spark would put all videos of a small table into one task; held, since it is read twice
+    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = held(cut.repartition(tasks, "video", "part").groupBy("video", "part").applyInPandas(run, "video long, part long, id long, no long"))
     many = local.groupBy("video", "part").agg((F.max("no") + 1).alias("many"))
     before = many.withColumn("before", F.coalesce(F.sum("many").over(Window.partitionBy("video").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(before, ["video", "part"]).select("video", "id", (F.col("no") + F.col("before")).alias("track_no"))

@@ -60,6 +60,21 @@ def test_assignment_is_optimal():
         assert len(pairs) == min(n, m) and abs(sum(c[p] for p in pairs) - best) < 1e-9
 
 
+def test_assignment_with_ties_and_gates(monkeypatch):
+    """Equal costs and pairs out of reach: the most links, then the least sum; the solver sees only what a gate reaches."""
+    rng = np.random.default_rng(2)
+    for n, m in itertools.product(range(1, 6), range(1, 6)):
+        c = np.where(rng.random((n, m)) < 0.5, 1e6, rng.integers(0, 3, (n, m)))
+        best = min(sum(c[i, j] for i, j in zip(range(n), p)) if n <= m else sum(c[i, j] for i, j in zip(p, range(m))) for p in itertools.permutations(range(max(n, m)), min(n, m)))
+        pairs = tracking.assign(c)
+        assert pairs == sorted(pairs) and len({j for _, j in pairs}) == min(n, m) and abs(sum(c[p] for p in pairs) - best) < 1e-6
+    shapes, solve = [], tracking.assign
+    monkeypatch.setattr(tracking, "assign", lambda c: shapes.append(c.shape) or solve(c))
+    rows = [(f, f * 100 + k, 1000.0 * (k + 50 * f * (k > 1)), 0.0) for f in (0, 1) for k in range(40)]
+    links = dict(tracking.Tracker().run(rows))
+    assert shapes[-1] == (2, 2) and [links[100], links[101]] == [links[0], links[1]] and len(set(links.values())) == 78
+
+
 def test_greedy_tracker_takes_the_nearest_in_turn():
     rows = [(0, 1, 0.0, 0.0), (0, 2, 10.0, 0.0), (1, 3, 6.0, 0.0), (1, 4, 12.0, 0.0), (1, 5, 500.0, 0.0)]
     far = tracking.Tracker(gate=11.0)
