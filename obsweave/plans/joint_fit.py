@@ -12,6 +12,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,12 +174,70 @@ def batch(out: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[ty]) for k, (_, ty) in enumerate(columns)], [n for n, _ in columns])
 
 
+def carried(now: np.ndarray, off: int, reach: int) -> np.ndarray:
+    """Costs by (begin, residual, whether it was beyond the reach) after an interval that is off by `off`; residuals as in `onward`."""
+    far = reach + 1
+    at = np.arange(-far, far + 1)
+    out = np.full_like(now, np.inf)
+    to = np.clip(at[1:-1] + off, -far, far)
+    plain = np.abs(to) < far
+    out[:, to[plain] + far] = now[:, 1:-1][:, plain]
+    for side, edge, back in ((1, -1, far + off), (-1, 0, far - off)):
+        if (over := to == side * far).any():
+            out[:, edge] = np.minimum(out[:, edge], now[:, 1:-1][:, over].min(1))
+        reached = at * side >= max(-far, back)  # from beyond, a residual comes back as far as `off` reaches, or stays
+        reached[edge] = True
+        out[:, reached] = np.minimum(out[:, reached], now[:, edge][:, None])
+    for edge in (0, -1):
+        out[:, edge, 1] = out[:, edge].min(1)
+        out[:, edge, 0] = np.inf
+    return out + (CARRIED * np.abs(at))[:, None]
+
+
+def matrix(rows, reach: int, strict: bool) -> list[tuple]:
+    """What `walk` finds, without the ways: (begin, end, whether it was beyond the reach, cost). Pending tails are told apart one by one, begins and residuals are the axes of an array."""
+    grid = {int(r[3]): int(r[6]) for r in rows if r[0] == 2}
+    own = defaultdict(lambda: defaultdict(list))
+    for kind, event, opt, head, tail, lo, cost in rows:
+        if kind == 0:
+            own[int(lo)][int(event)].append((cost, [int(i) for i in (head, tail) if i >= 0]))
+    first = min(grid)
+    start = [(0, ())] if first == 0 else begins([r[1:] for r in rows if r[0] == 1], first, reach if strict else reach + 1)
+    far = 0 if strict else reach + 1
+    now: dict[tuple, np.ndarray] = {}
+    least = lambda t, p, x: t.__setitem__(p, np.minimum(t[p], x) if p in t else x)
+    for k, (r, p) in enumerate(start):
+        if p not in now:
+            now[p] = np.full((len(start), 2 * far + 1, 2), np.inf)
+        now[p][k, r + far, int(abs(r) > reach)] = 0.0
+    for i in sorted(grid):
+        for event in sorted(own[i]):
+            new = dict(now)
+            for p, costs in now.items():
+                for c, atoms in own[i][event]:
+                    q = plus(p, *atoms)
+                    if not strict or all(n <= grid[k] for k, n in q if k in grid):
+                        least(new, q, costs + c)
+            now = new
+        closed: dict[tuple, np.ndarray] = {}
+        for p, costs in now.items():
+            off = grid[i] - dict(p).get(i, 0)
+            if not strict or not off:
+                least(closed, tuple(y for y in p if y[0] != i), costs if strict else carried(costs + LOCAL * abs(off), off, reach))
+        now = closed
+    return [(start[k], (r - far, p), bool(x), costs[k, r, x]) for p, costs in now.items() for k, r, x in np.argwhere(costs < np.inf).tolist()]
+
+
 def matrices(chunks: DataFrame, reach: int, strict: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out = []
             for c in b.to_pylist():
-                ways = walk(table_rows(c["rows"]), reach, strict)
-                yield batch([(c["track"], c["chunk"], text(*a), text(*z), x, cost) for (a, z, x), (cost, _) in ways.items()], MATRIX)
+                out += [(c["track"], c["chunk"], text(*a), text(*z), x, cost) for a, z, x, cost in matrix(table_rows(c["rows"]), reach, strict)]
+                if len(out) > 50_000:
+                    yield batch(out, MATRIX)
+                    out = []
+            yield batch(out, MATRIX)
 
     return chunks.mapInArrow(run, MATRIX)
 
@@ -232,7 +291,8 @@ def fit(options: DataFrame, intervals: DataFrame, size: int = CHUNK) -> tuple[Da
 
     A track's intervals are numbered from 0 without gaps."""
     options, intervals = held(options), held(intervals)
-    parts = held(gathered(chunked(options, intervals, size)))
+    cheapest = options.groupBy("track", "event", "head", "tail").agg(F.min(F.struct("cost", "opt")).alias("m")).select("track", "event", "head", "tail", "m.cost", "m.opt")  # of options that count alike
+    parts = held(gathered(chunked(cheapest, intervals, size)))
     nodes = intervals.groupBy("track").agg((F.floor(F.max("interval") / size) + 1).alias("nodes"))
     left, chosen, costs, reach, strict = held(nodes), [], [], 0, True
     while not left.isEmpty():

@@ -84,3 +84,20 @@ def test_options_follow_the_rules(spark):
     assert {r.opt: (r.head, r.tail) for r in rows if r.event == 3} == {k: (2, 2) for k in range(1, 10)}
     cost = {(r.event, r.moved_head, r.moved_tail): r.cost for r in rows}
     assert cost[3, 0.0, 0.0] == -2.0 and abs(cost[3, 0.03333, 0.0] - (0.03333 * (25 + 85) - 2)) < 1e-6 and abs(cost[2, -0.05, 0.0] - (0.05 * 25 - 1)) < 1e-6
+
+
+def test_matrices_have_the_costs_of_all_walks():
+    rng = random.Random(3)
+    for case in range(60):
+        first, size = rng.choice([0, 8]), rng.randrange(1, 6)
+        rows = [(2, -1, 0, i, -1, i, float(rng.choice([0, 1, 1, 2, 3]))) for i in range(first, first + size)]
+        for event in range(rng.randrange(6)):
+            lo = rng.randrange(first, first + size)
+            for opt in range(rng.randrange(1, 4)):
+                head = lo + rng.randrange(2)
+                rows.append((0, event, opt, head, rng.choice([-1, head + rng.randrange(5)]), lo, round(rng.uniform(-9, 3), 3)))
+        rows += [(1, 100 + e, o, first - 1, first + rng.randrange(size + 2), first - 1, 0.0) for e in range(rng.randrange(3)) for o in range(2) if first]
+        for reach, strict in ((0, True), (1, False), (2, False), (5, False)):
+            want = {way: cost for way, (cost, _) in joint_fit.walk(rows, reach, strict).items()}
+            got = joint_fit.matrix(rows, reach, strict)
+            assert {(a, z, x): cost for a, z, x, cost in got} == want and len(got) == len(want), (case, reach)
