@@ -12,7 +12,7 @@ neighbours and classes grow with the corpus and stay distributed; HEAD's counts
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +39,22 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def hashed(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and suffix buckets of the words of all texts, back to back, and how many words each text has."""
+def hashed(t: Texts) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray], np.ndarray]:
+    """Hashes of the words of all texts, back to back, the suffix buckets of those that are asked for, and how many words each text has."""
     s, e, n = word_bounds(t)
     low = LOWER[t.buf]
     ids = range_hashes(BYTE_VALUE[low], s, e)
     ids[ids == END] = 1
-    last = np.zeros(len(s), np.uint64)
-    for k in range(3):
-        has = e - s > k
-        last[has] |= low[e[has] - 1 - k].astype(np.uint64) << np.uint64(8 * k)
-    return ids, (splitmix(last) % np.uint64(BUCKETS)).astype(np.uint16), n
+
+    def buckets(at: np.ndarray) -> np.ndarray:
+        end, size = e[at], e[at] - s[at]
+        last = np.zeros(len(at), np.uint64)
+        for k in range(3):
+            has = size > k
+            last[has] |= low[end[has] - 1 - k].astype(np.uint64) << np.uint64(8 * k)
+        return (splitmix(last) % np.uint64(BUCKETS)).astype(np.uint16)
+
+    return ids, buckets, n
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -59,20 +64,29 @@ def count_words(train: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            ids, first, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_counts=True)
-            of = np.concatenate([h[1] for h in held])[first]
+            every = np.concatenate([np.zeros(ends, np.uint64), *(h[0] for h in held)])
+            by = np.argsort(every)
+            every = every[by]
+            cut = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            ids, some, n = every[cut], by[cut], np.diff(cut, append=len(every))
+            of, at = np.zeros(len(ids), np.uint16), ends
+            for words, buckets in held:
+                here = np.flatnonzero((some >= at) & (some < at + len(words)))
+                of[here] = buckets(some[here] - at)
+                at += len(words)
             slot = (ids >> shift).astype(np.int64)
             cut = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
             return pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]].astype(np.int32)), *(binary_array(np.ascontiguousarray(x), (cut - cut[0]) * x.itemsize) for x in (ids, n.astype(np.uint32), of))], ["slot", "ids", "n", "buckets"])
 
-        held, k = [], 0
+        held, ends, k = [], 0, 0
         for t in text_slices(batches):
-            ids, of, n = hashed(t)
-            held += [(ids, of), (np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint16))]
+            ids, buckets, n = hashed(t)
+            held.append((ids, buckets))
+            ends += len(n)
             k += len(ids) + len(n)
             if k > 3_000_000:
                 yield flush()
-                held, k = [], 0
+                held, ends, k = [], 0, 0
         if k:
             yield flush()
 
@@ -190,7 +204,7 @@ def code(docs: DataFrame, head) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_slices(batches):
-            ids, of, n = hashed(t)
+            ids, buckets, n = hashed(t)
             doc = np.repeat(np.arange(len(t)), n)
             word = head.value(ids).astype(np.int64)
             rare = np.flatnonzero(word < 0)
@@ -204,7 +218,7 @@ def code(docs: DataFrame, head) -> DataFrame:
             flat[np.arange(len(ids)) + doc] = word
             low, high = (flat & 0xFFFF).astype("<u2"), (flat >> 16).astype("<u2")
             listed = np.empty(int(kinds.sum()), RARE)
-            listed["id"], listed["bucket"] = ids[by[new]].view(np.int64), of[by[new]]
+            listed["id"], listed["bucket"] = ids[by[new]].view(np.int64), buckets(by[new])
             cut, at = np.append(0, np.cumsum(n + 1)).tolist(), np.append(0, np.cumsum(kinds)).tolist()
             zs = [low[i:j].tobytes() + high[i:j].tobytes() for i, j in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([t.id_array(), pa.array(zs, pa.binary()), pa.array([listed[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["doc_id", "z", "rare"])
@@ -363,7 +377,7 @@ def rare_classes(coded: DataFrame, cls: np.ndarray, other: int, table: np.ndarra
             b, a = ids != 0, (ids0 != 0) & ~own
             word, of = np.concatenate([ids[b], ids0[a]]), np.concatenate([c[b], c0[a]])
             slot = np.concatenate([np.where(own[b], OWN, c0[b]), CLASSES + c[a]]).astype(np.uint8)
-            by = np.argsort(word, kind="stable")
+            by = np.argsort(word)
             word, of, slot = word[by], of[by], slot[by]
             cut = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word)) if len(word) else np.zeros(1, np.int64)
             for i in range(0, len(cut) - 1, 100_000):
@@ -378,8 +392,7 @@ def rare_classes(coded: DataFrame, cls: np.ndarray, other: int, table: np.ndarra
                 data = lists.flatten()
                 size = np.array(pc.binary_length(data)).astype(np.int64)
                 word = np.repeat(np.repeat(np.arange(len(b)), np.array(lists.value_lengths())), size)
-                x = np.zeros((len(b), SLOTS))
-                np.add.at(x, (word, np.frombuffer(b"".join(data.to_pylist()), np.uint8)), 1)
+                x = np.bincount(word * SLOTS + np.frombuffer(b"".join(data.to_pylist()), np.uint8), minlength=len(b) * SLOTS).reshape(-1, SLOTS).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(better(table, np.array(b.column(1)).astype(np.int64), x).astype(np.int32))], ["id", "c"])
 
     sums = coded.mapInArrow(run, "id long, c int, slots binary").groupBy("id").agg(F.first("c").alias("c"), F.collect_list("slots").alias("slots"))
