@@ -59,12 +59,6 @@ def tolerant_anti(left: DataFrame, right: DataFrame, keys: list[str], places: li
     return left.join(apart(near.select(*keys, *places).distinct()), [*keys, *places], "left_anti")
 
 
-def share_cells(rows: DataFrame, key: str, cells: list[str], least: int) -> DataFrame:
-    """a, b: pairs of keys, a < b, with `least` or more cells in common; rows: (key, cells), distinct. Only what shares a cell meets."""
-    other = rows.select(F.col(key).alias("b"), *cells)
-    return rows.join(other, cells).where(F.col(key) < F.col("b")).groupBy(F.col(key).alias("a"), "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
-
-
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, place: str, rate: float, cell: float, id_col: str = "id") -> DataFrame:
     """Each left row with the right row of its keys that costs least, rate * abs(dt) + abs(dplace), then the least id; without a limit on either. The right rows next to it in time give a
     bound, and only rows within the time that the bound allows are compared, so a row meets its neighbourhood and not all rows of its key. Right columns get the suffix _r."""

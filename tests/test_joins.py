@@ -5,7 +5,9 @@ import duckdb
 import pytest
 
 from obsweave.operators import holds, joins, motion, ordered
+from obsweave.plans.paths import overlap_distance
 from obsweave.registry import ORACLES, QUERIES
+from obsweave.sources.tables import observations
 
 SF = "/root/testdata/sf0.01"
 
@@ -53,6 +55,42 @@ def test_span_index_keeps_rows_that_are_there_twice(spark, tmp_path):
     assert rows == sorted(want.fetchall()) and len(rows) > len(set(rows))
 
 
+def awkward_events(path):
+    """Missing users, times and values, numbers that are none or endless, rows and times that are there twice, a long track and short ones, and tracks apart in time; and the rows of q23's SQL."""
+    value = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 97 = 0 THEN 'Infinity'::DOUBLE WHEN event_id % 13 = 0 THEN -value ELSE value END"
+    user = "CASE WHEN event_id % 53 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 3 WHEN event_id % 29 = 0 THEN -event_id ELSE user_id END"
+    ts = "CASE WHEN event_id % 47 = 0 THEN NULL WHEN event_id % 11 = 0 THEN date_trunc('day', ts) ELSE ts END + CASE WHEN user_id % 4 = 0 THEN INTERVAL 100 DAY ELSE INTERVAL 0 DAY END"
+    rows = f"SELECT event_id, {ts} AS ts, {user} AS user_id, event_type, {value} AS value, props FROM '{SF}/events.parquet'"
+    duckdb.sql(f"COPY ({rows} UNION ALL SELECT * FROM ({rows}) WHERE event_id % 5 = 0) TO '{path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet'")
+    return con.sql(ORACLES["q23_overlap_resample"])
+
+
+def test_overlaps_of_awkward_events(spark, tmp_path):
+    """A missing value leaves the median and the largest distance to the others; a cell of values that are no numbers is a cell."""
+    want = awkward_events(tmp_path)
+    got = QUERIES["q23_overlap_resample"](spark, str(tmp_path)).select(*want.columns).collect()
+    rows = want.fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows)) and len(rows) > 300
+    assert {str(x[2]) for x in rows} > {"nan", "None"}
+
+
+@pytest.mark.parametrize("most, step", [(40, 8), (700, 64), (10**6, 10**6)])
+def test_overlaps_in_blocks_of_any_size(spark, tmp_path, most, step):
+    """Pairs are found and measured where two blocks meet: no row a shared cell, pair or time goes through an exchange."""
+    want = awkward_events(tmp_path)
+    found = overlap_distance(observations(spark, str(tmp_path)), {"t": 3600.0, "x": 10.0}, 2, 86400.0, 5, most, step)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(x.a, x.b, x.med is None) for x in found.collect()]
+    assert sorted(got) == sorted((a, b, med is None) for a, b, med, _ in want.fetchall())
+
+
+def test_overlaps_of_nothing(spark):
+    none = spark.createDataFrame([(1, None, 1.0), (None, 5.0, 1.0), (2, 7.0, None)], "track long, t double, x double")
+    assert overlap_distance(none, {"t": 3600.0, "x": 10.0}, 2, 0.0, 5).collect() == []
+
+
 @pytest.mark.parametrize("block", [4, 1000])
 def test_unrepresented_meets_partners_until_one_is_found(spark, block):
     """Tracks that others represent leave the rounds; those without a partner meet all, in any block size."""
