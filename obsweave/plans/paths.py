@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ranged, rows_before
-from ..sources.shared import held
+from ..sources.shared import apart, held
 
-MOST, FEWEST = 1 << 18, 1 << 13  # rows of a block; a track that is longer makes a block larger
+MOST, FEWEST = 1 << 18, 1 << 15  # rows of a block; a track that is longer makes a block larger
 STEP = 1 << 20  # shared cells that a task looks at together
-BLOCK = "block long, first double, last double, data binary"
+BLOCK = "block int, first double, last double, data binary"
 
 
 def overlap_distance(obs: DataFrame, cell: dict[str, float], common: int, least: float, k: int, most: int = MOST, step: int = STEP) -> DataFrame:
@@ -26,9 +26,9 @@ def overlap_distance(obs: DataFrame, cell: dict[str, float], common: int, least:
     placed = ranged(span, ["lo", "track"])
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("part_").orderBy("in_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     size = F.least(F.lit(most), F.greatest(F.lit(min(FEWEST, most)), F.ceil(F.col("all_") / 16)))  # few rows: blocks enough for all cores
-    dealt = placed.withColumn("inside_", inside).join(F.broadcast(rows_before(placed, F.col("n"))), "part_").select("track", F.floor((F.col("before_") + F.col("inside_")) / size).alias("block"))
+    dealt = placed.withColumn("inside_", inside).join(F.broadcast(rows_before(placed, F.col("n"))), "part_").select("track", F.floor((F.col("before_") + F.col("inside_")) / size).cast("int").alias("block"))
     n = dealt.agg(F.coalesce(F.max("block") + 1, F.lit(1))).first()[0]
-    packed = points.join(dealt, "track").repartitionById(n, F.col("block").cast("int")).groupBy("block").applyInArrow(lambda t: pack(t, cell["t"], cell["x"]), BLOCK)
+    packed = points.join(apart(dealt), "track").repartitionById(n, "block").groupBy("block").applyInArrow(lambda t: pack(t, cell["t"], cell["x"]), BLOCK)
     blocks = held(packed)
     one, other = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in blocks.columns)) for side in "pq")
     both = one.join(other.hint("shuffle_replicate_nl"), (F.col("block_p") <= F.col("block_q")) & (F.least("last_p", "last_q") - F.greatest("first_p", "first_q") >= least))
@@ -57,7 +57,7 @@ def pack(rows: pa.Table, wide: float, high: float) -> pa.Table:
     new = np.append(True, (np.diff(f) != 0) | (g[1:] != g[:-1]) | (np.diff(who) != 0))[: len(who)]
     data = io.BytesIO()
     np.savez(data, ids=ids, starts=starts, t=t[last], x=x[last], none=none[last], f=f[new], g=g[new], who=who[new].astype(np.int32))
-    return pa.table([rows["block"][:1], [t.min()], [t.max()], [data.getvalue()]], schema=pa.schema([("block", pa.int64()), ("first", pa.float64()), ("last", pa.float64()), ("data", pa.binary())]))
+    return pa.table([rows["block"][:1], [t.min()], [t.max()], [data.getvalue()]], schema=pa.schema([("block", pa.int32()), ("first", pa.float64()), ("last", pa.float64()), ("data", pa.binary())]))
 
 
 def unpacked(data: pa.BinaryScalar) -> dict[str, np.ndarray]:

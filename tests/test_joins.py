@@ -76,7 +76,7 @@ def test_overlaps_of_awkward_events(spark, tmp_path):
     assert {str(x[2]) for x in rows} > {"nan", "None"}
 
 
-@pytest.mark.parametrize("most, step", [(40, 8), (700, 64), (10**6, 10**6)])
+@pytest.mark.parametrize("most, step", [(700, 8), (3000, 64), (10**6, 10**6)])
 def test_overlaps_in_blocks_of_any_size(spark, tmp_path, most, step):
     """Pairs are found and measured where two blocks meet: no row a shared cell, pair or time goes through an exchange."""
     want = awkward_events(tmp_path)
@@ -86,6 +86,21 @@ def test_overlaps_in_blocks_of_any_size(spark, tmp_path, most, step):
     assert sorted(got) == sorted((a, b, med is None) for a, b, med, _ in want.fetchall())
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_overlaps_have_a_partition_a_block(spark, adaptive):
+    """Blocks meet in a task a pair of them, whatever the number of shuffle partitions."""
+    rows = spark.createDataFrame([(k, t * 50000.0, float(k % 3)) for k in range(40) for t in range(5)], "track long, t double, x double")
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", 50)
+        found = overlap_distance(rows, {"t": 3600.0, "x": 10.0}, 2, 86400.0, 5, 25)
+        assert found.rdd.getNumPartitions() == 8 * 8 and found.count() == 40 * 39 // 2
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+
+
 def test_overlaps_of_nothing(spark):
     none = spark.createDataFrame([(1, None, 1.0), (None, 5.0, 1.0), (2, 7.0, None)], "track long, t double, x double")
     assert overlap_distance(none, {"t": 3600.0, "x": 10.0}, 2, 0.0, 5).collect() == []
